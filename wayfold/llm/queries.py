@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wayfold.llm import mixing, quality_rules, sharding
+from wayfold.llm import lm_scoring, mixing, quality_rules, sharding
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_sharding": sharding.op7_sharding,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_mixing": mixing.op9_mixing,
 }
 
-SQL = {**quality_rules.SQL, **sharding.SQL, **mixing.SQL}
+SQL = {**lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL}
