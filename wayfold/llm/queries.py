@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wayfold.llm import lm_scoring, mixing, quality_rules, sharding
+from wayfold.llm import lm_scoring, mixing, ngram_join, quality_rules, sharding
 
 QUERIES = {
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_sharding": sharding.op7_sharding,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
