@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wayfold.llm import lm_scoring, mixing, ngram_join, quality_rules, sharding
+from wayfold.llm import lm_scoring, mixing, ngram_join, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_sharding": sharding.op7_sharding,
