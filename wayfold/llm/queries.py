@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from wayfold.llm import lm_scoring, mixing, ngram_join, quality_rules, sharding, suffix_dedup
+from wayfold.llm import decontamination, lm_scoring, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_sharding": sharding.op7_sharding,
