@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import decontamination, lm_scoring, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts
+from wayfold.llm import decontamination, html_extraction, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_html_extraction": html_extraction.op6_html_extraction,
     "op7_sharding": sharding.op7_sharding,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 SQL = {**lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL}
