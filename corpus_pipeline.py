@@ -10,10 +10,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import mixing, sharding
+from wayfold.llm import decontamination, mixing, near_dups, quality_classifier, sharding
 from wayfold.llm.common import shared_dir
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier, fitted on the labels of docs; documents that it rejects go."""
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.select_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Jaccard join of five-word shingles at 0.8; the smallest doc_id of each group stays."""
+    return near_dups.keep_first(docs, 5, 80, 100)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage (up to a fifth of its tokens edited) go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: every document as often as the mix takes it."""
     return mixing.mix_table(docs)
@@ -24,7 +40,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_table(docs)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
+]
 
 #: The classifier is fitted numerically and has no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
