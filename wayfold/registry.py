@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from wayfold.plans import trajectories  # noqa: F401
+from wayfold.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
