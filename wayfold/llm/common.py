@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.sources.shared import cut, shared_dir
+
+__all__ = ["WORD", "cut", "let", "running_total", "shared_dir", "source_key", "table", "words"]
+
 #: A word is a run of bytes other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if not found.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-ckpt-"))
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, which outlives any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def source_key(source: Column) -> Column:
     """A non-null key that sorts by code point with null last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
