@@ -89,7 +89,7 @@ def qualify(gated: DataFrame, group: str, declared: Sequence[int], min_rate: flo
     return out.withColumn("failures", reasons).withColumn("approved", reasons == "")
 
 
-def by_cohort(rows: DataFrame, cohorts: str, **aggs: Column) -> DataFrame:
+def by_cohort(rows: DataFrame, cohorts: str, aggs: Mapping[str, Column]) -> DataFrame:
     """Aggregates per cohort of an array column; a row counts in each of its cohorts."""
     return rows.withColumn("cohort", F.explode(cohorts)).groupBy("cohort").agg(*[a.alias(k) for k, a in aggs.items()])
 
