@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.sources.shared import cut
+
 
 def grid_edges(cells: DataFrame, height: int, width: int) -> DataFrame:
     """src, dst between open neighbours of a grid (open: row, column); columns wrap, rows do not."""
@@ -20,16 +25,41 @@ def grid_edges(cells: DataFrame, height: int, width: int) -> DataFrame:
     return step.select("src", (F.col("n.r") * width + F.col("n.c")).cast("int").alias("dst")).join(open_, "dst").select("src", "dst").distinct()
 
 
-def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, max_levels: int = 10_000) -> DataFrame:
+#: So many edges (two ints each) go to the tasks with the closure at most; larger graphs are joined level by level.
+SMALL_GRAPH = 200_000
+
+
+def _walks(steps: dict[int, list[int]]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for src in batch.column("src").to_pylist():
+                found, frontier = {src: 0}, [src]
+                while frontier:
+                    frontier = [b for b in dict.fromkeys(b for a in frontier for b in steps.get(a, ())) if b not in found]
+                    level = max(found.values()) + 1
+                    found.update(dict.fromkeys(frontier, level))
+                yield pa.RecordBatch.from_arrays([pa.array([src] * len(found), pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int32())], names=["src", "dst", "d"])
+
+    return run
+
+
+def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, max_levels: int = 10_000, small: int = SMALL_GRAPH) -> DataFrame:
     """src, dst, d: the fewest steps from every source (column src) to all it reaches, itself at 0.
 
-    Level by level: the frontier joins the edges, an anti-join drops what was reached before.
-    Each level is cut off the lineage by a checkpoint in the shared folder.
+    A graph of at most small edges goes to the tasks, which walk it from their sources. A larger
+    one is walked level by level: the frontier joins the edges, an anti-join drops what was
+    reached before, and each level is cut off the lineage in the shared folder.
     """
-    from wayfold.sources.shared import cut
-
     if blocked is not None:
         edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
+    kind = dict(edges.dtypes)["dst"]
+    some = edges.select("src", "dst").distinct().limit(small + 1).collect()
+    if len(some) <= small:
+        steps: dict[int, list[int]] = {}
+        for a, b in some:
+            steps.setdefault(a, []).append(b)
+        out = sources.select(F.col("src").cast("long").alias("src")).distinct().mapInArrow(_walks(steps), "src long, dst long, d int")
+        return out.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "d")
     step = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     reached = cut(sources.select("src", F.col("src").alias("dst"), F.lit(0).alias("d")).distinct())
     frontier = reached
