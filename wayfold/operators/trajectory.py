@@ -9,12 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-EPISODE = Window.partitionBy("episode").orderBy("turn")
-PAST = EPISODE.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = EPISODE.rowsBetween(Window.unboundedPreceding, 0)
+
+def episode() -> WindowSpec:
+    return Window.partitionBy("episode").orderBy("turn")
+
+
+def past() -> WindowSpec:
+    return episode().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return episode().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def numbered(events: DataFrame, key: str, *order: str) -> DataFrame:
@@ -25,7 +33,7 @@ def numbered(events: DataFrame, key: str, *order: str) -> DataFrame:
 
 def with_lives(df: DataFrame) -> DataFrame:
     """life: number of lost rows before this one."""
-    return df.withColumn("life", F.coalesce(F.sum(F.col("lost").cast("long")).over(PAST), F.lit(0).cast("long")))
+    return df.withColumn("life", F.coalesce(F.sum(F.col("lost").cast("long")).over(past()), F.lit(0).cast("long")))
 
 
 def with_dry_spells(df: DataFrame) -> DataFrame:
@@ -57,30 +65,30 @@ def with_cycles(df: DataFrame, max_period: int = 64, history: int = 128) -> Data
 def with_streaks(df: DataFrame, flag: Column) -> DataFrame:
     """streak: consecutive rows of the episode, up to this one, on which flag holds."""
     on = F.coalesce(flag, F.lit(False))
-    df = df.withColumn("_on", on).withColumn("_off", F.sum((~on).cast("long")).over(SO_FAR))
+    df = df.withColumn("_on", on).withColumn("_off", F.sum((~on).cast("long")).over(so_far()))
     run = Window.partitionBy("episode", "_off", "_on").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("streak", F.when(F.col("_on"), F.count(F.lit(1)).over(run)).otherwise(0).cast("long")).drop("_on", "_off")
 
 
 def until(df: DataFrame, hit: Column) -> DataFrame:
     """Rows up to and including the first on which hit holds."""
-    return df.withColumn("_hits", F.coalesce(F.sum(hit.cast("long")).over(PAST), F.lit(0))).where("_hits = 0").drop("_hits")
+    return df.withColumn("_hits", F.coalesce(F.sum(hit.cast("long")).over(past()), F.lit(0))).where("_hits = 0").drop("_hits")
 
 
 def capped(df: DataFrame, max_frames: int, max_dry: int) -> DataFrame:
     """A run cut where its frames reach max_frames or a dry spell reaches max_dry rows."""
-    df = df.withColumn("_sum", F.sum("frames").over(SO_FAR))
+    df = df.withColumn("_sum", F.sum("frames").over(so_far()))
     return until(df, (F.col("_sum") >= max_frames) | (F.col("dry") >= max_dry)).drop("_sum")
 
 
 def with_history(df: DataFrame, length: int = 64) -> DataFrame:
     """recent: the last length positions, this one included."""
-    return df.withColumn("recent", F.collect_list("pos").over(EPISODE.rowsBetween(1 - length, 0)))
+    return df.withColumn("recent", F.collect_list("pos").over(episode().rowsBetween(1 - length, 0)))
 
 
 def with_repeats(df: DataFrame, within: int = 12) -> DataFrame:
     """seen_recently: the position is among the last within before it; visits: times it was taken so far, now included."""
-    before = F.collect_list("pos").over(EPISODE.rowsBetween(-within, -1))
+    before = F.collect_list("pos").over(episode().rowsBetween(-within, -1))
     visits = F.count(F.lit(1)).over(Window.partitionBy("episode", "pos").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("seen_recently", F.array_contains(before, F.col("pos"))).withColumn("visits", visits)
 
@@ -109,13 +117,13 @@ def gap_grows(now: Column, then: Column) -> Column:
 
 def with_next_progress(df: DataFrame, limit: int = 24) -> DataFrame:
     """progress_in: rows until the next progress of the episode, if within limit."""
-    ahead = EPISODE.rowsBetween(1, limit)
+    ahead = episode().rowsBetween(1, limit)
     return df.withColumn("progress_in", F.min(F.when(F.col("progress"), F.col("turn"))).over(ahead) - F.col("turn"))
 
 
 def with_prefix(df: DataFrame, column: str, out: str) -> DataFrame:
     """out: the values of column on all rows before this one, in order."""
-    return df.withColumn(out, F.collect_list(column).over(PAST))
+    return df.withColumn(out, F.collect_list(column).over(past()))
 
 
 def differences(df: DataFrame, step: str, columns: Sequence[str], reset: int) -> DataFrame:
@@ -128,12 +136,12 @@ def differences(df: DataFrame, step: str, columns: Sequence[str], reset: int) ->
 
 def after_terminal(df: DataFrame, terminal: Column) -> DataFrame:
     """Violations: terminal rows that another row follows."""
-    return df.withColumn("_next", F.lead("turn").over(EPISODE)).where(terminal & F.col("_next").isNotNull()).drop("_next")
+    return df.withColumn("_next", F.lead("turn").over(episode())).where(terminal & F.col("_next").isNotNull()).drop("_next")
 
 
 def broken_chain(df: DataFrame, state: str, next_state: str) -> DataFrame:
     """Violations: rows whose turn or state does not follow from the row before."""
-    gap = F.col("turn") != F.lag("turn").over(EPISODE) + 1
-    differs = ~F.col(state).eqNullSafe(F.lag(next_state).over(EPISODE)) & F.lag("turn").over(EPISODE).isNotNull()
-    first = F.lag("turn").over(EPISODE).isNull() & (F.col("turn") != 0)
+    gap = F.col("turn") != F.lag("turn").over(episode()) + 1
+    differs = ~F.col(state).eqNullSafe(F.lag(next_state).over(episode())) & F.lag("turn").over(episode()).isNotNull()
+    first = F.lag("turn").over(episode()).isNull() & (F.col("turn") != 0)
     return df.withColumn("_bad", F.coalesce(gap, F.lit(False)) | differs | first).where("_bad").drop("_bad")

@@ -21,12 +21,12 @@ from wayfold.functions.canon import safe_path
 from wayfold.operators.ranking import first_rows
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
     """One row per line; blank lines are skipped, lines that do not parse or do not fit fail the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_documents(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
     """One row per file that holds one JSON document, with its path."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("path", F.col("_metadata.file_path"))
 
@@ -66,7 +66,7 @@ def write_once(df: DataFrame, path: str) -> bool:
     return False
 
 
-def read_receipts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_receipts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Receipts below path, whatever the folder; work in flight has none yet and so is invisible."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "receipt*.json").json(path)
 
@@ -98,7 +98,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_members, "archive string, member string, content binary")
 
 
-def read_zip_jsonl(spark: SparkSession, path: str, schema: StructType, members: str = r"\.jsonl$") -> DataFrame:
+def read_zip_jsonl(spark: SparkSession, path: str, schema: StructType | str, members: str = r"\.jsonl$") -> DataFrame:
     """Rows of the JSON-lines members, with archive, member and line (from 0)."""
     lines = zip_members(spark, path).where(F.col("member").rlike(members))
     lines = lines.select("archive", "member", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "js")).where(F.trim("js") != "")
