@@ -172,4 +172,35 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_quality_rules": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IS NULL THEN '1' ELSE '0' || lang END AS stratum, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest([array_to_string(ws[j:j + 4], ' ') for j in range(1, len(ws) - 3)]) AS w FROM d WHERE len(ws) >= 5),
+f AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, sum(least(5, coalesce(nx - i, 5)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM f) GROUP BY r),
+c AS (
+  SELECT d.r, doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len([x for x in ls if regexp_matches(x, '[^\\x20\\x09-\\x0D]')]) - len(list_distinct([x for x in ls if regexp_matches(x, '[^\\x20\\x09-\\x0D]')])))::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_bang,
+         len([x for x in ws if length(x) > 24]) AS n_long
+  FROM d LEFT JOIN rep ON rep.r = d.r),
+s AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_zip(
+    {list(RULES)},
+    [coalesce(least(n_symbols::DOUBLE / nullif(word_chars, 0), 1), 0), coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0), coalesce(least(n_repeat_words::DOUBLE / nullif(n_words, 0), 1), 0),
+     coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0), coalesce(least(n_bang::DOUBLE / nullif(n_words, 0), 1), 0), coalesce(n_long::DOUBLE / nullif(n_words, 0), 0)]) AS stats
+  FROM c),
+v AS (SELECT r, stratum, unnest(stats) AS st FROM s),
+h AS (SELECT v.stratum, v.st[1] AS rule, least(ceil(v.st[2] * {GRID}), {GRID}) AS cell FROM v JOIN s ON s.r = v.r JOIN labels l ON l.doc_id = s.doc_id AND l.quality = 1),
+t AS (SELECT stratum, rule, g.g, count(*) AS n, count(*) FILTER (cell > g.g) AS k FROM h, (SELECT unnest(range(0, {GRID})) AS g) g GROUP BY ALL),
+m AS (SELECT {DELTA} / (count(DISTINCT stratum) * {len(RULES) * GRID}) AS level, {ALPHA / len(RULES)!r} AS p FROM s),
+q AS (
+  SELECT stratum, rule, min(g) / {GRID}.0 AS cutoff FROM t, m
+  WHERE k < n * p AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) for j in range(0, k + 1)]) <= level GROUP BY stratum, rule),
+x AS (SELECT DISTINCT v.r FROM v JOIN q ON q.stratum = v.stratum AND q.rule = v.st[1] AND v.st[2] > q.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND s.r NOT IN (SELECT r FROM x) AS kept FROM s
+"""
+}

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
-SQL = {**lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL}
+SQL = {**suffix_dedup.SQL, **ngram_join.SQL, **lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL}

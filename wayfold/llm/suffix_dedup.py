@@ -321,3 +321,19 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = {
+    "op1_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 99)) AS s, md5(unnest([substr(hx, 2 * i + 1, 200) for i in range(0, n - 99)])) AS h FROM b WHERE n >= 100),
+u AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS rn FROM w) WHERE rn > 1),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM u)),
+v AS (SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM i GROUP BY doc_id, span),
+g AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM v),
+k AS (SELECT g.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(hx, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS kept FROM g JOIN b USING (doc_id) GROUP BY g.doc_id)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)
+"""
+}
