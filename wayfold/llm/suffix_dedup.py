@@ -15,8 +15,8 @@ global sort of all suffixes; here suffixes meet only where they can share WIDTH
    by bucket scans); adjacent common prefixes of WIDTH bytes give the groups of equal
    strings, and all but the earliest string of a group are repeats.
 3. A minimizer with more than HOT chunks (a very common passage with ever different
-   surroundings) isn't gathered: its strings are grouped one by one by a 128-bit hash, with
-   map-side minima, which spreads them over all tasks.
+   surroundings) isn't gathered: its strings go through step 2 one by one, each under the
+   hash of its own bytes, which spreads them over all tasks.
 4. The repeats of a document are merged into spans and cut out.
 
 Edge cases: a null text is empty; texts shorter than WIDTH keep everything; matches never
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, table
+from wayfold.llm.common import table
 from wayfold.llm.suffixes import common_prefixes, suffix_array
 from wayfold.llm.textnp import _CODE, buffers, column, mix, signed, slices, unsigned
 
@@ -107,34 +107,48 @@ def _chunk_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(val)), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["val", "id", "start", "size"])
 
 
-def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(hot: int):
     """Of rows sorted by val those that may hold repeats: of a val with two rows or more, or marked as coming again in itself.
 
-    nth counts the rows of a val from 0. One row is held.
+    is_hot marks the rows of a val with more than hot rows; at most hot rows of one val and a batch are held.
     """
-    last, given = None, False  # the last row with its nth, and whether it was given out
-    for batch in it:
-        rows = [np.asarray(column(batch, c)) for c in ("val", "id", "start", "size")]
-        if last is not None:
-            rows = [np.append(np.array([x], r.dtype), r) for x, r in zip(last, rows, strict=False)]
-        val = rows[0]
-        if not len(val):
-            continue
-        start = np.ones(len(val), bool)
-        start[1:] = val[1:] != val[:-1]
-        head = np.maximum.accumulate(np.where(start, np.arange(len(val)), 0))
-        nth = np.arange(len(val)) - head
-        carried = last[4] if last is not None else 0
-        nth[head == 0] += carried
-        many = ~start
-        many[:-1] |= ~start[1:]
-        many |= rows[3] < 0
-        many[0] &= not given
-        given = bool(many[-1]) or (given and len(many) == 1)
-        rows_out = [r[many] for r in rows]
-        rows_out[3] = np.abs(rows_out[3])
-        yield pa.RecordBatch.from_arrays([*[pa.array(r) for r in rows_out], pa.array(nth[many].astype(np.int32))], names=["val", "id", "start", "size", "nth"])
-        last = (*[r[-1] for r in rows], int(nth[-1]))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # rows of the last val, which may go on
+        open_hot = None  # a val known to be hot, whose rows go straight through
+
+        def out(rows: list[np.ndarray], is_hot: np.ndarray) -> pa.RecordBatch:
+            rows = [*rows[:3], np.abs(rows[3])]
+            return pa.RecordBatch.from_arrays([*[pa.array(r) for r in rows], pa.array(is_hot)], names=["val", "id", "start", "size", "is_hot"])
+
+        def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
+            _, at, size = np.unique(rows[0], return_inverse=True, return_counts=True)
+            keep = (size[at] > 1) | (rows[3] < 0)
+            return out([r[keep] for r in rows], (size[at] > hot)[keep])
+
+        for batch in it:
+            rows = [np.asarray(column(batch, c)) for c in ("val", "id", "start", "size")]
+            if open_hot is not None:
+                n = int(np.searchsorted(rows[0] != open_hot, True)) if (rows[0] != open_hot).any() else len(rows[0])
+                if n:
+                    yield out([r[:n] for r in rows], np.ones(n, bool))
+                    rows = [r[n:] for r in rows]
+            if not len(rows[0]):
+                continue
+            open_hot = None
+            if held is not None:
+                rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
+            last = len(rows[0]) - int(np.argmax((rows[0] != rows[0][-1])[::-1])) if (rows[0] != rows[0][-1]).any() else 0
+            if last:
+                yield whole([r[:last] for r in rows])
+            held = [r[last:] for r in rows]
+            if len(held[0]) > hot:
+                yield out(held, np.ones(len(held[0]), bool))
+                open_hot, held = held[0][0], None
+        if held is not None:
+            yield whole(held)
+
+    return run
 
 
 def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -143,36 +157,34 @@ def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(first - begin, size)
 
 
-def _asked(batch: pa.RecordBatch):
-    """Bytes of the asked chunks of a batch (id, text, asked: list of val, start, size), with their ids."""
-    data, offsets = buffers(column(batch, "text"))
-    asked = column(batch, "asked")
-    flat = asked.flatten()
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets)))
-    val, start, size = (np.asarray(flat.field(c)) for c in ("val", "start", "size"))
-    return data, doc, np.asarray(column(batch, "id"))[doc], val, start.astype(np.int64), size.astype(np.int64), offsets[doc] + start
-
-
 def _chunk_bytes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """val, bytes, id and start of the asked chunks of a batch (id, text, asked: list of val, start, size, is_hot).
+
+    A hot chunk is given string by string, each under the hash of its own bytes.
+    """
     for batch in slices(it):
-        data, _, ids, val, start, size, at = _asked(batch)
-        body = data[_ragged(at, size)]
-        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        chunk = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-        yield pa.RecordBatch.from_arrays([pa.array(val), chunk, pa.array(ids), pa.array(start.astype(np.int32))], names=["val", "chunk", "id", "start"])
-
-
-def _string_hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of hot chunks: 128-bit hash, id, start."""
-    for batch in slices(it, size=1 << 18):
-        data, _, ids, _, start, size, at = _asked(batch)
-        n = size - WIDTH + 1
-        where = _ragged(at, n)
-        h64 = gram_hashes(data, 64)
-        # 100 = 64 + 64 - 28: two overlapping hashes fix all bytes
-        a, b = h64[where], h64[where + WIDTH - 64]
-        cols = [signed(mix(a * np.uint64(3) + mix(b))), signed(mix(b * np.uint64(5) + mix(a ^ np.uint64(77)))), np.repeat(ids, n), _ragged(start, n).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "id", "start"])
+        data, offsets = buffers(column(batch, "text"))
+        asked = column(batch, "asked")
+        flat = asked.flatten()
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets)))
+        val, start, size, hot = (np.asarray(flat.field(c)) if c != "is_hot" else flat.field(c).to_numpy(zero_copy_only=False) for c in ("val", "start", "size", "is_hot"))
+        start, size = start.astype(np.int64), size.astype(np.int64)
+        if hot.any():
+            n = size[hot] - WIDTH + 1
+            single, of = _ragged(start[hot], n), np.repeat(doc[hot], n)
+            h64 = gram_hashes(data, 64)  # two overlapping hashes cover a string
+            at = offsets[of] + single
+            own = signed(mix(h64[at] * np.uint64(3) + mix(h64[at + WIDTH - 64])))
+            val, doc, start, size = (np.concatenate(x) for x in ((val[~hot], own), (doc[~hot], of), (start[~hot], single), (size[~hot], np.full(len(own), WIDTH))))
+        ids = np.asarray(column(batch, "id"))[doc]
+        first, step = 0, max(1, (64 << 20) // (int(size.max()) if len(size) else 1))
+        while first < len(size):  # a batch of hot strings may hold a hundred times its text
+            part = slice(first, first + step)
+            first += step
+            ends = np.concatenate(([0], np.cumsum(size[part]))).astype(np.int32)
+            body = data[_ragged(offsets[doc[part]] + start[part], size[part])]
+            chunk = pa.Array.from_buffers(pa.binary(), len(size[part]), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays([pa.array(val[part]), chunk, pa.array(ids[part]), pa.array(start[part].astype(np.int32))], names=["val", "chunk", "id", "start"])
 
 
 COVERS = "id long, lo int, hi int"
@@ -298,23 +310,13 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("id", "text").mapInArrow(_chunk_rows, CHUNKS).repartition(parts, "val").sortWithinPartitions("val")
-    found = cut(found.mapInArrow(_repeated, CHUNKS + ", nth int"))
-    often = found.groupBy("val").agg(F.max("nth").alias("m")).where(F.col("m") >= hot).select("val")
-    # one exchange of the texts serves the fetch of chunks and the removal
+    found = found.mapInArrow(_repeated(hot), CHUNKS + ", is_hot boolean")
+    asked = found.repartition(parts, "id").groupBy("id").agg(F.collect_list(F.struct("val", "start", "size", "is_hot")).alias("asked"))
+    # one exchange of the texts serves the fetch of chunks and the removal, so both ask for the same columns
     dealt = docs.repartition(parts, "id")
-
-    def fetch(rows: DataFrame) -> DataFrame:
-        asked = rows.repartition(parts, "id").groupBy("id").agg(F.collect_list(F.struct("val", "start", "size")).alias("asked"))
-        return dealt.join(asked.hint("shuffle_hash"), "id").select("doc_id", "id", "text", "asked")  # the same columns as below, for the same exchange
-
-    cool = found.join(often, "val", "left_anti")
-    chunk = fetch(cool).mapInArrow(_chunk_bytes, "val long, chunk binary, id long, start int")
+    fetched = dealt.join(asked.hint("shuffle_hash"), "id").select("doc_id", "id", "text", "asked")
+    chunk = fetched.mapInArrow(_chunk_bytes, "val long, chunk binary, id long, start int")
     covers = chunk.repartition(parts, "val").sortWithinPartitions("val", "chunk", "id", "start").mapInArrow(_sorted_chunks, COVERS)
-    if not often.isEmpty():
-        strings = fetch(found.join(often, "val", "left_semi")).mapInArrow(_string_hashes, "h1 long, h2 long, id long, start int")
-        least = strings.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        late = strings.join(least, ["h1", "h2"]).where(F.struct("id", "start") > F.col("first"))
-        covers = covers.union(late.select("id", F.col("start").alias("lo"), (F.col("start") + WIDTH).cast("int").alias("hi")))
     by_doc = covers.repartition(parts, "id").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
     return dealt.join(by_doc.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "covers").mapInArrow(_remove, KEPT)
 
