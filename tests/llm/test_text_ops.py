@@ -245,8 +245,8 @@ def test_cutoffs_reject_poor_and_keep_good(spark):
         rows.append((i, " ".join(w if good else [x + "***" for x in w]), "en", "s", 1))
         labels.append((i, int(good), 0))
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r.kept for r in quality_rules.judge(docs, lab).collect()}
-    assert not any(out[i] for i in range(1, 4000, 2)) and sum(out[i] for i in range(0, 4000, 2)) >= 0.99 * 2000 * 0.98
+    out = {r.doc_id: r.kept for r in quality_rules.judge(docs, lab, alpha=0.02).collect()}
+    assert not any(out[i] for i in range(1, 4000, 2)) and sum(out[i] for i in range(0, 4000, 2)) >= 0.98 * 2000
     none = quality_rules.judge(docs, lab.limit(0)).where("NOT base_failed AND NOT kept")
     assert none.count() == 0
 

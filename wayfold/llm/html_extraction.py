@@ -6,8 +6,8 @@ forms, notices, adverts and reader comments (by element, role, class or id) are
 Open blocks are those outside any article, of pages without one.
 
 Host suffix array. For every host the blocks outside articles (settled or open) of all its
-pages are streams of text. Substrings of RUN bytes or more that stand on two distinct pages
-of a host are boilerplate. They are found as in suffix_dedup: streams fall into chunks by
+pages are streams of text. Runs of RUN bytes or more within a block, and whole blocks, that
+stand on two distinct pages of a host are boilerplate. They are found as in suffix_dedup: streams fall into chunks by
 the minimizer of each RUN-byte string, chunks meet by (host, minimizer), the different chunks
 of some minimizers are concatenated with separators and their suffixes sorted in two
 stages; neighbours in that order with RUN bytes in common form groups, and a group on two
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import table
 from wayfold.llm.suffix_dedup import _ragged, chunks
 from wayfold.llm.suffixes import common_prefixes, suffix_array
-from wayfold.llm.textnp import buffers, column, signed
+from wayfold.llm.textnp import buffers, column, hashes, signed
 
 #: Bytes that a repeated run has at least (some eight words).
 RUN = 48
@@ -129,7 +129,7 @@ def _settled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         ids, urls, pages = (column(batch, c).to_pylist() for c in ("page_id", "url", "html"))
         text: list[str | None] = []
-        stream: list[str] = []
+        stream: list[list[str]] = []
         opened: list[list[str]] = []
         for page in pages:
             got = blocks(page or "")
@@ -139,23 +139,32 @@ def _settled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text.append("\n\n".join(article) if settled else None)
             opened.append([] if settled else open_)
             # open blocks first: their places in the stream follow from their lengths
-            stream.append("\n".join([*opened[-1], *(t for k, t in got if k == "out" or (settled and k == "open"))]))
-        cols = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([_host(u) for u in urls], pa.string()), pa.array(text, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(stream, pa.string())]
+            stream.append([*opened[-1], *(t for k, t in got if k == "out" or (settled and k == "open"))])
+        cols = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([_host(u) for u in urls], pa.string()), pa.array(text, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(stream, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "text", "open", "stream"])
 
 
-SETTLED = "page_id long, url string, host string, text string, open array<string>, stream string"
+SETTLED = "page_id long, url string, host string, text string, open array<string>, stream array<string>"
 
 
 def _stream_chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of all blocks, with their place in the page's joined stream; a block shorter than RUN is one chunk."""
     for batch in it:
-        data, offsets = buffers(column(batch, "stream"))
-        val, doc, start, size = chunks(data, offsets, RUN)
-        size = np.abs(size)
-        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[_ragged(offsets[doc] + start, size)])])
-        at = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([column(batch, "host").take(at), pa.array(signed(val)), body, column(batch, "page_id").take(at), pa.array(start.astype(np.int32))], names=["host", "val", "chunk", "page_id", "start"])
+        blocks_ = column(batch, "stream")
+        data, offsets = buffers(blocks_.flatten())
+        size = np.diff(offsets)
+        page = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(blocks_.offsets)))
+        joined = np.cumsum(size + 1) - (size + 1)
+        first = np.concatenate(([True], page[1:] != page[:-1])) if len(page) else np.zeros(0, bool)
+        base = joined - joined[np.maximum.accumulate(np.where(first, np.arange(len(page)), 0))]
+        val, block, start, length = chunks(data, offsets, RUN)
+        short = np.flatnonzero((size < RUN) & (size > 0))
+        val = np.concatenate((val, hashes(data, offsets[short], offsets[short + 1], lower=False)))
+        block, start, length = (np.concatenate(x) for x in ((block, short), (start, np.zeros(len(short), np.int64)), (np.abs(length), size[short])))
+        ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+        body = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data[_ragged(offsets[block] + start, length)])])
+        at = pa.array(page[block])
+        yield pa.RecordBatch.from_arrays([column(batch, "host").take(at), pa.array(signed(val)), body, column(batch, "page_id").take(at), pa.array((base[block] + start).astype(np.int32))], names=["host", "val", "chunk", "page_id", "start"])
 
 
 def covered(parts: list[bytes]) -> list[tuple[int, int, int]]:

@@ -148,10 +148,10 @@ def mix_table(docs: DataFrame, seed: str = SEED, block: int = BLOCK) -> DataFram
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     t = t.groupBy(ident.alias("_id"), F.col("_src").alias("_s"), F.col("size").alias("_n")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
     key = ["_id", "_s", "_n"]
-    rows = docs.select("*", ident.alias("_id"), source_key(F.col("source")).alias("_s"), F.size(words(F.col("text"))).cast("long").alias("_n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ident.alias("_id"), source_key(F.col("source")).alias("_s"), F.size(words(F.col("text"))).cast("long").alias("_n"))
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).join(t, key)
     rows = rows.withColumn("_k", F.element_at("_copies", F.col("_nth"))).where("_k > 0")
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 A few statistics of a text (RULES) rise with poor quality. For every stratum (language)
 and rule the cutoff is chosen on labelled documents: a cutoff is certified if the exact
 binomial test rejects "this cutoff rejects a share of ALPHA / rules or more of good
-documents" at level DELTA / (strata * rules * cutoffs) (Bonferroni), that is, if
-P(Binomial(n, alpha) <= k) is at most that level for k of the n good documents above the
-cutoff, which is the one-sided Clopper-Pearson bound. The smallest certified cutoff is
-used; with none certified (few labels) the rule rejects nothing in that stratum. With
+documents" at level DELTA / (strata * rules), that is, if P(Binomial(n, alpha) <= k) is at
+most that level for k of the n good documents above the cutoff, which is the one-sided
+Clopper-Pearson bound. Strata and rules share DELTA (Bonferroni); the cutoffs of one of them
+are tested from the laxest down and testing ends at the first failure (fixed sequence; the
+bound rises as the cutoff falls), so they need no share. The last certified cutoff is used; with none certified (few labels) the rule rejects nothing in that stratum. With
 probability 1 - DELTA all strata at once lose at most ALPHA of their good documents to
 the method. Base limits (fewer than 10 words, over 20 % repeated words) come before.
 
@@ -151,7 +152,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     above = F.aggregate(F.map_entries("cells"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("g"), e["value"]).otherwise(0))
     tried = tried.withColumn("n_rejected", above)
     strata = stats.agg(F.count_distinct("stratum").alias("s")).first()["s"]
-    level = delta / max(1, strata * len(RULES) * GRID)
+    level = delta / max(1, strata * len(RULES))
     sure = tried.where(binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha / len(RULES)) <= level)
     best = F.min(F.struct("g", "n_good", "n_rejected")).alias("b")
     return sure.groupBy("stratum", "rule").agg(best).select("stratum", "rule", (F.col("b.g") / F.lit(GRID)).alias("cutoff"), "b.n_good", "b.n_rejected")
@@ -196,7 +197,7 @@ s AS (
 v AS (SELECT r, stratum, unnest(stats) AS st FROM s),
 h AS (SELECT v.stratum, v.st[1] AS rule, least(ceil(v.st[2] * {GRID}), {GRID}) AS cell FROM v JOIN s ON s.r = v.r JOIN labels l ON l.doc_id = s.doc_id AND l.quality = 1),
 t AS (SELECT stratum, rule, g.g, count(*) AS n, count(*) FILTER (cell > g.g) AS k FROM h, (SELECT unnest(range(0, {GRID})) AS g) g GROUP BY ALL),
-m AS (SELECT {DELTA} / (count(DISTINCT stratum) * {len(RULES) * GRID}) AS level, {ALPHA / len(RULES)!r} AS p FROM s),
+m AS (SELECT {DELTA} / (count(DISTINCT stratum) * {len(RULES)}) AS level, {ALPHA / len(RULES)!r} AS p FROM s),
 q AS (
   SELECT stratum, rule, min(g) / {GRID}.0 AS cutoff FROM t, m
   WHERE k < n * p AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) for j in range(0, k + 1)]) <= level GROUP BY stratum, rule),

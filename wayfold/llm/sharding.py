@@ -94,9 +94,9 @@ def shard_table(docs: DataFrame, shards: int = 8, seed: str = SEED) -> DataFrame
     key = ["_id", "_src", "_tie"]
     places = place(cut(kept.select(*_keys(kept))), shards, seed).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    rows = kept.select("*", *_keys(kept)).withColumn("_nth", nth)
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), *_keys(kept)).withColumn("_nth", nth)
     at = F.element_at("_places", F.col("_nth"))
-    return rows.join(places, key).select(*[f"`{c}`" for c in kept.columns], at["shard"].alias("shard"), at["slot"].alias("slot"))
+    return rows.join(places, key).select("_row.*", at["shard"].alias("shard"), at["slot"].alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
