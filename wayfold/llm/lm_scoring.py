@@ -12,8 +12,8 @@ word if it is known, else the root. Weights are log10.
 
 Distribution. The automaton grows with the corpus and is never held whole. Documents go
 to blocks of about BLOCK_BYTES by a hash of the id. Each block counts its n-grams; counts
-meet in hash buckets (one packed row per block and bucket), and a bucket sends a block
-the totals of its n-grams where they differ from the block's own. So a block reads its
+meet in hash buckets (one packed row per block and bucket), and a bucket tells a block
+which of its counts differ from the totals, and those. N and V come from a first pass over words. So a block reads its
 texts with exactly the arcs that they can take, and a task holds one block or one bucket,
 whatever the size of the corpus; a frequent n-gram is one number a block.
 
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, table
-from wayfold.llm.textnp import buffers, column, combine, hashes, signed, spans
+from wayfold.llm.common import table
+from wayfold.llm.textnp import buffers, column, combine, hashes, slices, spans
 
 BLOCK_BYTES = 12 << 20
 MU = 100.0
@@ -79,7 +79,7 @@ def pack(x: np.ndarray) -> bytes:
     return len(x).to_bytes(8, "little") + pa.Codec(_CODEC, 1).compress(planes, asbytes=True)
 
 
-def unpack(b: bytes, kind: type) -> np.ndarray:
+def unpack(b: bytes, kind: type | str) -> np.ndarray:
     n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
     planes = pa.Codec(_CODEC).decompress(b[8:], n * width, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
@@ -93,56 +93,90 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _grams(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Order, distinct keys, training counts and places of the n-grams of some texts; bigram keys have 48 bits."""
     w, v, doc = tokens(column(t, "text"))
     train = ~held_out(column(t, "doc_id"))[doc]
     yield 1, *counted(w, train)
     yield 2, *counted(combine(v, w), train)
 
 
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Bucket and places of its keys, which stay sorted."""
+    b = _bucket_of(keys, buckets)
+    order = np.argsort(b, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+        if len(part):
+            yield int(b[part[0]]), part
+
+
+def _sent(keys: np.ndarray, gram: int) -> bytes:
+    """Keys of one bucket. A bigram's last 16 bits stay behind: the bucket and 48 bits tell bigrams apart."""
+    return pack(keys) if gram == 1 else pack(np.ascontiguousarray((keys >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1).view("S6"))
+
+
+def _received(b: bytes, gram: int) -> np.ndarray:
+    if gram == 1:
+        return unpack(b, np.uint64)
+    six = unpack(b, "S6")
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(six.tobytes(), np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view(np.uint64)
+
+
 def _count_block(buckets: int):
     def count(t: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k.split()[0]: [] for k in PARTS.split(", ")}
         block = column(t, "block")[0].as_py()
         for gram, keys, counts, _ in _grams(t):
-            b = _bucket_of(keys, buckets)
-            order = np.argsort(b, kind="stable")  # keys stay sorted within a bucket
-            edge = np.flatnonzero(np.diff(b[order])) + 1
-            for part in np.split(order, edge):
-                if len(part):
-                    for k, x in zip(rows, (block, int(b[part[0]]), gram, pack(keys[part]), pack(counts[part])), strict=True):
-                        rows[k].append(x)
+            for b, part in _by_bucket(keys, buckets):
+                for k, x in zip(rows, (block, b, gram, _sent(keys[part], gram), pack(counts[part])), strict=True):
+                    rows[k].append(x)
         return pa.table([pa.array(x, k) for x, k in zip(rows.values(), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=list(rows))
 
     return count
 
 
-def _merge_bucket(t: pa.Table) -> pa.Table:
-    """For every block the totals that differ from its own counts; as block -1 the sums over unigrams."""
-    blocks = column(t, "block").to_pylist()
-    keys = [unpack(b, np.uint64) for b in column(t, "keys").to_pylist()]
-    counts = [unpack(b, np.int64) for b in column(t, "counts").to_pylist()]
+def _merged(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each row, the distinct keys of all, their totals, and the places of all rows' keys."""
     gram = column(t, "gram")[0].as_py()
+    keys = [_received(b, gram) for b in column(t, "keys").to_pylist()]
+    counts = [unpack(b, np.int64) for b in column(t, "counts").to_pylist()]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-    rows: dict[str, list] = {"block": [], "gram": [], "keys": [], "totals": [], "n": [], "v": [], "ends": []}
+    return counts, distinct, np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64), at
+
 
-    def add(*x) -> None:
-        for k, y in zip(rows, x, strict=True):
-            rows[k].append(y)
+TOTALS = "block int, bucket int, gram int, differs binary, totals binary"
 
+
+def _merge_bucket(t: pa.Table) -> pa.Table:
+    """For every block of a bucket which of its counts differ from the corpus totals, and those totals."""
+    counts, _, total, at = _merged(t)
+    rows: dict[str, list] = {"block": [], "bucket": [], "gram": [], "differs": [], "totals": []}
     i = 0
-    for block, k, c in zip(blocks, keys, counts, strict=True):
-        all_ = total[at[i : i + len(k)]]
-        i += len(k)
+    for block, c in zip(column(t, "block").to_pylist(), counts, strict=True):
+        all_ = total[at[i : i + len(c)]]
+        i += len(c)
         differs = all_ != c
         if differs.any():
-            add(block, gram, pack(k[differs]), pack(all_[differs]), 0, 0, 0)
-    if gram == 1:
-        add(-1, 1, b"", b"", int(total.sum()), int((total > 0).sum()), int(total[distinct == END].sum()))
-    return pa.table([pa.array(x, k) for x, k in zip(rows.values(), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=list(rows))
+            for k, x in zip(rows, (block, column(t, "bucket")[0].as_py(), column(t, "gram")[0].as_py(), pack(np.packbits(differs)), pack(all_[differs])), strict=True):
+                rows[k].append(x)
+    return pa.table([pa.array(x, k) for x, k in zip(rows.values(), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=list(rows))
+
+
+def _unigram_parts(buckets: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, size=BLOCK_BYTES):
+            gram, keys, counts, _ = next(_grams(batch))
+            rows = [(b, gram, pack(keys[part]), pack(counts[part])) for b, part in _by_bucket(keys, buckets)]
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "gram", "keys", "counts"])
+
+    return run
 
 
-TOTALS = "block int, gram int, keys binary, totals binary, n long, v long, ends long"
+def _bucket_sums(t: pa.Table) -> pa.Table:
+    _, distinct, total, _ = _merged(t)
+    return pa.table({"n": [int(total.sum())], "v": [int((total > 0).sum())], "ends": [int(total[distinct == END].sum())]})
 
 
 class Automaton:
@@ -167,7 +201,7 @@ class Automaton:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_block(n: int, v: int, starts: int):
+def _score_block(buckets: int, n: int, v: int, starts: int):
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
         ids = column(docs, "doc_id")
         if not docs.num_rows:
@@ -176,9 +210,11 @@ def _score_block(n: int, v: int, starts: int):
         out = held_out(ids)
         grams, places = [], []
         for gram, keys, counts, at in ((1, *counted(w, ~out[doc])), (2, *counted(combine(before, w), ~out[doc]))):
-            for g, k, x in zip(column(totals, "gram").to_pylist(), column(totals, "keys").to_pylist(), column(totals, "totals").to_pylist(), strict=True):
+            places_of = dict(_by_bucket(keys, buckets))
+            for g, b, bits, x in zip(*(column(totals, c).to_pylist() for c in ("gram", "bucket", "differs", "totals")), strict=True):
                 if g == gram:
-                    counts[np.searchsorted(keys, unpack(k, np.uint64))] = unpack(x, np.int64)
+                    part = places_of[b]
+                    counts[part[np.unpackbits(unpack(bits, np.uint8), count=len(part)).astype(bool)]] = unpack(x, np.int64)
             grams.append((keys, counts))
             places.append(at)
         words, unigrams = grams[0]
@@ -202,13 +238,15 @@ def _score_block(n: int, v: int, starts: int):
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    rows = docs.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)").alias("block")).repartition(int(blocks), "block")
-    parts = rows.groupBy("block").applyInArrow(_count_block(int(blocks)), PARTS)
-    totals = cut(parts.groupBy("bucket", "gram").applyInArrow(_merge_bucket, TOTALS))
-    n, v, starts = totals.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
-    own = totals.where("block >= 0").select("block", "gram", "keys", "totals").repartition(int(blocks), "block")
-    scored = rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_score_block(n, v, starts), SCORES)
+    blocks = int(max(1, -(-size // block_bytes)))
+    words = docs.select("doc_id", "text").mapInArrow(_unigram_parts(blocks), "bucket int, gram int, keys binary, counts binary")
+    sums = words.groupBy("bucket").applyInArrow(_bucket_sums, "n long, v long, ends long")
+    n, v, starts = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "ends")]).first()
+    # one exchange of the texts serves the counts and the scores
+    rows = docs.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)").alias("block")).repartition(blocks, "block")
+    parts = rows.groupBy("block").applyInArrow(_count_block(blocks), PARTS)
+    totals = parts.repartition(blocks, "bucket", "gram").groupBy("bucket", "gram").applyInArrow(_merge_bucket, TOTALS).repartition(blocks, "block")
+    scored = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score_block(blocks, n, v, starts), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
