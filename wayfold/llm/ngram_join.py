@@ -12,13 +12,13 @@ A document is its set of distinct k-word shingles (64-bit hashes). Two documents
    block, so linked sets have equal sketches in s + 1 blocks at least (pigeonhole).
    A document with at most s empty blocks leaves those out: one filled block remains equal.
 3. (band, block, sketch) keys are dealt and sorted by Spark; one pass streams over them and
-   gives every key held by two classes or more its first class as leader.
+   keeps the keys held by two classes or more; a key's leader is its class with most such keys.
 4. A key with more than HOT classes is hot. A document with at most s hot keys (empty
    blocks counted) leaves all of them out, by the same argument: of two linked documents
    either both keep their hot keys, or one has at most s, and one equal block is neither.
-5. Every class is compared with the leaders of its keys; links so found are joined into
-   components. Only where a key still holds classes of different components are those
-   compared with one another. So a large group of near copies costs a comparison or a few
+5. Every class is compared with the leader that it shares most keys with; links so found are
+   joined into components. Only where a key still holds classes of different components are
+   those compared with one another. So a large group of near copies costs a comparison or a few
    for each member, not for each pair, and no link between components is lost.
 6. A comparison first asks sizes and 256-bit parity sketches of the whole sets, whose
    Hamming distance is at most the symmetric difference, then the sets themselves.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, table
 from wayfold.llm.components import components
-from wayfold.llm.textnp import buffers, column, combine, hashes, mix, signed, slices, spans, unsigned
+from wayfold.llm.textnp import buffers, column, combine, hashes, mix, signed, slices, spans
 
 #: More classes than this make a key hot.
 HOT = 64
@@ -49,6 +49,8 @@ ONE = np.uint64(1)
 BAND_BITS = np.uint64(8)
 #: So many ids (8 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Partners of one class that are compared in one place.
+SALT = 500
 
 
 class Bands:
@@ -186,45 +188,135 @@ def _emit_keys(bands: Bands):
     return run
 
 
-SHARED = "key long, cls long, spare int, nth long"
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
 
 
-def _shared_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys with two classes or more, from rows sorted by (key, cls), each class once; nth counts the classes of a key from 0.
+SHARED = "key long, cls long, spare int, hot boolean"
 
-    One row is held at a time, so a key may have any number of classes.
+
+def _shared_keys(hot: int):
+    """Rows of keys with two classes or more, from rows sorted by (key, cls), each class once; hot: the key has more than hot classes.
+
+    At most hot rows of a key are held; the rows of a hot key go straight through.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last key, which may go on
+        open_hot = last = None  # a key known to be hot, and the class that came last in it
+
+        def out(rows: list[np.ndarray], is_hot: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(is_hot)], names=["key", "cls", "spare", "hot"])
+
+        for batch in it:
+            rows = [np.asarray(column(batch, c)) for c in ("key", "cls", "spare")]
+            if held is not None:
+                rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
+                held = None
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            if open_hot is not None and len(new):
+                new[0] = rows[0][0] != open_hot or rows[1][0] != last
+            rows = [r[new] for r in rows]
+            if open_hot is not None and len(rows[0]):
+                differs = rows[0] != open_hot
+                n = int(np.argmax(differs)) if differs.any() else len(differs)
+                if n:
+                    yield out([r[:n] for r in rows], np.ones(n, bool))
+                    last = rows[1][n - 1]
+                    rows = [r[n:] for r in rows]
+            if not len(rows[0]):
+                continue
+            open_hot = None
+            at = _runs(rows[0])
+            size = np.repeat(np.diff(at), np.diff(at))
+            whole = np.arange(len(size)) < at[-2]  # all but the last key
+            keep = whole & (size > 1)
+            yield out([r[keep] for r in rows], size[keep] > hot)
+            held = [r[at[-2] :] for r in rows]
+            if len(held[0]) > hot:
+                yield out(held, np.ones(len(held[0]), bool))
+                open_hot, last, held = held[0][0], held[1][-1], None
+        if held is not None and len(held[0]) > 1:
+            yield out(held, np.zeros(len(held[0]), bool))
+
+    return run
+
+
+def _without_hot(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, cls, shares from rows sorted by cls: hot keys left out where a class has few enough of them in a band (4. above); shares counts what stays.
+
+    The rows of one class are held: as many as its document has blocks.
     """
-    last = None  # key, class, spare and nth of the last row; it is still to be given out if it began its key
+    held = None
+
+    def done(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, cls, spare, hot = rows
+        band = key.view(np.uint64) >> (np.uint64(64) - BAND_BITS)
+        _, group = np.unique(np.stack((cls, band.view(np.int64))), axis=1, return_inverse=True)
+        group = group.reshape(-1)
+        few = np.bincount(group, weights=hot) <= np.bincount(group, weights=spare) / np.bincount(group)
+        keep = ~(hot & few[group])
+        key, cls = key[keep], cls[keep]
+        at = _runs(cls) if len(cls) else np.zeros(1, np.int64)
+        shares = np.repeat(np.diff(at), np.diff(at))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(shares.astype(np.int32))], names=["key", "cls", "shares"])
+
     for batch in it:
-        key, cls, spare = (np.asarray(column(batch, c)) for c in ("key", "cls", "spare"))
-        if last is not None:
-            key, cls, spare = np.append(last[0], key), np.append(last[1], cls), np.append(last[2], spare)
+        rows = [np.asarray(column(batch, "key")), np.asarray(column(batch, "cls")), np.asarray(column(batch, "spare")), column(batch, "hot").to_numpy(zero_copy_only=False)]
+        if held is not None:
+            rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        at = _runs(rows[1])
+        if len(at) > 2:
+            yield done([r[: at[-2]] for r in rows])
+        held = [r[at[-2] :] for r in rows]
+    if held is not None:
+        yield done(held)
+
+
+def _led(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, cls, lead from rows sorted by (key, shares and cls falling): the first of a key leads the others; it gets no row if it is alone."""
+    at = lead = None
+    for batch in it:
+        key, cls = np.asarray(column(batch, "key")), np.asarray(column(batch, "cls"))
         if not len(key):
             continue
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, spare = key[new], cls[new], spare[new]
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        head = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-        nth = np.arange(len(key)) - head
-        carried = last[3] if last is not None else 0
-        nth[head == 0] += carried
-        many = ~start
-        many[:-1] |= ~start[1:]
-        many[0] &= carried == 0  # given out before if it did not begin its key
-        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cls[many]), pa.array(spare[many], pa.int32()), pa.array(nth[many])], names=["key", "cls", "spare", "nth"])
-        last = (key[-1], cls[-1], spare[-1], int(nth[-1]))
-
-
-def _set_rows(k: int):
+        begin = _runs(key)
+        leads = cls[begin[:-1]]
+        if key[0] == at:
+            leads = np.concatenate(([lead], leads[1:]))
+        every = np.repeat(leads, np.diff(begin))
+        at, lead = key[-1], every[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(every)], names=["key", "cls", "lead"])
+
+
+def _compared(bands: Bands):
+    """x, y of linked pairs, from rows (x, salt, y, text) sorted so that the leader's own row (y null) comes first."""
+
+    def sets(batch: pa.RecordBatch):
+        sh, sizes = shingle_sets(column(batch, "text"), bands.k)
+        return np.split(sh, np.cumsum(sizes)[:-1]), class_of(sh, sizes)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lead = None, None
         for batch in slices(it):
-            sh, sizes = shingle_sets(column(batch, "text"), k)
-            right = class_of(sh, sizes) == unsigned(np.asarray(column(batch, "cls")))
-            sh, sizes = sh[np.repeat(right, sizes)], sizes[right]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(signed(sh)))
-            yield pa.RecordBatch.from_arrays([column(batch, "cls").filter(pa.array(right)), lists], names=["cls", "sh"])
+            found, own = sets(batch)
+            out: list[tuple[int, int]] = []
+            rows = zip(column(batch, "x").to_pylist(), column(batch, "salt").to_pylist(), column(batch, "y").to_pylist(), found, own.tolist(), strict=True)
+            for x, salt, y, sh, cls in rows:
+                # a repeated doc_id may bring other texts along; the set must be of the class asked for
+                if np.int64(x if y is None else y).view(np.uint64) != np.uint64(cls):
+                    continue
+                if y is None:
+                    at, lead = (x, salt), sh
+                elif at == (x, salt):
+                    both = len(np.intersect1d(lead, sh, assume_unique=True))
+                    if both * (bands.den + bands.num) >= (len(lead) + len(sh)) * bands.num:
+                        out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["x", "y"])
 
     return run
 
@@ -238,17 +330,21 @@ def _plausible(bands: Bands) -> Column:
 
 
 def _verified(likely: DataFrame, classes: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
-    """Of pairs (x, y, nx, ny) of classes those whose sets link, as (x, y), cut."""
-    asked = likely.select(F.col("x").alias("cls")).union(likely.select(F.col("y").alias("cls"))).distinct()
-    ids = cut(asked.join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id")))
+    """Of pairs (x, y) of classes those whose sets link, cut.
+
+    Texts move (they compress; sets of hashes do not): each y's to its x, and x's own once to
+    every SALT of its partners, where one streaming pass holds one leader's set at a time.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = likely.groupBy("x").agg(F.count(F.lit(1)).alias("c")).select("x", F.expr(f"cast(1 + c div {SALT} as int)").alias("salts"))
+    asked = likely.join(salts, "x").select(F.col("y").alias("cls"), "x", F.expr("cast(pmod(xxhash64(y), salts) as int)").alias("salt"), "y")
+    own = salts.select(F.col("x").alias("cls"), "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("y"))
+    rows = cut(asked.union(own).join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").drop("cls"))
+    ids = rows.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # a repeated doc_id may bring other texts along; the set must be of the class asked for
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("cls", "text")
-    sets = texts.mapInArrow(_set_rows(bands.k), "cls long, sh array<long>").dropDuplicates(["cls"])
-    x, y = sets.select(F.col("cls").alias("x"), F.col("sh").alias("shx")), sets.select(F.col("cls").alias("y"), F.col("sh").alias("shy"))
-    both = F.size(F.array_intersect("shx", "shy"))
-    linked = likely.join(x, "x").join(y, "y").where(both * (bands.den + bands.num) >= (F.col("nx") + F.col("ny")) * bands.num)
-    return cut(linked.select("x", "y"))
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").join(rows, "doc_id").select("x", "salt", "y", "text")
+    met = texts.repartition(parts, "x", "salt").sortWithinPartitions("x", "salt", F.col("y").asc_nulls_first())
+    return cut(met.mapInArrow(_compared(bands), "x long, y long").distinct())
 
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -260,11 +356,16 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     classes = cut(own.where("rep IS NOT NULL"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = docs.mapInArrow(_emit_keys(bands), "key long, cls long, spare int").repartition(parts, "key").sortWithinPartitions("key", "cls")
-    shared = _led(_without_hot(cut(keys.mapInArrow(_shared_keys, SHARED))))
+    keys = keys.mapInArrow(_shared_keys(HOT), SHARED).repartition(parts, "cls").sortWithinPartitions("cls", "key")
+    keys = keys.mapInArrow(_without_hot, "key long, cls long, shares int").repartition(parts, "key")
+    keys = keys.sortWithinPartitions("key", F.col("shares").desc(), F.col("cls").desc())
+    shared = cut(keys.mapInArrow(_led, "key long, cls long, lead long"))
     a, b = classes.alias("a"), classes.alias("b")
-    star = shared.where("cls <> lead").select(F.least("lead", "cls").alias("x"), F.greatest("lead", "cls").alias("y")).distinct()
+    star = shared.where("cls <> lead").groupBy(F.col("lead").alias("x"), F.col("cls").alias("y")).agg(F.count(F.lit(1)).alias("keys"))
     star = star.join(a, F.col("x") == F.col("a.cls")).join(b, F.col("y") == F.col("b.cls")).where(_plausible(bands))
-    links = _verified(cut(star.select("x", "y", F.col("a.n").alias("nx"), F.col("b.n").alias("ny"))), classes, docs, bands)
+    # first each class with the one leader that it shares most with; that settles most groups
+    tried = cut(star.groupBy("y").agg(F.max(F.struct("keys", "x"))["x"].alias("x")).select("x", "y"))
+    links = _verified(tried, classes, docs, bands)
     rep = classes.select("cls", "rep")
 
     def by_rep(e: DataFrame) -> DataFrame:
@@ -272,13 +373,21 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         return e.join(rep.select(F.col("cls").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
 
     found = components(by_rep(links))
-    placed = shared.join(classes, "cls").join(found, F.col("rep") == F.col("v"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("v", "component")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(placed.join(mixed, "key"))
+    # the component of every class that shares a key; a key is open if some class is not of its leader's component
+    sharing = shared.where("cls <> lead").select(F.explode(F.array("cls", "lead")).alias("cls")).distinct()
+    member = classes.join(sharing, "cls").join(found, F.col("rep") == F.col("v"), "left")
+    member = cut(member.withColumn("comp", F.coalesce("component", "rep")).drop("v", "component"))
+    comp_of = member.select("cls", "comp")
+    comp_of = F.broadcast(comp_of) if member.count() <= BROADCAST_IDS else comp_of
+    lead_of = comp_of.select(F.col("cls").alias("lead"), F.col("comp").alias("_lead"))
+    strays = shared.where("cls <> lead").join(comp_of, "cls").join(lead_of, "lead").where("comp <> _lead").select("key").distinct()
+    strays = cut(strays)
+    strays = F.broadcast(strays) if strays.count() <= BROADCAST_IDS else strays
+    open_ = cut(shared.join(strays, "key").join(member, "cls"))
     a, b = open_.alias("a"), open_.alias("b")
-    other = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.cls") != F.col("a.lead")) & (F.col("b.cls") != F.col("a.lead"))
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & other & _plausible(bands))
-    across = cut(across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct())
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _plausible(bands))
+    across = across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
+    across = cut(across.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
     if not across.isEmpty():
         links = links.union(_verified(across, classes, docs, bands))
         found = components(by_rep(links))
@@ -288,23 +397,6 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _without_hot(shared: DataFrame) -> DataFrame:
-    """key, cls without the hot keys of classes that have few enough of them in their band (see 4. above)."""
-    hot = shared.groupBy("key").agg(F.max("nth").alias("m")).where(f"m >= {HOT}").select("key", F.lit(True).alias("hot"))
-    marked = shared.join(hot, "key", "left").withColumn("band", F.shiftrightunsigned("key", 64 - int(BAND_BITS)))
-    few = marked.where("hot").groupBy("cls", "band").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).where("n <= spare")
-    few = few.select("cls", "band", F.lit(True).alias("few"))
-    return marked.join(few, ["cls", "band"], "left").where("hot IS NULL OR few IS NULL").select("key", "cls")
-
-
-def _led(shared: DataFrame) -> DataFrame:
-    """key, cls, lead, cut: a key's leader is its class with the most shared keys, the likeliest original of copies."""
-    of = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("shares"))
-    rows = cut(shared.join(of, "cls"))
-    lead = rows.groupBy("key").agg(F.max(F.struct("shares", "cls"))["cls"].alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "lead")
-    return cut(rows.join(lead, "key").select("key", "cls", "lead"))
-
-
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
