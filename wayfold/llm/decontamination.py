@@ -7,8 +7,8 @@ edit distance agree in most places of their outputs, since walks that an edit pu
 step tend to meet again. Each of WALKS repetitions samples SAMPLES places of the output, the
 first always; the sampled tokens are the LSH key.
 
-Items are embedded from several starts (STARTS, evenly spaced), the texts from every
-token on, so an item-sized window is found by any stretch of it that was left as it was;
+Items are embedded from several starts (STARTS even stretches, the rarest token of each), the
+texts from every token on, so an item-sized window is found by any stretch of it that was left as it was;
 a window whose first token starts no item is out at once, and the others are followed from
 sample to sample only as long as the samples are the beginning of some item's key.
 
@@ -74,6 +74,11 @@ class Index:
         h, at = tokens(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.item = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        data, offsets = buffers(pa.array([t for _, t in items], pa.string()))
+        begin, end, _ = spans(data, offsets, PUNCT)
+        _, of, count = np.unique(h, return_inverse=True, return_counts=True)
+        common = count[of] * 1000 - np.minimum(end - begin, 99)  # of equally frequent tokens the longer is rarer in texts
+        self.common = np.split(common, at[1:-1]) if len(items) else []
         self.classes = []
         # short items have short walks, so that no walk leaves its item
         for low, high in ((1, MIN_TOKENS), (MIN_TOKENS, steps + 1), (steps + 1, 1 << 40)):
@@ -81,8 +86,13 @@ class Index:
             if some:
                 self.classes.append(self._built(some, min(steps, low), starts))
 
+    def _starts(self, k: int, steps: int, starts: int) -> list[int]:
+        """One start in each of starts even stretches of an item: the token that is rarest in the benchmark, so few windows begin like it."""
+        room = max(0, len(self.item[k]) - steps) + 1
+        return [int(part[np.argmin(self.common[k][part])]) for part in np.array_split(np.arange(room), starts) if len(part)]
+
     def _built(self, some: list[int], steps: int, starts: int) -> dict:
-        places = sorted({(k, s) for k in some for s in np.linspace(0, max(0, len(self.item[k]) - steps), starts).astype(int).tolist()})
+        places = sorted({(k, s) for k in some for s in self._starts(k, steps, starts)})
         flat = np.concatenate([self.item[k][s : s + steps] for k, s in places])
         base = np.concatenate(([0], np.cumsum([min(steps, len(self.item[k]) - s) for k, s in places])))[:-1]
         out = {"steps": steps, "places": np.array(places), "walks": []}
