@@ -21,7 +21,8 @@ A document is its set of distinct k-word shingles (64-bit hashes). Two documents
    those compared with one another. So a large group of near copies costs a comparison or a few
    for each member, not for each pair, and no link between components is lost.
 6. A comparison first asks sizes and 256-bit parity sketches of the whole sets, whose
-   Hamming distance is at most the symmetric difference, then the sets themselves.
+   Hamming distance is at most the symmetric difference, between components also 4096-bit
+   ones, then the sets themselves.
 
 Edge cases: a null or empty text has no shingles, links with nothing and is its own
 component; with fewer than k words the whole sequence is the one shingle; repeated rows
@@ -321,6 +322,41 @@ def _compared(bands: Bands):
     return run
 
 
+#: Bits of the wide sketch; a few thousand differing shingles still tell in it.
+WIDE = 4096
+
+
+def _wide_rows(k: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it):
+            sh, sizes = shingle_sets(column(batch, "text"), k)
+            right = class_of(sh, sizes) == np.asarray(column(batch, "cls")).view(np.uint64)
+            n = len(sizes)
+            cell = np.repeat(np.arange(n), sizes) * WIDE + (mix(sh ^ np.uint64(0x510E527FADE682D1)) % np.uint64(WIDE)).astype(np.int64)
+            parity = np.packbits(np.bincount(cell, minlength=n * WIDE) & 1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (WIDE // 64), pa.int32()), pa.array(parity))
+            yield pa.RecordBatch.from_arrays([column(batch, "cls").filter(pa.array(right)), lists.filter(pa.array(right))], names=["cls", "wide"])
+
+    return run
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs joined with rows of ids (doc_id and more); ids are broadcast if they are few."""
+    ids = cut(ids)
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+
+def _sifted(pairs: DataFrame, classes: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (x, y) whose wide parity sketches allow a link; a sketch is 512 bytes, a text is some thousands."""
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes.select("cls", "n", F.col("rep").alias("doc_id")), "cls")
+    wide = _texts_of(asked.select("doc_id", "cls"), docs).select("cls", "text").mapInArrow(_wide_rows(bands.k), "cls long, wide array<long>")
+    wide = cut(wide.dropDuplicates(["cls"]).join(asked.select("cls", "n"), "cls"))
+    x, y = (wide.select(F.col("cls").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
+    bits = F.aggregate(F.zip_with("wx", "wy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    both = pairs.join(x, "x").join(y, "y")
+    return cut(both.where(bits * (bands.den + bands.num) <= (F.col("nx") + F.col("ny")) * (bands.den - bands.num)).select("x", "y"))
+
+
 def _plausible(bands: Bands) -> Column:
     """Sizes and whole-set parity sketches allow a link of classes a and b."""
     bits = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
@@ -339,10 +375,8 @@ def _verified(likely: DataFrame, classes: DataFrame, docs: DataFrame, bands: Ban
     salts = likely.groupBy("x").agg(F.count(F.lit(1)).alias("c")).select("x", F.expr(f"cast(1 + c div {SALT} as int)").alias("salts"))
     asked = likely.join(salts, "x").select(F.col("y").alias("cls"), "x", F.expr("cast(pmod(xxhash64(y), salts) as int)").alias("salt"), "y")
     own = salts.select(F.col("x").alias("cls"), "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("y"))
-    rows = cut(asked.union(own).join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").drop("cls"))
-    ids = rows.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").join(rows, "doc_id").select("x", "salt", "y", "text")
+    rows = asked.union(own).join(classes.select("cls", F.col("rep").alias("doc_id")), "cls").drop("cls")
+    texts = _texts_of(rows, docs).select("x", "salt", "y", "text")
     met = texts.repartition(parts, "x", "salt").sortWithinPartitions("x", "salt", F.col("y").asc_nulls_first())
     return cut(met.mapInArrow(_compared(bands), "x long, y long").distinct())
 
@@ -388,6 +422,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _plausible(bands))
     across = across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
     across = cut(across.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
+    across = across if across.isEmpty() else _sifted(across, classes, docs, bands)
     if not across.isEmpty():
         links = links.union(_verified(across, classes, docs, bands))
         found = components(by_rep(links))
