@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import cut, table
 from wayfold.llm.components import components
 from wayfold.llm.textnp import buffers, column, combine, hashes, mix, signed, slices, spans
+from wayfold.sources.shared import drop, release, stored
 
 #: More classes than this make a key hot.
 HOT = 64
@@ -393,7 +394,10 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     keys = keys.mapInArrow(_shared_keys(HOT), SHARED).repartition(parts, "cls").sortWithinPartitions("cls", "key")
     keys = keys.mapInArrow(_without_hot, "key long, cls long, shares int").repartition(parts, "key")
     keys = keys.sortWithinPartitions("key", F.col("shares").desc(), F.col("cls").desc())
-    shared = cut(keys.mapInArrow(_led, "key long, cls long, lead long"))
+    spark = docs.sparkSession
+    shared, path = stored(keys.mapInArrow(_led, "key long, cls long, lead long"))
+    del keys
+    release(spark)
     a, b = classes.alias("a"), classes.alias("b")
     star = shared.where("cls <> lead").groupBy(F.col("lead").alias("x"), F.col("cls").alias("y")).agg(F.count(F.lit(1)).alias("keys"))
     star = star.join(a, F.col("x") == F.col("a.cls")).join(b, F.col("y") == F.col("b.cls")).where(_plausible(bands))
@@ -418,6 +422,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     strays = cut(strays)
     strays = F.broadcast(strays) if strays.count() <= BROADCAST_IDS else strays
     open_ = cut(shared.join(strays, "key").join(member, "cls"))
+    drop(spark, path)  # all that was read from it is materialised
     a, b = open_.alias("a"), open_.alias("b")
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _plausible(bands))
     across = across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
