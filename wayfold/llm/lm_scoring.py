@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import table
 from wayfold.llm.textnp import buffers, column, combine, hashes, slices, spans
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 MU = 100.0
 END, START = np.uint64(1), np.uint64(2)
 
