@@ -183,6 +183,20 @@ def test_ngram_join(spark, k, num, den, hot, monkeypatch):
     assert got == brute_components(rows, k, num, den)
 
 
+def test_ngram_join_null_id_centre(spark):
+    rng = random.Random(21)
+    rows, nulls = [], []
+    for g in range(4):  # a text without an id, and copies of it with one edit each
+        w = words(rng, 300)
+        nulls.append((None, " ".join(w)))
+        for j in range(5):
+            rows.append((100 * g + j, " ".join([*w[: 40 * j + 20], f"c{g}y{j}", *w[40 * j + 21 :]]), None))
+    df = spark.createDataFrame([*((i, t) for i, t, _ in rows), *nulls], "doc_id long, text string")
+    got = ngram_join.join_components(df, 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_components(rows, 3, 90, 100)
+    assert [r.component_id for r in got if r.doc_id is None] == [None] * 4
+
+
 def test_near_dups_keep_one_of_each_group(spark):
     base = " ".join(words(random.Random(9), 200))
     rows = [(5, base), (7, base + " x"), (9, None), (10, ""), (11, "short text"), (11, "short text"), (None, base)]

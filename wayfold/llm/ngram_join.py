@@ -390,7 +390,8 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     own = rows.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)])
     classes = cut(own.where("rep IS NOT NULL"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = docs.mapInArrow(_emit_keys(bands), "key long, cls long, spare int").repartition(parts, "key").sortWithinPartitions("key", "cls")
+    # a class whose rows have no id forms no component: it must not lead a key either
+    keys = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_keys(bands), "key long, cls long, spare int").repartition(parts, "key").sortWithinPartitions("key", "cls")
     keys = keys.mapInArrow(_shared_keys(HOT), SHARED).repartition(parts, "cls").sortWithinPartitions("cls", "key")
     keys = keys.mapInArrow(_without_hot, "key long, cls long, shares int").repartition(parts, "key")
     keys = keys.sortWithinPartitions("key", F.col("shares").desc(), F.col("cls").desc())
