@@ -205,6 +205,21 @@ def test_near_dups_keep_one_of_each_group(spark):
     assert near_dups.keep_first(df.limit(0)).count() == 0
 
 
+def test_near_dups_judge_rows_not_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (" ".join(words(rng, 200)) for _ in range(5))
+    rows = [(5, a), (None, a), (None, b), (None, c), (None, None), (8, c + " x"), (8, d), (8, d + " x"), (8, ""), (8, None), (9, a + " x"), (9, e), (3, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_dups.keep_first(df)
+    assert got.columns == df.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert {t for i, t in left if i is None} == {b, None} and sum(i is None for i, _ in left) == 2
+    assert {(i, t) for i, t in left if i not in (None, 8)} == {(5, a), (9, e), (3, c)}
+    eight = [t for i, t in left if i == 8]
+    assert sum(not t for t in eight) == 1 and sum(t in (d, d + " x") for t in eight) == 1 and len(eight) == 2
+    assert len(left) == 7
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3), (7, 7)]

@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut
-from wayfold.llm.ngram_join import BROADCAST_IDS, join_components
+from wayfold.llm.ngram_join import BROADCAST_IDS, row_firsts, with_class
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those linked (directly or not) to a smaller doc_id; all columns.
 
-    Rows without words link with nothing and stay, unless another row has their doc_id: of
-    rows with one doc_id one stays. A row with a null doc_id goes if a row with an id has its shingles.
+    Rows are judged each by its own text, also where several have one doc_id: of those with equal
+    shingles (or no words at all) one stays, of linked ones one, and other texts all stay.
+    Rows without words link with nothing. A row with a null doc_id goes if a row with an id has its
+    shingles, and stays otherwise.
     """
-    found = cut(join_components(docs, k, num, den).select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    again = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if again.isEmpty():
+    found = cut(row_firsts(docs, k, num, den))
+    gone = found.where("first_id IS NOT NULL AND NOT (doc_id <=> first_id AND cls = first_cls)").select("doc_id", "cls").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ids = cut(gone.where("doc_id IS NOT NULL").select("doc_id").union(again).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = docs.where("doc_id IS NOT NULL").join(ids.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if again.isEmpty() and found.where("doc_id IS NULL").isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in docs.columns]))
+    # where a doc_id is no key, the class of the row's text tells its rows apart
+    some = again.withColumnRenamed("doc_id", "_again")
+    rest = docs.where("doc_id IS NOT NULL").join(some, F.col("doc_id") == F.col("_again"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    lost = gone.select(F.col("doc_id").alias("_gone"), F.col("cls").alias("_gone_cls"))
+    rest = with_class(rest, k).join(lost, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_cls") == F.col("_gone_cls")), "left_anti")
+    once = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_cls"]).unionByName(rest.where("doc_id IS NULL"))
+    return kept.unionByName(once.drop("_cls"))

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wayfold.llm.common import cut, table
 from wayfold.llm.components import components
@@ -382,13 +383,13 @@ def _verified(likely: DataFrame, classes: DataFrame, docs: DataFrame, bands: Ban
     return cut(met.mapInArrow(_compared(bands), "x long, y long").distinct())
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text)."""
+def _joined(docs: DataFrame, k: int, num: int, den: int, vertex: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class, classes with an id, and components of vertices: rep (classes with one id are one) or cls."""
     bands = Bands(k, num, den)
     docs = docs.select("doc_id", "text")
     rows = cut(docs.mapInArrow(_classes(k), CLASSES))
     own = rows.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)])
-    classes = cut(own.where("rep IS NOT NULL"))
+    classes = cut(own.where("rep IS NOT NULL").withColumn("vertex", F.col(vertex)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a class whose rows have no id forms no component: it must not lead a key either
     keys = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_keys(bands), "key long, cls long, spare int").repartition(parts, "key").sortWithinPartitions("key", "cls")
@@ -405,17 +406,17 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     # first each class with the one leader that it shares most with; that settles most groups
     tried = cut(star.groupBy("y").agg(F.max(F.struct("keys", "x"))["x"].alias("x")).select("x", "y"))
     links = _verified(tried, classes, docs, bands)
-    rep = classes.select("cls", "rep")
+    ends = classes.select("cls", "vertex")
 
-    def by_rep(e: DataFrame) -> DataFrame:
-        e = e.join(rep.select(F.col("cls").alias("x"), F.col("rep").alias("a")), "x")
-        return e.join(rep.select(F.col("cls").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
+    def by_vertex(e: DataFrame) -> DataFrame:
+        e = e.join(ends.select(F.col("cls").alias("x"), F.col("vertex").alias("a")), "x")
+        return e.join(ends.select(F.col("cls").alias("y"), F.col("vertex").alias("b")), "y").select("a", "b")
 
-    found = components(by_rep(links))
+    found = components(by_vertex(links))
     # the component of every class that shares a key; a key is open if some class is not of its leader's component
     sharing = shared.where("cls <> lead").select(F.explode(F.array("cls", "lead")).alias("cls")).distinct()
-    member = classes.join(sharing, "cls").join(found, F.col("rep") == F.col("v"), "left")
-    member = cut(member.withColumn("comp", F.coalesce("component", "rep")).drop("v", "component"))
+    member = classes.join(sharing, "cls").join(found, F.col("vertex") == F.col("v"), "left")
+    member = cut(member.withColumn("comp", F.coalesce("component", "vertex")).drop("v", "component"))
     comp_of = member.select("cls", "comp")
     comp_of = F.broadcast(comp_of) if member.count() <= BROADCAST_IDS else comp_of
     lead_of = comp_of.select(F.col("cls").alias("lead"), F.col("comp").alias("_lead"))
@@ -431,13 +432,42 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     across = across if across.isEmpty() else _sifted(across, classes, docs, bands)
     if not across.isEmpty():
         links = links.union(_verified(across, classes, docs, bands))
-        found = components(by_rep(links))
+        found = components(by_vertex(links))
+    return rows, classes, found
+
+
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text)."""
+    rows, classes, found = _joined(docs, k, num, den, "rep")
     whole = found.withColumnRenamed("v", "rep")
     final = classes.select("cls", "n", "rep").join(whole, "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(final, ["cls", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def row_firsts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, cls, first_id, first_cls for every row of docs: its class, and the smallest (doc_id, class) that it is linked to.
+
+    Texts with one doc_id are told apart. The first is null for rows without words and for a class without an id.
+    """
+    rows, classes, found = _joined(docs, k, num, den, "cls")
+    linked = classes.join(found.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "n", "rep", "component")
+    first = linked.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("rep", "cls")).alias("first"))
+    final = linked.join(first, "component", "left").select("cls", "n", F.coalesce("first", F.struct("rep", "cls")).alias("first"))
+    return rows.join(final, ["cls", "n"], "left").select("doc_id", "cls", F.col("first.rep").alias("first_id"), F.col("first.cls").alias("first_cls"))
+
+
+def with_class(docs: DataFrame, k: int) -> DataFrame:
+    """docs with the class of each row's text as _cls."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it):
+            cls = class_of(*shingle_sets(column(batch, "text"), k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(cls))], names=[*batch.schema.names, "_cls"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_cls", LongType())]))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
