@@ -85,3 +85,18 @@ def test_gap_must_grow_for_the_same_pursuers(spark):
     assert check({"a": 3, "b": 2}, {"a": 4, "b": 3, "c": 1})
     assert not check({"a": 3, "b": 2}, {"a": 4})
     assert not check({"a": 3}, {"a": 3})
+
+
+def test_prefix_chain_all_has_every_turn(spark, data):
+    import hashlib
+
+    from wayfold.registry import QUERIES
+
+    got = {(r.episode, r.turn): (r.prefix_length, r.prefix_sha256) for r in QUERIES["prefix_chain_all"](spark, data).collect()}
+    events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect()
+    want, before = {}, {}
+    for r in sorted(events, key=lambda r: (r.user_id, r.ts, r.event_id)):
+        past = before.setdefault(r.user_id, [])
+        want[r.user_id, len(past)] = (len(past), hashlib.sha256("|".join(past).encode()).hexdigest())
+        past.append(r.event_type)
+    assert got == want

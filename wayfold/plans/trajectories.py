@@ -116,6 +116,17 @@ def prefix_chain(t: Tables) -> DataFrame:
     return rows.select("episode", "turn", F.size("before").cast("long").alias("prefix_length"), F.sha2(F.array_join("before", "|"), 256).alias("prefix_sha256"))
 
 
+@query(
+    "prefix_chain_all",
+    f"""WITH {FACTS}, p AS (SELECT *, list(pos) OVER (PARTITION BY episode ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+    SELECT episode, turn, coalesce(len(before), 0)::BIGINT AS prefix_length, sha256(coalesce(array_to_string(before, '|'), '')) AS prefix_sha256 FROM p""",
+)
+def prefix_chain_all(t: Tables) -> DataFrame:
+    """The prefix of every turn; prefix_chain holds each seventh."""
+    rows = T.with_prefix(facts(t), "pos", "before")
+    return rows.select("episode", "turn", F.size("before").cast("long").alias("prefix_length"), F.sha2(F.array_join("before", "|"), 256).alias("prefix_sha256"))
+
+
 @query(
     "reset_differences",
     f"""WITH {FACTS}, s AS (SELECT episode, turn + 1 AS step, turn // 10 AS block, sum(frames) OVER (PARTITION BY episode, turn // 10 ORDER BY turn) AS cum FROM f)
