@@ -1,5 +1,7 @@
 """Solvers: floors, quotas, caps, flow; and that shortages raise."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,26 @@ def test_greedy_cover_meets_floors_and_dedups(spark):
     assert got == S.balanced(df, 12, {"hard": 5, "late": 2}, "s")
 
 
+def test_cover_is_the_same_as_without_a_cap(spark, monkeypatch):
+    from wayfold.plans import pool_queries as P
+    from wayfold.plans.base import Tables
+
+    copies = [(f"c{i:04d}", f"copied{i % 3}", 10_000 + i, ["lost", "near", "progress"]) for i in range(2100)]
+    flagged = [(f"f{i:03d}", f"df{i}", i, [["lost"], ["near", "progress"], ["progress", "lost"]][i % 3]) for i in range(150)]
+    plain = [(f"p{i:03d}", f"dp{i}", i, []) for i in range(400)]
+    data = [(i, d, p, {f: f in fs for f in P.FLOORS}) for i, d, p, fs in copies + flagged + plain]
+    df = spark.createDataFrame(data, "id string, digest string, priority int, flags map<string,boolean>")
+    monkeypatch.setattr(P, "_cover_input", lambda t: df)
+    (got,) = P.cover_verified(Tables(spark, "")).collect()
+    assert tuple(got) == (300, 300, True, True, True)
+    best = {}
+    key = lambda i: (hashlib.md5(f"cover:{i}".encode()).hexdigest(), i)
+    for i, d, p, flags in sorted(data, key=lambda r: (-r[2], key(r[0]))):
+        best.setdefault(d, (i, frozenset(f for f, v in flags.items() if v)))
+    every = sorted(best.values(), key=lambda r: key(r[0]))
+    assert S.balanced(df, 300, P.FLOORS, "cover") == S.greedy_cover(every, 300, P.FLOORS)
+
+
 def test_shortages_raise(spark):
     with pytest.raises(S.Shortage):
         S.balanced(records(spark), 12, {"late": 19}, "s")

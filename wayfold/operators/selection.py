@@ -1,8 +1,8 @@
 """Quota selection. Spark does what is relational; solvers get candidate sets of proven size.
 
 Order-dependent greedy covers and the flow assignment run on the driver over at most
-MAX_CANDIDATES rows; more raise an error (pre-select by cap_candidates, which keeps enough
-rows of every flag for any solution of the given quotas).
+MAX_CANDIDATES rows; more raise an error (balanced pre-selects by cap_candidates, which
+changes no choice).
 """
 
 from __future__ import annotations
@@ -29,10 +29,15 @@ def candidates(df: DataFrame, columns: Sequence[str]) -> list:
     return rows
 
 
-def cap_candidates(df: DataFrame, flags: str, order: Sequence[Column], per_flag: int) -> DataFrame:
-    """Rows that are among the first per_flag of some true flag."""
-    named = df.withColumn("_flag", F.explode(F.map_keys(F.map_filter(flags, lambda k, v: F.coalesce(v, F.lit(False))))))
-    return first_rows(named, ["_flag"], order, per_flag).drop("_flag").dropDuplicates(["id"])
+def cap_candidates(df: DataFrame, flags: str, order: Sequence[Column], count: int) -> DataFrame:
+    """The first count rows of every combination of true flags, of none too.
+
+    A greedy cover of count rows and its fill take a prefix of each combination in their
+    order, so they choose the same rows from these as from all, if digests are distinct.
+    """
+    true = F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: F.coalesce(v, F.lit(False)))))
+    named = df.withColumn("_flags", F.coalesce(F.concat_ws("\x00", true), F.lit("")))
+    return first_rows(named, ["_flags"], order, count).drop("_flags")
 
 
 def greedy_cover(rows: Iterable[tuple[str, frozenset[str]]], count: int, floors: Mapping[str, int]) -> list[str]:
@@ -56,8 +61,9 @@ def greedy_cover(rows: Iterable[tuple[str, frozenset[str]]], count: int, floors:
 def balanced(df: DataFrame, count: int, floors: Mapping[str, int], seed: str) -> list[str]:
     """Distinct digests (the best by priority of each), covered greedily; df: id, digest, priority, flags."""
     unique = first_rows(df, ["digest"], [F.col("priority").desc(), seeded(seed, "id"), F.col("id")])
-    rows = candidates(unique.select("id", seeded(seed, "id").alias("k"), F.map_keys(F.map_filter("flags", lambda k, v: F.coalesce(v, F.lit(False)))).alias("f")), ["id", "k", "f"])
-    return greedy_cover(((r["id"], frozenset(r["f"])) for r in sorted(rows, key=lambda r: (r["k"], r["id"]))), count, floors)
+    few = cap_candidates(unique, "flags", [seeded(seed, "id"), F.col("id")], count)
+    rows = candidates(few.select("id", seeded(seed, "id").alias("k"), F.map_keys(F.map_filter("flags", lambda k, v: F.coalesce(v, F.lit(False)))).alias("f")), ["id", "k", "f"])
+    return greedy_cover(((r["id"], frozenset(r["f"] or ())) for r in sorted(rows, key=lambda r: (r["k"], r["id"]))), count, floors)
 
 
 def quotas(target: Column, share: float) -> tuple[Column, Column]:

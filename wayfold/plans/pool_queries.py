@@ -233,8 +233,7 @@ FLOORS = {"lost": 40, "near": 30, "progress": 40}
 def cover_verified(t: Tables) -> DataFrame:
     """The greedy cover, verified: its size, distinct digests, and whether floors are met."""
     rows = _cover_input(t)
-    few = selection.cap_candidates(rows, "flags", [F.col("priority").desc(), F.col("id")], 2000)
-    chosen = selection.balanced(few, 300, FLOORS, "cover")
+    chosen = selection.balanced(rows, 300, FLOORS, "cover")
     got = rows.join(t.spark.createDataFrame([(i,) for i in chosen], "id string"), "id")
     met = [(M.n(G.flag(F.col("flags"), f)) >= n).alias(f"{f}_met") for f, n in FLOORS.items()]
     return got.agg(F.count(F.lit(1)).cast("int").alias("chosen"), F.count_distinct("digest").cast("int").alias("digests"), *met)
