@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.sources.shared import cut, shared_dir
 
-__all__ = ["WORD", "cut", "let", "running_total", "shared_dir", "source_key", "table", "words"]
+__all__ = ["WORD", "cut", "fresh", "let", "running_total", "shared_dir", "source_key", "table", "words"]
 
 #: A word is a run of bytes other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,16 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores before it until df has no such column (case does not count)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def words(text: Column) -> Column:
     """array<string> of the words of a text; null has none."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " ")

@@ -7,19 +7,22 @@ A document is its set of distinct k-word shingles (64-bit hashes). Two documents
 2. Sizes fall into bands. A document takes part in its own band and in the next, if a
    partner that is larger by what the threshold allows can lie there. In a band whose
    largest size is m, linked sets differ in d = floor(2m(DEN - NUM) / (DEN + NUM)) shingles at most.
-   Shingles are dealt by hash over nb = d + 1 + s blocks, and a block's 64-bit sketch is
-   the XOR of one bit per shingle, its parity sketch. Each differing shingle falls into one
-   block, so linked sets have equal sketches in s + 1 blocks at least (pigeonhole).
-   A document with at most s empty blocks leaves those out: one filled block remains equal.
-3. (band, block, sketch) keys are dealt and sorted by Spark; one pass streams over them and
-   keeps the keys held by two classes or more; a key's leader is its class with most such keys.
-4. A key with more than HOT classes is hot. A document with at most s hot keys (empty
-   blocks counted) leaves all of them out, by the same argument: of two linked documents
-   either both keep their hot keys, or one has at most s, and one equal block is neither.
-5. Every class is compared with the leader that it shares most keys with; links so found are
-   joined into components. Only where a key still holds classes of different components are
-   those compared with one another. So a large group of near copies costs a comparison or a few
-   for each member, not for each pair, and no link between components is lost.
+   A document's parity sketch is the XOR of one bit per shingle, of 2^64 bits: the Hamming
+   distance of two sketches is at most the symmetric difference of the sets. It is cut by hash
+   into nb = d + 1 + s blocks, and a block is told by a 64-bit digest that is linear in it (the XOR
+   of a word per odd bit). Each differing shingle falls into one block, so linked sets have
+   equal sketches in s + 1 blocks at least (pigeonhole).
+3. (band, block, digest) keys are dealt and sorted by Spark; one pass streams over them and
+   keeps the keys held by two classes or more, with the number of classes (up to HOT + 1).
+4. In one total order of all keys (empty blocks, then the most frequent first) every class
+   leaves out its first s keys of a band. Of the s + 1 blocks or more that linked sets share the
+   last one in that order has s shared ones before it, so neither document leaves it out:
+   common passages cost nothing unless a document is made of them, and no link is lost.
+5. A key's leader is its class with most keys. Every class is compared with the leader that it
+   shares most keys with; links so found are joined into components. Where a key still holds
+   several components, one class of each is compared with the key's largest component; only
+   what is open then is compared across components. So a large group of near copies costs a
+   comparison or a few for each member, not for each pair, and no link between components is lost.
 6. A comparison first asks sizes and 256-bit parity sketches of the whole sets, whose
    Hamming distance is at most the symmetric difference, between components also 4096-bit
    ones, then the sets themselves.
@@ -46,14 +49,16 @@ from wayfold.llm.components import components
 from wayfold.llm.textnp import buffers, column, combine, hashes, mix, signed, slices, spans
 from wayfold.sources.shared import drop, release, stored
 
-#: More classes than this make a key hot.
+#: Keys of more classes than this count as equally frequent; so many rows of a key are held.
 HOT = 64
+#: Rounds in which one class of each component of a key is compared, before all open ones are.
+ROUNDS = 2
 ONE = np.uint64(1)
 BAND_BITS = np.uint64(8)
 #: So many ids (8 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Partners of one class that are compared in one place.
-SALT = 500
+SALT = 100
 
 
 class Bands:
@@ -129,12 +134,13 @@ def _classes(k: int):
 
 
 def block_keys(sh: np.ndarray, sizes: np.ndarray, cls: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key (its first BAND_BITS are the band), class and slack left of the filled blocks.
+    """Key (its first BAND_BITS are the band), class, and the number of keys that the class leaves out in that band.
 
-    The slack left is the number of hot keys that the class may leave out; -1: none, and its empty blocks stay.
+    Empty blocks are the first in the order of keys, those of low number before others: they are left
+    out as far as the slack goes, and what it has left is for the most frequent of the filled ones.
     """
     deal = mix(sh ^ np.uint64(0x5BE0CD19137E2179))
-    bit = ONE << (mix(sh ^ np.uint64(0x9B05688C2B3E6C1F)) & np.uint64(63))
+    word = mix(sh ^ np.uint64(0x9B05688C2B3E6C1F))
     own = bands.of(sizes)
     out = []
     for step in range(3):  # the own band and, where a larger partner can lie, the next ones
@@ -145,27 +151,24 @@ def block_keys(sh: np.ndarray, sizes: np.ndarray, cls: np.ndarray, bands: Bands)
             continue
         take = np.repeat(docs, sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)[take]
-        blocks = bands.blocks[band]
+        blocks = np.where(docs, bands.blocks[band], 0)
         block = ((deal[take] >> np.uint64(32)) * blocks[doc].astype(np.uint64)) >> np.uint64(32)
-        first = np.cumsum(np.where(docs, blocks, 0)) - np.where(docs, blocks, 0)
+        first = np.cumsum(blocks) - blocks
         cell = first[doc] + block.astype(np.int64)
-        total = int(np.where(docs, blocks, 0).sum())
         order = np.argsort(cell, kind="stable")
         filled, at = np.unique(cell[order], return_index=True)
-        sketch = np.bitwise_xor.reduceat(bit[take][order], at)
-        owner = np.repeat(np.flatnonzero(docs), blocks[docs])
-        empty = np.bincount(owner, minlength=len(sizes)) - np.bincount(owner[filled], minlength=len(sizes))
-        cells = filled
-        spare = np.maximum(bands.slack[band] - empty, -1)
-        if (spare[docs] < 0).any():  # too many empty blocks: they stay, and so do hot ones
-            whole = np.zeros(total, np.uint64)
-            whole[filled] = sketch
-            has = np.zeros(total, bool)
-            has[filled] = True
-            cells = np.flatnonzero(has | (spare[owner] < 0))
-            sketch = whole[cells]
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        digest = np.zeros(len(owner), np.uint64)
+        digest[filled] = np.bitwise_xor.reduceat(word[take][order], at)
+        has = np.zeros(len(owner), bool)
+        has[filled] = True
+        gone = np.cumsum(~has)  # empty blocks up to each one, then of its own document
+        gone -= np.concatenate(([0], gone))[first[owner]]
+        slack = bands.slack[band]
+        cells = np.flatnonzero(has | (gone > slack[owner]))
         who = owner[cells]
-        key = combine(band[who].astype(np.uint64), (cells - first[who]).astype(np.uint64), sketch)
+        spare = np.maximum(slack - (blocks - np.bincount(owner[filled], minlength=len(sizes))), 0)
+        key = combine(band[who].astype(np.uint64), (cells - first[who]).astype(np.uint64), digest[cells])
         key = (key >> BAND_BITS) | (band[who].astype(np.uint64) << (np.uint64(64) - BAND_BITS))
         out.append((key, cls[who], spare[who].astype(np.int32)))
     if not out:
@@ -176,14 +179,15 @@ def block_keys(sh: np.ndarray, sizes: np.ndarray, cls: np.ndarray, bands: Bands)
 
 def _emit_keys(bands: Bands):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)  # classes of this task so far: 8 bytes a document of the split
+        seen: set[int] = set()  # classes of this task so far
         for batch in slices(it):
             sh, sizes = shingle_sets(column(batch, "text"), bands.k)
             cls = class_of(sh, sizes)
             first = np.zeros(len(cls), bool)
-            first[np.unique(cls, return_index=True)[1]] = True
-            first &= ~np.isin(cls, seen)
-            seen = np.concatenate((seen, cls[first]))
+            for i, c in enumerate(cls.tolist()):
+                if c not in seen:
+                    seen.add(c)
+                    first[i] = True
             sh, sizes, cls = sh[np.repeat(first, sizes)], sizes[first], cls[first]
             key, who, spare = block_keys(sh, sizes, cls, bands)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(who)), pa.array(spare)], names=["key", "cls", "spare"])
@@ -196,21 +200,21 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
 
 
-SHARED = "key long, cls long, spare int, hot boolean"
+SHARED = "key long, cls long, spare int, held int"
 
 
 def _shared_keys(hot: int):
-    """Rows of keys with two classes or more, from rows sorted by (key, cls), each class once; hot: the key has more than hot classes.
+    """Rows of keys with two classes or more, from rows sorted by (key, cls), each class once; held: the classes of the key, up to hot + 1.
 
-    At most hot rows of a key are held; the rows of a hot key go straight through.
+    At most hot rows of a key are held; the rows of a key with more go straight through.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the last key, which may go on
         open_hot = last = None  # a key known to be hot, and the class that came last in it
 
-        def out(rows: list[np.ndarray], is_hot: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(is_hot)], names=["key", "cls", "spare", "hot"])
+        def out(rows: list[np.ndarray], classes: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(np.minimum(classes, hot + 1), pa.int32())], names=["key", "cls", "spare", "held"])
 
         for batch in it:
             rows = [np.asarray(column(batch, c)) for c in ("key", "cls", "spare")]
@@ -226,7 +230,7 @@ def _shared_keys(hot: int):
                 differs = rows[0] != open_hot
                 n = int(np.argmax(differs)) if differs.any() else len(differs)
                 if n:
-                    yield out([r[:n] for r in rows], np.ones(n, bool))
+                    yield out([r[:n] for r in rows], np.full(n, hot + 1))
                     last = rows[1][n - 1]
                     rows = [r[n:] for r in rows]
             if not len(rows[0]):
@@ -236,38 +240,41 @@ def _shared_keys(hot: int):
             size = np.repeat(np.diff(at), np.diff(at))
             whole = np.arange(len(size)) < at[-2]  # all but the last key
             keep = whole & (size > 1)
-            yield out([r[keep] for r in rows], size[keep] > hot)
+            yield out([r[keep] for r in rows], size[keep])
             held = [r[at[-2] :] for r in rows]
             if len(held[0]) > hot:
-                yield out(held, np.ones(len(held[0]), bool))
+                yield out(held, np.full(len(held[0]), hot + 1))
                 open_hot, last, held = held[0][0], held[1][-1], None
         if held is not None and len(held[0]) > 1:
-            yield out(held, np.zeros(len(held[0]), bool))
+            yield out(held, np.full(len(held[0]), len(held[0])))
 
     return run
 
 
-def _without_hot(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, cls, shares from rows sorted by cls: hot keys left out where a class has few enough of them in a band (4. above); shares counts what stays.
+def _thinned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, cls, shares from rows sorted by cls: without the first keys of each class and band (4. above); shares counts what stays.
 
     The rows of one class are held: as many as its document has blocks.
     """
     held = None
 
     def done(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, cls, spare, hot = rows
-        band = key.view(np.uint64) >> (np.uint64(64) - BAND_BITS)
-        _, group = np.unique(np.stack((cls, band.view(np.int64))), axis=1, return_inverse=True)
-        group = group.reshape(-1)
-        few = np.bincount(group, weights=hot) <= np.bincount(group, weights=spare) / np.bincount(group)
-        keep = ~(hot & few[group])
+        key, cls, spare, many = rows
+        band = (key.view(np.uint64) >> (np.uint64(64) - BAND_BITS)).astype(np.int64)
+        order = np.lexsort((key, -many, band, cls))
+        key, cls, spare, band = key[order], cls[order], spare[order], band[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (cls[1:] != cls[:-1]) | (band[1:] != band[:-1])
+        begin = np.flatnonzero(first)
+        place = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+        keep = place >= spare
         key, cls = key[keep], cls[keep]
         at = _runs(cls) if len(cls) else np.zeros(1, np.int64)
         shares = np.repeat(np.diff(at), np.diff(at))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(shares.astype(np.int32))], names=["key", "cls", "shares"])
 
     for batch in it:
-        rows = [np.asarray(column(batch, "key")), np.asarray(column(batch, "cls")), np.asarray(column(batch, "spare")), column(batch, "hot").to_numpy(zero_copy_only=False)]
+        rows = [np.asarray(column(batch, c)) for c in ("key", "cls", "spare", "held")]
         if held is not None:
             rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
         if not len(rows[0]):
@@ -383,56 +390,86 @@ def _verified(likely: DataFrame, classes: DataFrame, docs: DataFrame, bands: Ban
     return cut(met.mapInArrow(_compared(bands), "x long, y long").distinct())
 
 
+def _shared(docs: DataFrame, bands: Bands) -> tuple[DataFrame, str]:
+    """key, cls, lead of all keys that two classes hold after 4., and the path where they are stored."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a class whose rows have no id forms no component: it must not lead a key either
+    keys = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_keys(bands), "key long, cls long, spare int").repartition(parts, "key").sortWithinPartitions("key", "cls")
+    keys = keys.mapInArrow(_shared_keys(HOT), SHARED).repartition(parts, "cls").sortWithinPartitions("cls", "key")
+    keys = keys.mapInArrow(_thinned, "key long, cls long, shares int").repartition(parts, "key")
+    keys = keys.sortWithinPartitions("key", F.col("shares").desc(), F.col("cls").desc())
+    return stored(keys.mapInArrow(_led, "key long, cls long, lead long"))
+
+
 def _joined(docs: DataFrame, k: int, num: int, den: int, vertex: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their class, classes with an id, and components of vertices: rep (classes with one id are one) or cls."""
     bands = Bands(k, num, den)
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     rows = cut(docs.mapInArrow(_classes(k), CLASSES))
     own = rows.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)])
     classes = cut(own.where("rep IS NOT NULL").withColumn("vertex", F.col(vertex)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a class whose rows have no id forms no component: it must not lead a key either
-    keys = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_keys(bands), "key long, cls long, spare int").repartition(parts, "key").sortWithinPartitions("key", "cls")
-    keys = keys.mapInArrow(_shared_keys(HOT), SHARED).repartition(parts, "cls").sortWithinPartitions("cls", "key")
-    keys = keys.mapInArrow(_without_hot, "key long, cls long, shares int").repartition(parts, "key")
-    keys = keys.sortWithinPartitions("key", F.col("shares").desc(), F.col("cls").desc())
-    spark = docs.sparkSession
-    shared, path = stored(keys.mapInArrow(_led, "key long, cls long, lead long"))
-    del keys
+    shared, path = _shared(docs, bands)
     release(spark)
     a, b = classes.alias("a"), classes.alias("b")
-    star = shared.where("cls <> lead").groupBy(F.col("lead").alias("x"), F.col("cls").alias("y")).agg(F.count(F.lit(1)).alias("keys"))
-    star = star.join(a, F.col("x") == F.col("a.cls")).join(b, F.col("y") == F.col("b.cls")).where(_plausible(bands))
-    # first each class with the one leader that it shares most with; that settles most groups
-    tried = cut(star.groupBy("y").agg(F.max(F.struct("keys", "x"))["x"].alias("x")).select("x", "y"))
-    links = _verified(tried, classes, docs, bands)
     ends = classes.select("cls", "vertex")
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, F.col("x") == F.col("a.cls")).join(b, F.col("y") == F.col("b.cls")).where(_plausible(bands))
+
     def by_vertex(e: DataFrame) -> DataFrame:
         e = e.join(ends.select(F.col("cls").alias("x"), F.col("vertex").alias("a")), "x")
         return e.join(ends.select(F.col("cls").alias("y"), F.col("vertex").alias("b")), "y").select("a", "b")
 
+    def unordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    star = shared.where("cls <> lead").groupBy(F.col("lead").alias("x"), F.col("cls").alias("y")).agg(F.count(F.lit(1)).alias("keys"))
+    # first each class with the one leader that it shares most with; that settles most groups
+    tried = cut(plausible(star).groupBy("y").agg(F.max(F.struct("keys", "x"))["x"].alias("x")).select("x", "y"))
+    links = _verified(tried, classes, docs, bands)
     found = components(by_vertex(links))
-    # the component of every class that shares a key; a key is open if some class is not of its leader's component
-    sharing = shared.where("cls <> lead").select(F.explode(F.array("cls", "lead")).alias("cls")).distinct()
-    member = classes.join(sharing, "cls").join(found, F.col("vertex") == F.col("v"), "left")
-    member = cut(member.withColumn("comp", F.coalesce("component", "vertex")).drop("v", "component"))
-    comp_of = member.select("cls", "comp")
-    comp_of = F.broadcast(comp_of) if member.count() <= BROADCAST_IDS else comp_of
-    lead_of = comp_of.select(F.col("cls").alias("lead"), F.col("comp").alias("_lead"))
-    strays = shared.where("cls <> lead").join(comp_of, "cls").join(lead_of, "lead").where("comp <> _lead").select("key").distinct()
-    strays = cut(strays)
-    strays = F.broadcast(strays) if strays.count() <= BROADCAST_IDS else strays
-    open_ = cut(shared.join(strays, "key").join(member, "cls"))
-    drop(spark, path)  # all that was read from it is materialised
-    a, b = open_.alias("a"), open_.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _plausible(bands))
-    across = across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
-    across = cut(across.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
-    across = across if across.isEmpty() else _sifted(across, classes, docs, bands)
-    if not across.isEmpty():
-        links = links.union(_verified(across, classes, docs, bands))
+    tried = cut(unordered(tried))
+    open_ = shared
+    for turn in range(ROUNDS + 1):
+        # the component of every class of an open key; a key is open if some class is not of its leader's component
+        here = open_.where("cls <> lead").select(F.explode(F.array("cls", "lead")).alias("cls")).distinct()
+        member = ends.join(here, "cls").join(found, F.col("vertex") == F.col("v"), "left").select("cls", F.coalesce("component", "vertex").alias("comp"))
+        member = cut(member)
+        if member.isEmpty():
+            if not turn:
+                drop(spark, path)
+            break
+        comp_of = F.broadcast(member) if member.count() <= BROADCAST_IDS else member
+        lead_of = comp_of.select(F.col("cls").alias("lead"), F.col("comp").alias("_lead"))
+        strays = open_.where("cls <> lead").join(comp_of, "cls").join(lead_of, "lead").where("comp <> _lead").select("key").distinct()
+        open_ = cut(open_.select("key", "cls", "lead").join(strays, "key").join(comp_of, "cls"))
+        if not turn:
+            drop(spark, path)  # all that was read from it is materialised
+        if turn == ROUNDS:
+            break
+        per = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("y"))
+        most = per.groupBy("key").agg(F.max(F.struct("c", "comp", "y")).alias("m")).select("key", F.col("m.comp").alias("_most"), F.col("m.y").alias("x"))
+        asked = unordered(plausible(per.join(most, "key").where("comp <> _most").select("x", "y").distinct()).select("x", "y"))
+        asked = cut(asked.join(tried, ["x", "y"], "left_anti"))
+        if asked.isEmpty():
+            break
+        tried = cut(tried.union(asked))
+        more = _verified(asked, classes, docs, bands)
+        if more.isEmpty():
+            break
+        links = cut(links.union(more))
         found = components(by_vertex(links))
+        open_ = open_.drop("comp")
+    if "comp" in open_.columns:
+        ends_ = open_.join(classes, "cls")
+        a, b = ends_.alias("a"), ends_.alias("b")
+        across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _plausible(bands))
+        across = cut(across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+        across = across if across.isEmpty() else _sifted(across, classes, docs, bands)
+        if not across.isEmpty():
+            links = links.union(_verified(across, classes, docs, bands))
+            found = components(by_vertex(links))
     return rows, classes, found
 
 
@@ -457,15 +494,15 @@ def row_firsts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.join(final, ["cls", "n"], "left").select("doc_id", "cls", F.col("first.rep").alias("first_id"), F.col("first.cls").alias("first_cls"))
 
 
-def with_class(docs: DataFrame, k: int) -> DataFrame:
-    """docs with the class of each row's text as _cls."""
+def with_class(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """docs with the class of each row's text as a column called name."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
             cls = class_of(*shingle_sets(column(batch, "text"), k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(cls))], names=[*batch.schema.names, "_cls"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(cls))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_cls", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
