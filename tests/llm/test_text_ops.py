@@ -302,6 +302,64 @@ def test_html_extraction(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def brute_pages(rows):
+    """Text and covered bytes of each page, from all pairs of strings."""
+    run = html_extraction.RUN
+    placed = [html_extraction._placed(h) for _, _, h in rows]
+    host = [re.match(r"https?://([^/]*)", u or "") for _, u, _ in rows]
+    host = [m[1] if m else "" for m in host]
+    held = {}
+    for i, blocks in enumerate(placed):
+        for kind, _, text in blocks:
+            raw = text.encode()
+            if kind != "article":
+                for lo in range(max(1, len(raw) - run + 1)):
+                    held.setdefault((host[i], raw[lo : lo + run]), set()).add(rows[i])
+    out = []
+    for i, blocks in enumerate(placed):
+        covers = []
+        for kind, at, text in blocks:
+            raw = text.encode()
+            if kind != "article":
+                covers += [(at + lo, at + min(lo + run, len(raw))) for lo in range(max(1, len(raw) - run + 1)) if len(held[host[i], raw[lo : lo + run]]) > 1]
+        out.append((rows[i][0], *html_extraction.main_text(rows[i][2], covers)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("hot", "parts"), [(html_extraction.HOT_BYTES, 40), (0, 4)])
+def test_html_host_runs(spark, hot, parts, monkeypatch):
+    monkeypatch.setattr(html_extraction, "HOT_BYTES", hot)
+    rng = random.Random(17)
+    pool = [" ".join(words(rng, rng.choice([2, 6, 12, 30]), 40)) for _ in range(12)]
+    rows = []
+    for i in range(40):
+        parts_ = []
+        for _ in range(rng.randrange(6)):
+            own = " ".join(words(rng, rng.choice([1, 5, 20])))
+            text = rng.choice([own, rng.choice(pool), f"{own} {rng.choice(pool)} {own}", rng.choice(pool) + " é"])
+            parts_.append(rng.choice(["<div>{}</div>", "<nav>{}</nav>", "<article><p>{}</p></article>", "<p>{}</p>"]).format(text))
+        rows.append((i // 2 if i > 4 else None, f"http://h{i % 3}/{i % 5}", "".join(parts_)))
+    rows += [rows[7], (50, None, None), (51, "http://h1/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted(((r.page_id, r.text, r.n_repeated) for r in html_extraction.extract(df).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_pages(rows)
+    assert sum(n for _, _, n in got) > 500
+
+
+def test_html_notices_in_articles(spark):
+    notice = "this long notice stands in every article of the host " * 4
+    quote = "a passage that three articles quote from one another " * 4
+    rows = [(i, f"http://h/{i}", f"<article><p>own text of page {i}</p><p>{notice}</p>" + (f"<p>{quote}</p>" if i < 3 else "") + "</article>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "own text of page 5" and got[1] == f"own text of page 1\n\n{quote.strip()}"
+    assert html_extraction.main_text("<article class='comment'><p>no</p></article><article><p>yes</p></article>", [])[0] == "yes"
+
+
 # sharding and mixing
 
 

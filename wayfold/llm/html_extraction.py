@@ -1,25 +1,28 @@
-"""Main text of web pages: page structure, and a host's suffix array for what structure leaves open.
-
-A page is read once into blocks (text between block-level tags). Structure settles most:
-blocks in an article or main element are text; blocks in menus, headers, footers, side bars,
-forms, notices, adverts and reader comments (by element, role, class or id) are not.
-Open blocks are those outside any article, of pages without one.
-
-Host suffix array. For every host the blocks outside articles (settled or open) of all its
-pages are streams of text. Runs of RUN bytes or more within a block, and whole blocks, that
-stand on two distinct pages of a host are boilerplate. They are found as in suffix_dedup: streams fall into chunks by
-the minimizer of each RUN-byte string, chunks meet by (host, minimizer), the different chunks
-of some minimizers are concatenated with separators and their suffixes sorted in two
-stages; neighbours in that order with RUN bytes in common form groups, and a group on two
-pages or more covers its strings. Equal chunks are counted as they stream past and held
-once, so a footer on a third of all pages is held once, and a host has no task of its own.
-Of an open block the covered runs are removed, to whole tokens, and the rest is kept.
-An article's own text is never cut, however often it is repeated.
-
-Edge cases: null html has empty text; a page of open blocks that all repeat has empty text;
-a null url is a host; pages that share a page_id are one page to "distinct pages" and each
-gets a row; unclosed elements end with their container or the page; unknown character
-references stay as they are; empty tables give empty results; other columns are ignored.
+"""Main text of web pages: a host's suffix array over all their blocks, with page structure as the prior.
+
+A page is read once into blocks (text between block-level tags), each of a kind: "article"
+(in an article or main element), "out" (in menus, headers, footers, side bars, forms, notices,
+adverts and reader comments, by element, role, class or id) or "open" (neither).
+
+Host suffix array. The blocks of all pages of a host are streams of text. Each stream falls
+into chunks by the minimizer of every RUN-byte string (as in suffix_dedup); a block shorter than
+that is one chunk. Equal chunks are one row with the first and last of their pages, combined map-side, so
+a footer on a third of all pages has no task of its own. The different chunks of a minimizer are concatenated with separators
+and their suffixes sorted in two stages (where a host has more than HOT_BYTES of them, string by string under its hash); neighbours in that order with RUN bytes in common form
+groups, and a group covers its strings if they stand on two pages. An article's own text needs far more evidence, since articles quote one another:
+ARTICLE_SHARE of the host's pages and ARTICLE_PAGES at least, and its runs are chunks of LONG bytes
+that are equal as a whole (found by a 64-bit hash, the minimizer and the size; no bytes are moved).
+What is found goes back to the pages that hold such a chunk.
+
+Verdict on each block: covered runs are boilerplate and go, to whole tokens. Of the rest the prior
+speaks: article runs stay, out runs go, and open runs stay if the page has no more article text
+than open text. n_repeated tells how many bytes of a page the array covered.
+
+Edge cases: null html has empty text; a page of which all repeats has empty text; a null url is
+a host; pages that share a page_id are told apart by what they hold, and equal rows are one page to
+"distinct pages", each with a row in the result; unclosed elements end with their container or the page;
+unknown character references stay as they are; empty tables and empty partitions give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import table
+from wayfold.llm.common import cut, table
 from wayfold.llm.suffix_dedup import _ragged, chunks
 from wayfold.llm.suffixes import common_prefixes, suffix_array
-from wayfold.llm.textnp import buffers, column, hashes, signed
+from wayfold.llm.textnp import _CODE, buffers, column, hashes, mix, signed, slices
 
-#: Bytes that a repeated run has at least (some eight words).
-RUN = 48
-SORT_BYTES = 1 << 20
+#: Bytes that a repeated run has at least (some eight words), and that a chunk inside an article is looked at by.
+RUN, LONG = 48, 160
+#: Share and number of a host's pages that a run inside articles must stand on to be boilerplate; outside, two pages are enough.
+ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 8
+#: A minimizer of a host with more bytes of different chunks is not sorted in one task.
+HOT_BYTES = 32 << 20
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -55,6 +61,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 OUT = frozenset("head nav header footer aside form menu dialog button label input".split())
 ARTICLE = frozenset("article main".split())
+ARTICLE_OUT = frozenset("comment comments reply replies teaser related recommended promo advert sponsored".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|signup|paywall"
@@ -108,6 +115,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 value = next((v for v in value if v), "")
                 away |= kind.lower() == "role" and value.lower() in OUT_ROLES
                 away |= kind.lower() in ("class", "id") and name not in ARTICLE and name not in ("body", "html") and bool(OUT_NAMES.search(value))
+                away |= kind.lower() == "class" and name in ARTICLE and not ARTICLE_OUT.isdisjoint(value.lower().split())
                 away |= kind.lower() == "aria-hidden" and value.lower() == "true"
         tracked = name in BLOCK and name not in ("p", "li", "html", "body", "hr")
         if away or tracked:
@@ -119,56 +127,72 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return found
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", url or "", re.I)
-    return m[1].lower() if m else ""
+#: The host part of a URL.
+HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)"
 
 
-def _settled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every page: its text if structure settles it, else the open blocks; and the stream outside articles."""
-    for batch in it:
-        ids, urls, pages = (column(batch, c).to_pylist() for c in ("page_id", "url", "html"))
-        text: list[str | None] = []
-        stream: list[list[str]] = []
-        opened: list[list[str]] = []
-        for page in pages:
-            got = blocks(page or "")
-            article = [t for k, t in got if k == "article"]
-            open_ = [t for k, t in got if k == "open"]
-            settled = article or not open_
-            text.append("\n\n".join(article) if settled else None)
-            opened.append([] if settled else open_)
-            # open blocks first: their places in the stream follow from their lengths
-            stream.append([*opened[-1], *(t for k, t in got if k == "out" or (settled and k == "open"))])
-        cols = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([_host(u) for u in urls], pa.string()), pa.array(text, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(stream, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "text", "open", "stream"])
-
-
-SETTLED = "page_id long, url string, host string, text string, open array<string>, stream array<string>"
-
-
-def _stream_chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of all blocks, with their place in the page's joined stream; a block shorter than RUN is one chunk."""
-    for batch in it:
-        blocks_ = column(batch, "stream")
-        data, offsets = buffers(blocks_.flatten())
-        size = np.diff(offsets)
-        page = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(blocks_.offsets)))
-        joined = np.cumsum(size + 1) - (size + 1)
-        first = np.concatenate(([True], page[1:] != page[:-1])) if len(page) else np.zeros(0, bool)
-        base = joined - joined[np.maximum.accumulate(np.where(first, np.arange(len(page)), 0))]
-        val, block, start, length = chunks(data, offsets, RUN)
-        short = np.flatnonzero((size < RUN) & (size > 0))
-        val = np.concatenate((val, hashes(data, offsets[short], offsets[short + 1], lower=False)))
-        block, start, length = (np.concatenate(x) for x in ((block, short), (start, np.zeros(len(short), np.int64)), (np.abs(length), size[short])))
-        ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-        body = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data[_ragged(offsets[block] + start, length)])])
-        at = pa.array(page[block])
-        yield pa.RecordBatch.from_arrays([column(batch, "host").take(at), pa.array(signed(val)), body, column(batch, "page_id").take(at), pa.array((base[block] + start).astype(np.int32))], names=["host", "val", "chunk", "page_id", "start"])
-
-
-def covered(parts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(chunk, lo, hi) of the runs of RUN bytes or more that two or more of the different chunks share."""
+STREAM = "host string, row long, kind byte, val long, hash long, size int, start int"
+#: Kinds in STREAM rows: blocks outside articles, where bytes are compared, and inside.
+OUTSIDE, INSIDE = 0, 1
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _range_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of byte ranges, which may overlap, from running sums of a polynomial in an odd base."""
+    n = len(data)
+    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))))
+    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[data] * power[:n], dtype=np.uint64)))
+    return mix((total[start + size] - total[start]) * back[start] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _chunks_of(batch: pa.RecordBatch, kind: int, streams: list[list[tuple[int, str]]]):
+    """page, val, hash, size, place in the page's joined text and bytes of all chunks of blocks of one kind."""
+    flat = [(page, at, text.encode()) for page, blocks_ in enumerate(streams) for at, text in blocks_]
+    data, offsets = buffers(pa.array([x for _, _, x in flat], pa.large_binary()))
+    width = RUN if kind == OUTSIDE else LONG
+    size = np.diff(offsets)
+    val, block, start, length = chunks(data, offsets, width)
+    short = np.flatnonzero((size < width) & (size > 0))
+    val = np.concatenate((val, hashes(data, offsets[short], offsets[short + 1], lower=False)))
+    block, start, length = (np.concatenate(x) for x in ((block, short), (start, np.zeros(len(short), np.int64)), (np.abs(length), size[short])))
+    page, place = (np.array([x[i] for x in flat], np.int64) for i in range(2))
+    begin = offsets[block] + start
+    return page[block], val, _range_hashes(data, begin, length), length, place[block] + start, data, begin
+
+
+def _placed(page: str | None) -> list[tuple[str, int, str]]:
+    """kind, place in bytes (blocks joined by one byte) and text of a page's blocks."""
+    out, at = [], 0
+    for kind, text in blocks(page or ""):
+        out.append((kind, at, text))
+        at += len(text.encode()) + 1
+    return out
+
+
+def _occurrences(with_bytes: bool):
+    """Chunks of all blocks of pages (row, host, html); with_bytes, those outside articles with their bytes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it, "html"):
+            pages = [_placed(p) for p in column(batch, "html").to_pylist()]
+            for kind in (OUTSIDE,) if with_bytes else (OUTSIDE, INSIDE):
+                streams = [[(at, t) for k, at, t in p if (k == "article") == (kind == INSIDE)] for p in pages]
+                page, val, hash_, size, start, data, begin = _chunks_of(batch, kind, streams)
+                host, row = column(batch, "host").take(pa.array(page)), column(batch, "row").take(pa.array(page))
+                if not with_bytes:
+                    cols = [host, row, pa.array(np.full(len(page), kind, np.int8)), pa.array(signed(val)), pa.array(signed(hash_)), pa.array(size.astype(np.int32)), pa.array(start.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in STREAM.split(", ")])
+                    continue
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[_ragged(begin, size)])])
+                yield pa.RecordBatch.from_arrays([host, row, pa.array(signed(val)), pa.array(signed(hash_)), body], names=["host", "row", "val", "hash", "chunk"])
+
+    return run
+
+
+def covered(parts: list[bytes], first: list[int], last: list[int]) -> list[tuple[int, int, int]]:
+    """(chunk, lo, hi) of the runs of RUN bytes or more of different chunks that stand on two pages; first, last: of the pages that hold each chunk."""
     size = np.array([len(p) for p in parts])
     body = np.frombuffer(b"".join(parts), np.uint8)
     text = np.zeros(len(body) + len(parts), np.uint8)
@@ -178,9 +202,11 @@ def covered(parts: list[bytes]) -> list[tuple[int, int, int]]:
     alike = common_prefixes(text, order, RUN)
     group = np.cumsum(~alike)
     chunk = np.searchsorted(begin, order, "right") - 1
-    least, most = np.full(group[-1] + 1, len(parts)), np.full(group[-1] + 1, -1)
-    np.minimum.at(least, group, chunk)
-    np.maximum.at(most, group, chunk)
+    whole = order + RUN <= begin[chunk] + size[chunk]  # a string of RUN bytes within its chunk
+    group, chunk, order = group[whole], chunk[whole], order[whole]
+    least, most = np.full(len(text) + 1, 2**63 - 1, np.int64), np.full(len(text) + 1, -(2**63), np.int64)
+    np.minimum.at(least, group, np.array(first, np.int64)[chunk])
+    np.maximum.at(most, group, np.array(last, np.int64)[chunk])
     hit = np.sort(order[(least < most)[group]])
     out: list[tuple[int, int, int]] = []
     for p in hit.tolist():
@@ -193,86 +219,127 @@ def covered(parts: list[bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
-COVERS = "page_id long, lo int, hi int"
+RULES = "host string, kind byte, val long, hash long, lo int, hi int"
 
 
-def _host_repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covers from rows sorted by (host, val, chunk, page_id, start)."""
-    held: list[tuple[bytes, object, int]] = []  # different chunks, each with its one page, of whole (host, val)
-    edges: list[int] = []  # where a (host, val) begins in held
-    key = last = None
+def _host_rules(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The covered ranges of chunks, from rows (host, val, hash, chunk, first, last), each different chunk once, sorted by (host, val)."""
+    held: list[tuple[int, bytes, int, int]] = []  # hash, bytes, first and last page of the chunks of one (host, val)
     rows: list[tuple] = []
+    key = None
 
     def flush() -> None:
-        for a, b in zip(edges, [*edges[1:], len(held)], strict=True):
-            if b - a > 1 and len({h[1] for h in held[a:b]}) > 1:
-                for c, lo, hi in covered([h[0] for h in held[a:b]]):
-                    rows.append((held[a + c][1], held[a + c][2] + lo, held[a + c][2] + hi))
+        # a chunk that stands on two pages is covered as a whole; a block shorter than a run can be covered in no other way
+        whole = {h[0] for h in held if h[2] < h[3]}
+        rows.extend((key[0], OUTSIDE, key[1], h[0], 0, len(h[1])) for h in held if h[0] in whole)
+        long = [h for h in held if len(h[1]) >= RUN]
+        if len(long) > 1 and min(h[2] for h in long) < max(h[3] for h in long):
+            for c, lo, hi in covered([h[1] for h in long], [h[2] for h in long], [h[3] for h in long]):
+                if long[c][0] not in whole:
+                    rows.append((key[0], OUTSIDE, key[1], long[c][0], lo, hi))
         held.clear()
-        edges.clear()
 
     def batch_of(some: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*some, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["page_id", "lo", "hi"])
+        kinds = (pa.string(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in RULES.split(", ")])
 
-    pending = 0
     for batch in it:
-        for host, val, chunk, page, start in zip(*(column(batch, c).to_pylist() for c in ("host", "val", "chunk", "page_id", "start")), strict=True):
+        for host, val, *rest in zip(*(column(batch, c).to_pylist() for c in ("host", "val", "hash", "chunk", "first", "last")), strict=True):
             if (host, val) != key:
-                if pending > SORT_BYTES:
+                if held:
                     flush()
-                    pending = 0
-                key, last = (host, val), None
-                edges.append(len(held))
-            if last is None or chunk != last[0]:
-                last = (chunk, page, start, [False])
-                held.append((chunk, page, start))
-                pending += len(chunk)
-            elif page != last[1] or last[3][0]:  # the chunk stands on a second page: covered as a whole, here and there
-                if not last[3][0]:
-                    rows.append((last[1], last[2], last[2] + len(chunk)))
-                    last[3][0] = True
-                rows.append((page, start, start + len(chunk)))
+                key = (host, val)
+            held.append(tuple(rest))
         yield batch_of(rows)
         rows.clear()
-    flush()
+    if held:
+        flush()
     yield batch_of(rows)
 
 
-def unique_runs(open_: list[str], covers: list[tuple[int, int]]) -> str:
-    """The open blocks without the tokens that covers (byte ranges of the joined blocks) touch in full."""
-    kept, base = [], 0
-    for block in open_:
-        raw = block.encode()
-        gone = np.zeros(len(raw) + 1, bool)
-        for lo, hi in covers:
-            gone[max(0, lo - base) : max(0, hi - base)] = True
-        words = [w for m in re.finditer(rb"[^ ]+", raw) if not gone[m.start() : m.end()].all() for w in (m.group().decode(),)]
-        if words:
-            kept.append(" ".join(words))
-        base += len(raw) + 1
-    return "\n\n".join(kept)
+STRINGS = "host string, val long, hash long, string long, lo int, size int, first long, last long"
 
 
-def _opened(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+def _strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of RUN bytes of the chunks of a batch, or the whole of a shorter one, by its hash."""
+    for batch in slices(it, "chunk", 1 << 17):
+        data, offsets = buffers(column(batch, "chunk"))
+        size = np.diff(offsets)
+        n = np.maximum(size - RUN, 0) + 1
+        of, lo = np.repeat(np.arange(len(size)), n), _ragged(np.zeros(len(size), np.int64), n)
+        own = _range_hashes(data, offsets[of] + lo, np.minimum(size, RUN)[of])
+        at = pa.array(of)
+        cols = [*(column(batch, c).take(at) for c in ("host", "val", "hash")), pa.array(signed(own)), pa.array(lo.astype(np.int32)), pa.array(size[of].astype(np.int32)), *(column(batch, c).take(at) for c in ("first", "last"))]
+        yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in STRINGS.split(", ")])
+
+
+def unique_runs(text: str, at: int, covers: list[tuple[int, int]]) -> str:
+    """A block without the tokens that covers (byte ranges of the page's joined blocks) touch in full; at: where it begins."""
+    raw = text.encode()
+    gone = np.zeros(len(raw) + 1, bool)
+    for lo, hi in covers:
+        gone[max(0, lo - at) : max(0, hi - at)] = True
+    if not gone.any():
+        return text
+    return " ".join(m.group().decode() for m in re.finditer(rb"[^ ]+", raw) if not gone[m.start() : m.end()].all())
+
+
+def main_text(page: str | None, covers: list[tuple[int, int]]) -> tuple[str, int]:
+    """The main text of a page and the bytes of it that covers hold."""
+    placed = _placed(page)
+    gone = np.zeros(sum(len(t.encode()) + 1 for _, _, t in placed) if covers else 0, bool)
+    for lo, hi in covers:
+        gone[lo:hi] = True
+    left = [(kind, unique_runs(text, at, covers) if covers else text) for kind, at, text in placed if kind != "out"]
+    size = {k: sum(len(t) for kind, t in left if kind == k) for k in ("article", "open")}
+    keep_open = size["open"] > size["article"]
+    return "\n\n".join(t for kind, t in left if t and (kind == "article" or keep_open)), int(gone.sum())
+
+
+TEXTS = "page_id long, url string, text string, n_repeated long"
+
+
+def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(it, "html"):
         covers = [[(c["lo"], c["hi"]) for c in x or []] for x in column(batch, "covers").to_pylist()]
-        text = [unique_runs(o, c) for o, c in zip(column(batch, "open").to_pylist(), covers, strict=True)]
-        yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+        got = [main_text(p, c) for p, c in zip(column(batch, "html").to_pylist(), covers, strict=True)]
+        yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], names=["page_id", "url", "text", "n_repeated"])
+
+
+#: So many rows of covers (some 60 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (columns page_id, url, html)."""
+    """page_id, url, text, n_chars and n_repeated of every row of pages (columns page_id, url, html)."""
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    read = pages.mapInArrow(_settled, SETTLED)
-    cut_up = read.select("host", "page_id", "stream").mapInArrow(_stream_chunks, "host string, val long, chunk binary, page_id long, start int")
-    covers = cut_up.repartition(parts, "host", "val").sortWithinPartitions("host", "val", "chunk", "page_id", "start").mapInArrow(_host_repeats, COVERS)
-    covers = covers.groupBy(F.col("page_id").alias("p")).agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
-    opened = read.where("text IS NULL").select("page_id", "url", "open").join(covers, F.col("page_id").eqNullSafe(F.col("p")), "left").select("page_id", "url", "open", "covers")
-    done = read.where("text IS NOT NULL").select("page_id", "url", "text")
-    out = done.unionByName(opened.mapInArrow(_opened, "page_id long, url string, text string"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("row"), host)
+    read = pages.select("row", "host", "html")
+    found = read.mapInArrow(_occurrences(False), STREAM)
+    chunk = ["host", "kind", "val", "hash"]
+    # inside articles: chunks that are equal on enough pages of their host
+    once = found.where(f"kind = {INSIDE}").select(*chunk, "row").distinct().groupBy(*chunk).agg(F.count(F.lit(1)).alias("pages")).where(f"pages >= {ARTICLE_PAGES}")
+    per_host = pages.select("host", "row").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
+    inside = once.join(per_host, "host").where(F.col("pages") >= F.col("_all") * ARTICLE_SHARE)
+    inside = inside.select(*chunk, F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi"))
+    # outside: the bytes of each different chunk once, by minimizer, with the first and last of its pages
+    bytes_ = read.mapInArrow(_occurrences(True), "host string, row long, val long, hash long, chunk binary")
+    different = cut(bytes_.groupBy("host", "val", "hash").agg(F.first("chunk").alias("chunk"), F.min("row").alias("first"), F.max("row").alias("last")))
+    hot = cut(different.groupBy("host", "val").agg(F.sum(F.octet_length("chunk")).alias("_b")).where(F.col("_b") > HOT_BYTES).select("host", "val"))
+    outside = different.join(hot, ["host", "val"], "left_anti").repartition(parts, "host", "val").sortWithinPartitions("host", "val").mapInArrow(_host_rules, RULES)
+    if not hot.isEmpty():  # string by string, each under its own hash
+        strings = different.join(hot, ["host", "val"]).mapInArrow(_strings, STRINGS)
+        again = strings.groupBy("host", "string").agg(F.min("first").alias("_a"), F.max("last").alias("_b")).where("_a < _b").select("host", "string")
+        spelt = strings.join(again, ["host", "string"]).select("host", F.lit(OUTSIDE).cast("byte").alias("kind"), "val", "hash", "lo", F.least(F.col("lo") + RUN, F.col("size")).alias("hi"))
+        outside = outside.union(spelt)
+    rules = cut(inside.select(*[c.split()[0] for c in RULES.split(", ")]).union(outside))
+    rules = F.broadcast(rules) if rules.count() <= BROADCAST_ROWS else rules
+    hits = found.join(rules, chunk).select("row", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.coalesce("hi", "size")).alias("hi"))
+    covers = cut(hits.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("covers")))
+    covers = F.broadcast(covers) if covers.count() <= BROADCAST_ROWS else covers
+    out = pages.join(covers, "row", "left").select("page_id", "url", "html", "covers").mapInArrow(_texts, TEXTS)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
