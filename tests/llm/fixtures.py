@@ -33,7 +33,7 @@ def texts(seed: int = 1, n: int = 60) -> list[str | None]:
 
 
 def documents(spark, seed: int = 1, n: int = 60, wide: bool = False):
-    """Texts with ties, copies, null and empty ones, null sources, one repeated row and one null id."""
+    """Texts with ties, copies, null and empty ones, null sources and languages; ids are unique (see odd_rows for others)."""
     rows = []
     for i, t in enumerate(texts(seed, n)):
         rows.append((i * 3, t, [None, "en", "fr"][i % 3], [None, "s0", "s0", "s0", "s1", "s2"][i % 6], None if t is None else len(t)))
@@ -42,5 +42,12 @@ def documents(spark, seed: int = 1, n: int = 60, wide: bool = False):
     return spark.createDataFrame([(*r, 1, "v", 7, "z", "q") for r in rows], WIDE)
 
 
+def odd_rows(seed: int = 4, n: int = 24) -> list[tuple]:
+    """Rows with repeated rows, one id on different texts, and several null ids, with equal and other texts."""
+    rows = [(i, t, [None, "en", "fr"][i % 3], [None, "s0", "s1"][i % 3], None if t is None else len(t)) for i, t in enumerate(texts(seed, n))]
+    rows += [rows[5], rows[5], (5, rows[8][1], "en", "s0", 1), (5, "other words " * 40, "en", "s0", 1), (6, None, None, None, None)]
+    return rows + [(None, rows[9][1], "en", "s0", 1), (None, rows[9][1], "en", "s0", 1), (None, "quite other words here " * 30, "fr", None, 1), (None, None, None, None, None)]
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

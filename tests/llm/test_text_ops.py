@@ -10,7 +10,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures import documents, empty, words
+from fixtures import documents, empty, odd_rows, words
 from pyspark.sql import functions as F
 
 from wayfold.llm import components, decontamination, html_extraction, lm_scoring, mixing, near_dups, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, suffixes, token_counts
@@ -65,6 +65,20 @@ def test_suffix_dedup(docs, rows, hot):
     assert got == brute_dedup(rows)
 
 
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(8)
+    a, b = " ".join(words(rng, 100)), " ".join(words(rng, 100))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(r[0], r[1]) for r in odd_rows()] + [(90, passage), (91, a + passage), (91, (b * 9)[: len(a)] + "x" * 400), (92, a), (92, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ties = {(r.doc_id, r.text or ""): r.t for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    order = sorted(ties, key=lambda k: (k[0] is not None, k[0] or 0, ties[k]))
+    want = brute_dedup([(i, text) for i, (_, text) in enumerate(order)])
+    want = Counter((key[0], *want[order.index(key)]) for key in [(i, t or "") for i, t in rows])
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect())
+    assert got == want
+
+
 def test_suffix_dedup_across_sort_batches(docs, rows, monkeypatch):
     chunks = [(int(v), c, i, s) for v, c, i, s in [(5, b"x" * 100, 1, 0), (5, b"x" * 100, 2, 4), (5, b"y" + b"x" * 120, 3, 9)]]
     batches = [pa.record_batch([pa.array([c[0]]), pa.array([c[1]], pa.binary()), pa.array([c[2]]), pa.array([c[3]], pa.int32())], names=["val", "chunk", "id", "start"]) for c in chunks]

@@ -20,9 +20,10 @@ global sort of all suffixes; here suffixes meet only where they can share WIDTH
 4. The repeats of a document are merged into spans and cut out.
 
 Edge cases: a null text is empty; texts shorter than WIDTH keep everything; matches never
-cross documents; a null doc_id comes before all others; rows of one doc_id are one document
-to the order (equal strings at equal places of them are the same occurrence); an empty table
-gives an empty result; other columns are ignored.
+cross documents; a null doc_id comes before all others; rows with one doc_id and different texts are
+documents of their own, in the order of a hash of the text; rows with one doc_id and equal texts are one
+document, each with its row in the result; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import table
+from wayfold.llm.common import cut, table
 from wayfold.llm.suffixes import common_prefixes, suffix_array
 from wayfold.llm.textnp import _CODE, buffers, column, mix, signed, slices, unsigned
 
@@ -43,7 +44,6 @@ WIDTH, K = 100, 32
 HOT = 50_000
 #: Bytes of different chunks that are sorted at once.
 SORT_BYTES = 1 << 20
-FIRST_ID = -(2**63)
 
 
 def gram_hashes(data: np.ndarray, k: int = K) -> np.ndarray:
@@ -305,16 +305,31 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *[pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)]], names=["doc_id", *out])
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text and id, a number that rises with (doc_id, hash of the text) and is the doc_id itself where those are unique; and whether they are."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    clash = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL")
+    if clash.isEmpty():
+        return docs.select("doc_id", F.col("doc_id").alias("id"), "text"), True
+    docs = docs.withColumn("_tie", F.xxhash64("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.select("doc_id", "_tie").distinct().repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    number = cut(ordered.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_of"), F.monotonically_increasing_id().alias("id")))
+    return docs.join(number, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_of"))).select("doc_id", "id", "text"), False
+
+
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row of docs."""
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs, unique = identified(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select("id", "text").mapInArrow(_chunk_rows, CHUNKS).repartition(parts, "val").sortWithinPartitions("val")
+    searched = docs if unique else docs.dropDuplicates(["id"])
+    found = searched.select("id", "text").mapInArrow(_chunk_rows, CHUNKS).repartition(parts, "val").sortWithinPartitions("val")
     found = found.mapInArrow(_repeated(hot), CHUNKS + ", is_hot boolean")
     asked = found.repartition(parts, "id").groupBy("id").agg(F.collect_list(F.struct("val", "start", "size", "is_hot")).alias("asked"))
     # one exchange of the texts serves the fetch of chunks and the removal, so both ask for the same columns
     dealt = docs.repartition(parts, "id")
-    fetched = dealt.join(asked.hint("shuffle_hash"), "id").select("doc_id", "id", "text", "asked")
+    once = dealt if unique else searched.repartition(parts, "id")
+    fetched = once.join(asked.hint("shuffle_hash"), "id").select("doc_id", "id", "text", "asked")
     chunk = fetched.mapInArrow(_chunk_bytes, "val long, chunk binary, id long, start int")
     covers = chunk.repartition(parts, "val").sortWithinPartitions("val", "chunk", "id", "start").mapInArrow(_sorted_chunks, COVERS)
     by_doc = covers.repartition(parts, "id").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
