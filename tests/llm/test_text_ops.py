@@ -234,7 +234,8 @@ def test_near_dups_judge_rows_not_ids(spark):
     assert len(left) == 7
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 3])
+def test_components(spark, one_task):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3), (7, 7)]
     root = {}
@@ -249,7 +250,8 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r.v: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.v: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+    assert components.components(spark.createDataFrame([(None, 3), (7, 7)], "a long, b long"), one_task).count() == 0
     assert got == {i: find(i) for i in root}
 
 

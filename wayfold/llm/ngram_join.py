@@ -52,7 +52,7 @@ from wayfold.sources.shared import drop, release, stored
 #: Keys of more classes than this count as equally frequent; so many rows of a key are held.
 HOT = 64
 #: Rounds in which one class of each component of a key is compared, before all open ones are.
-ROUNDS = 2
+ROUNDS = 1
 ONE = np.uint64(1)
 BAND_BITS = np.uint64(8)
 #: So many ids (8 bytes each) are broadcast at most; more are joined by a shuffle.
