@@ -47,15 +47,10 @@ def test_risk_predicates(spark):
 
 def test_primary_and_strict(spark):
     none = G.flag_map({"late_game": F.lit(False)})
-    assert value(spark, G.primary(none)) is None
+    assert value(spark, G.primary(none, ("late_game",))) is None
     with pytest.raises(Exception, match="no scenario applies"):
-        value(spark, G.primary(none, strict=True))
-    assert value(spark, G.primary(G.flag_map({"late_game": F.lit(True), "dry_spell": F.lit(True)}))) == "dry_spell"
-
-
-@pytest.mark.parametrize(("decisions", "frames", "life", "want"), [(7, 100, 0, "not_harmful"), (20, 59, 0, "not_harmful"), (8, 60, 0, "verified_route_cost"), (8, 60, 1, "verified_life_loss")])
-def test_branch_classes(spark, decisions, frames, life, want):
-    assert value(spark, G.classify_branches(F.lit(life), F.lit(False), F.lit(decisions), F.lit(frames), F.lit(0))) == want
+        value(spark, G.primary(none, ("late_game",), strict=True))
+    assert value(spark, G.primary(G.flag_map({"late_game": F.lit(True), "dry_spell": F.lit(True)}), ("dry_spell", "late_game"))) == "dry_spell"
 
 
 def test_expiry_needs_the_clock_to_run_out(spark):

@@ -11,10 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPPOSITE = {"up": "down", "down": "up", "left": "right", "right": "left"}
-#: Thresholds of the cohort flags.
-DANGER_NEAR, POWER_MAX, EXPIRY_NEAR, DRY_LONG, JUNCTION, LATE, STALLED = 6, 120, 3, 24, 3, 30, 32
-#: Priority of the primary scenario, first true wins.
-SCENARIOS = ("immediate_critical", "power_expiry", "danger_near", "dry_spell", "junction", "late_game", "respawn")
 
 
 def flag_map(flags: Mapping[str, Column]) -> Column:
@@ -30,7 +26,7 @@ def flag(flags: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(flags, F.lit(name)), F.lit(False))
 
 
-def primary(flags: Column, order: Sequence[str] = SCENARIOS, strict: bool = False) -> Column:
+def primary(flags: Column, order: Sequence[str], strict: bool = False) -> Column:
     """The first true flag of order; without one null, or an error if strict."""
     none = F.raise_error(F.lit("no scenario applies")) if strict else F.lit(None)
     out = None
@@ -91,14 +87,3 @@ def sampled(index: Column, strata: Column, every: int, always: Sequence[str]) ->
 def mismatches(pairs: Column) -> Column:
     """Of a map of struct(saved, expected) the entries that differ."""
     return F.map_filter(pairs, lambda k, v: ~v["saved"].eqNullSafe(v["expected"]))
-
-
-def classify_branches(extra_life: Column, cleared_lost: Column, more_decisions: Column, more_frames: Column, looped: Column, min_decisions: int = 8, min_frames: int = 60) -> Column:
-    """Kind of harm of the negative branch, the first that applies: an extra life outranks all, a cost needs both measures."""
-    return (
-        F.when(extra_life > 0, "verified_life_loss")
-        .when(cleared_lost, "verified_lost_clear")
-        .when(looped > 0, "verified_loop")
-        .when((more_decisions >= min_decisions) & (more_frames >= min_frames), "verified_route_cost")
-        .otherwise("not_harmful")
-    )

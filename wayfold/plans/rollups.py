@@ -13,6 +13,8 @@ from wayfold.operators import ranking as R
 from wayfold.plans.base import FACTS, LIVES, WALK, Tables, facts, lived, query, walked
 from wayfold.plans.trajectories import SUMMARY
 
+#: First true flag wins; the last two never hold here.
+PRIORITY = ("immediate_critical", "power_expiry", "danger_near", "dry_spell", "junction", "late_game", "respawn")
 COHORTS = ("danger_near", "dry_spell", "immediate_critical", "late_game", "power_expiry")
 
 
@@ -20,7 +22,7 @@ def flagged(t: Tables) -> DataFrame:
     """Analysed rows with a map of five flags: k stands for a distance, frames for remaining time."""
     rows = walked(t)
     named = {
-        "danger_near": F.col("k") <= G.DANGER_NEAR,
+        "danger_near": F.col("k") <= 6,
         "dry_spell": F.col("dry") >= 4,
         "immediate_critical": F.col("lost"),
         "late_game": F.col("turn") >= 60,
@@ -46,7 +48,7 @@ def cohort_names(t: Tables) -> DataFrame:
     WHEN dry_spell THEN 'dry_spell' WHEN late_game THEN 'late_game' END AS scenario FROM g) GROUP BY scenario""",
 )
 def primary_scenario(t: Tables) -> DataFrame:
-    return flagged(t).groupBy(G.primary(F.col("flags")).alias("scenario")).agg(F.count(F.lit(1)).alias("rows"))
+    return flagged(t).groupBy(G.primary(F.col("flags"), PRIORITY).alias("scenario")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
@@ -181,21 +183,6 @@ def unpaired_keys(t: Tables) -> DataFrame:
     return C.unpaired(*halves(t), ["o_custkey", "o_orderpriority"])
 
 
-@query(
-    "branch_harm",
-    f"""WITH {WALK}, b AS (SELECT episode, life % 2 = 0 AS positive, count(*) AS decisions, sum(frames)::BIGINT AS frames, count(*) FILTER (lost) AS losses, count(period) AS loops FROM a GROUP BY 1, 2),
-    j AS (SELECT p.episode, n.losses - p.losses AS extra_life, n.decisions - p.decisions AS more_decisions, n.frames - p.frames AS more_frames, n.loops - p.loops AS looped, p.decisions > 40 AND n.decisions < 30 AS lost_clear
-          FROM b p JOIN b n ON p.episode = n.episode AND p.positive AND NOT n.positive)
-    SELECT episode, CASE WHEN extra_life > 0 THEN 'verified_life_loss' WHEN lost_clear THEN 'verified_lost_clear' WHEN looped > 0 THEN 'verified_loop' WHEN more_decisions >= 8 AND more_frames >= 60 THEN 'verified_route_cost' ELSE 'not_harmful' END AS harm FROM j""",
-)
-def branch_harm(t: Tables) -> DataFrame:
-    b = walked(t).groupBy("episode", (F.col("life") % 2 == 0).alias("positive")).agg(F.count(F.lit(1)).alias("decisions"), F.sum("frames").alias("frames"), M.n(F.col("lost")).alias("losses"), F.count("period").alias("loops"))
-    p, n = (b.where(F.col("positive") == v).select("episode", *[F.col(c).alias(c + s) for c in ("decisions", "frames", "losses", "loops")]) for v, s in ((True, "_p"), (False, "_n")))
-    d = lambda c: F.col(c + "_n") - F.col(c + "_p")
-    harm = G.classify_branches(d("losses"), (F.col("decisions_p") > 40) & (F.col("decisions_n") < 30), d("decisions"), d("frames"), d("loops"))
-    return p.join(n, "episode").select("episode", harm.alias("harm"))
-
-
 _SOFT = """e AS (SELECT vec_id, label % 4 AS gold, list_transform(embedding[1:4], lambda v: v::DOUBLE) AS x FROM embeddings),
 s AS (SELECT vec_id, gold, list_transform(x, lambda v: exp(v - list_max(x))) AS y FROM e), p AS (SELECT vec_id, gold, list_transform(y, lambda v: v / list_sum(y)) AS p FROM s)"""
 
@@ -295,9 +282,9 @@ def case_report(t: Tables) -> DataFrame:
     SELECT dim.split, dim.scenario, coalesce(records, 0) AS records, coalesce(games, 0) AS games, coalesce(families, 0) AS families FROM dim LEFT JOIN s ON s.split = dim.split AND s.scenario = dim.scenario""",
 )
 def catalog_rollup(t: Tables) -> DataFrame:
-    rows = flagged(t).select((F.col("episode") % 2).alias("split"), "episode", "props", G.primary(F.col("flags")).alias("scenario"))
+    rows = flagged(t).select((F.col("episode") % 2).alias("split"), "episode", "props", G.primary(F.col("flags"), PRIORITY).alias("scenario"))
     found = rows.groupBy("split", "scenario").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("episode").alias("games"), F.count_distinct("props").alias("families"))
-    dim = t.spark.createDataFrame([(s, c) for s in (0, 1) for c in G.SCENARIOS], "split long, scenario string")
+    dim = t.spark.createDataFrame([(s, c) for s in (0, 1) for c in PRIORITY], "split long, scenario string")
     return M.over_dimension(dim, found, ["split", "scenario"], ["records", "games", "families"])
 
 

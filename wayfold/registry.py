@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import contract_queries, pool_queries, rollups, trajectories  # noqa: F401
+from wayfold.plans import contract_queries, decision_queries, pool_queries, rollups, trajectories  # noqa: F401
 from wayfold.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
