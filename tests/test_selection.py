@@ -1,6 +1,8 @@
 """Solvers: floors, quotas, caps, flow; and that shortages raise."""
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,24 +24,73 @@ def test_greedy_cover_meets_floors_and_dedups(spark):
     assert got == S.balanced(df, 12, {"hard": 5, "late": 2}, "s")
 
 
-def test_cover_is_the_same_as_without_a_cap(spark, monkeypatch):
-    from wayfold.plans import pool_queries as P
-    from wayfold.plans.base import Tables
-
-    copies = [(f"c{i:04d}", f"copied{i % 3}", 10_000 + i, ["lost", "near", "progress"]) for i in range(2100)]
-    flagged = [(f"f{i:03d}", f"df{i}", i, [["lost"], ["near", "progress"], ["progress", "lost"]][i % 3]) for i in range(150)]
-    plain = [(f"p{i:03d}", f"dp{i}", i, []) for i in range(400)]
-    data = [(i, d, p, {f: f in fs for f in P.FLOORS}) for i, d, p, fs in copies + flagged + plain]
-    df = spark.createDataFrame(data, "id string, digest string, priority int, flags map<string,boolean>")
-    monkeypatch.setattr(P, "_cover_input", lambda t: df)
-    (got,) = P.cover_verified(Tables(spark, "")).collect()
-    assert tuple(got) == (300, 300, True, True, True)
-    best = {}
-    key = lambda i: (hashlib.md5(f"cover:{i}".encode()).hexdigest(), i)
-    for i, d, p, flags in sorted(data, key=lambda r: (-r[2], key(r[0]))):
-        best.setdefault(d, (i, frozenset(f for f, v in flags.items() if v)))
-    every = sorted(best.values(), key=lambda r: key(r[0]))
-    assert S.balanced(df, 300, P.FLOORS, "cover") == S.greedy_cover(every, 300, P.FLOORS)
+def brute(monkeypatch):
+    monkeypatch.setattr(S, "prefix", lambda df, *rest: df)
+
+
+def test_prefixes_change_no_choice(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"c{i:04d}", f"copied{i % 3}", 10_000 + i, {"a": True, "b": True}) for i in range(500)]
+    rows += [(f"f{i:03d}", f"d{i}", i, {"a": i % 3 == 0, "b": i % 5 == 0, "c": i % 7 == 0}) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, digest string, priority int, flags map<string,boolean>")
+    ask = lambda: S.balanced(df, 60, {"a": 20, "b": 15, "c": 9}, "cover")
+    mixed = [(f"r{i}", f"d{i}", rng.choice(["hard", "easy", "hard"]), rng.choice(["old", "new"]), f"f{rng.randrange(40) ** 2 // 60}", rng.randrange(50), {"a": rng.random() < 0.1, "b": rng.random() < 0.3}) for i in range(900)]
+    m = spark.createDataFrame(mixed, "id string, digest string, class string, origin string, family string, margin int, flags map<string,boolean>")
+    mix = lambda: S.select_mix(m, {"hard": 40, "easy": 12}, ("old", "new", 0.6), {"a": 9, "b": 20}, 4, "mix")
+    windows = spark.createDataFrame([(f"w{i}{k}", f"x{i}{k % 2}", r[4], r[0], k) for i, r in enumerate(mixed) for k in range(3)], "id string, digest string, family string, root string, place int")
+    target = lambda: S.select_targeted(m, windows, (36, 12), {"a": 9, "b": 14}, 4, 2, "t")
+    few = ask(), mix(), target()
+    brute(monkeypatch)
+    assert few == (ask(), mix(), target())
+    by = {r[0]: r for r in mixed}
+    chosen = [by[i] for i in few[1]]
+    assert Counter((r[2], r[3]) for r in chosen) == {("hard", "old"): 24, ("hard", "new"): 16, ("easy", "old"): 7, ("easy", "new"): 5}
+    assert max(Counter(r[4] for r in chosen).values()) <= 4 and sum(r[6]["a"] for r in chosen if r[2] == "hard") >= 9
+    roots, near = few[2]
+    family = Counter(by[i][4] for i in roots)
+    assert len(roots) == 36 and len(near) == 12 and max(family.values()) <= 3
+    parent = {f"w{i}{k}": r[0] for i, r in enumerate(mixed) for k in range(3)}
+    assert {parent[w] for w in near} <= set(roots) and max(Counter(parent[w] for w in near).values()) <= 2
+    assert max((family + Counter(by[parent[w]][4] for w in near)).values()) <= 4
+
+
+def test_first_class_is_three_quarters(spark):
+    with pytest.raises(ValueError, match="three quarters"):
+        S.select_mix(records(spark), {"hard": 5, "replay": 2}, ("old", "new", 0.6), {}, 3, "s")
+
+
+def test_root_sampler_and_queues(spark):
+    rng = random.Random(5)
+    rows = [(e, t, {"x": rng.random() < 0.1, "y": rng.random() < 0.4, "z": rng.random() < 0.2}) for e in range(6) for t in range(40)]
+    df = spark.createDataFrame(rows, "episode long, turn long, flags map<string,boolean>")
+    got = {}
+    for r in S.root_sampler(df, "flags", ["x", "y", "z"], 3, 10, "s").collect():
+        got.setdefault(r.episode, set()).add(r.turn)
+    lists = {}
+    for r in S.cohort_queues(df, "flags", ["x", "y", "z"], 7).orderBy("episode", "place").collect():
+        lists.setdefault(r.episode, []).append(r.turn)
+    for e in range(6):
+        flags = {t: f for i, t, f in rows if i == e}
+        taken = []
+        for name in "xyz":
+            open_ = [t for t in sorted(flags) if flags[t][name] and t not in taken]
+            slots = min(3, len(open_), 10 - len(taken))
+            taken += [open_[j * len(open_) // slots] for j in range(slots)]
+        rest = sorted((t for t in flags if t not in taken and any(flags[t].values())), key=lambda t: hashlib.md5(f"s:{e}:{t}".encode()).hexdigest())
+        assert got[e] == set(taken + rest[: 10 - len(taken)])
+        queues = []
+        for name in "xyz":
+            open_ = [t for t in sorted(flags) if flags[t][name]]
+            n = min(7, len(open_))
+            queues.append([open_[j * len(open_) // n] for j in range(n)])
+        want = []
+        while any(queues) and len(want) < 7:
+            for q in queues:
+                while q and q[0] in want:
+                    q.pop(0)
+                if q and len(want) < 7:
+                    want.append(q.pop(0))
+        assert lists[e] == want
 
 
 def test_shortages_raise(spark):
@@ -48,30 +99,32 @@ def test_shortages_raise(spark):
     with pytest.raises(S.Shortage):
         S.balanced(records(spark), 21, {}, "s")
     with pytest.raises(S.Shortage):
-        S.select_quota(records(spark), {("hard", "old"): 9}, {}, 1, "s")
+        S.select_mix(records(spark), {"hard": 15}, ("old", "new", 0.5), {}, 1, "s")
 
 
-def test_quota_selection(spark):
-    df = records(spark)
-    got = S.select_quota(df, {("hard", "old"): 3, ("replay", "new"): 2}, {"late": 1}, 2, "s")
-    rows = df.where(F.col("id").isin(got)).collect()
-    assert sorted((r["class"], r.origin) for r in rows) == [("hard", "old")] * 3 + [("replay", "new")] * 2
-    assert max(sum(r.family == f for r in rows) for f in {r.family for r in rows}) <= 2
+def assigned(spark, options, quota, cap):
+    rows = {}
+    for request, family, role in options:
+        rows.setdefault((request, family), []).append(role)
+    df = spark.createDataFrame([(*k, v) for k, v in rows.items()], "request string, family string, roles array<string>")
+    return {r.request: r.role for r in S.assign_roles(df, quota, cap, "s").collect()}
 
 
-def test_flow_keeps_the_rare_role():
-    options = [("a", "f1", "rare"), ("a", "f1", "common"), ("b", "f2", "common"), ("c", "f3", "common")]
-    got = S.assign_roles(options, {"rare": 1, "common": 2}, 4)
-    assert got == {"a": "rare", "b": "common", "c": "common"}
+def test_flow_keeps_the_rare_role(spark):
+    options = [("a", "f1", "rare"), ("a", "f1", "common"), ("b", "f2", "common"), ("c", "f3", "common"), ("d", "f3", "other")]
+    assert assigned(spark, options, {"rare": 1, "common": 2}, 4) == {"a": "rare", "b": "common", "c": "common"}
 
 
-def test_flow_limits():
+def test_flow_limits(spark):
     with pytest.raises(S.Shortage):  # one request serves one role
-        S.assign_roles([("a", "f", "x"), ("a", "f", "y")], {"x": 1, "y": 1}, 4)
+        assigned(spark, [("a", "f", "x"), ("a", "f", "y")], {"x": 1, "y": 1}, 4)
     with pytest.raises(S.Shortage):  # three quarters of the family cap
-        S.assign_roles([(r, "f", "x") for r in "abcd"], {"x": 4}, 4)
+        assigned(spark, [(r, "f", "x") for r in "abcd"], {"x": 4}, 4)
     with pytest.raises(ValueError, match="several families"):
-        S.assign_roles([("a", "f", "x"), ("a", "g", "x")], {"x": 1}, 4)
+        assigned(spark, [("a", "f", "x"), ("a", "g", "x")], {"x": 1}, 4)
+    many = [(f"r{i}", f"f{i % 5}", role) for i in range(60) for role in (["x", "y"] if i % 3 else ["y"])]
+    got = Counter(assigned(spark, many, {"x": 7, "y": 8}, 4).values())
+    assert got == {"x": 7, "y": 8}
 
 
 def test_window_picks():

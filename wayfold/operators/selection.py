@@ -1,15 +1,18 @@
-"""Quota selection. Spark does what is relational; solvers get candidate sets of proven size.
+"""Quota selection. Spark does what is relational; solvers get what they need of the candidates and no more.
 
-Order-dependent greedy covers and the flow assignment run on the driver over at most
-MAX_CANDIDATES rows; more raise an error (balanced pre-selects by cap_candidates, which
-changes no choice).
+A greedy selection of so many rows takes, of rows that are alike to it (one flag set, class, origin), the first in a
+fixed order, except that it passes over rows of full families. So a prefix of each such group, whose length follows from
+the budget and not from the data, holds all that it can take (see prefix). The flow assignment sees counts per family and
+role set only. More than MAX_CANDIDATES rows of either kind raise an error.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import hashlib
+from collections import Counter, deque
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +32,27 @@ def candidates(df: DataFrame, columns: Sequence[str]) -> list:
     return rows
 
 
-def cap_candidates(df: DataFrame, flags: str, order: Sequence[Column], count: int) -> DataFrame:
-    """The first count rows of every combination of true flags, of none too.
+def flag_set(flags: str) -> Column:
+    """The true flags of a map, sorted and joined: rows with one flag set are alike to a solver."""
+    true = F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: F.coalesce(v, F.lit(False)))))
+    return F.concat_ws("\x00", true)
+
 
-    A greedy cover of count rows and its fill take a prefix of each combination in their
-    order, so they choose the same rows from these as from all, if digests are distinct.
+def prefix(df: DataFrame, alike: Sequence[str], order: Sequence[Column], budget: int, family: str | None = None, cap: int = 0) -> DataFrame:
+    """All rows that a greedy choice of budget rows can take, if it takes alike rows in order, at most cap of a family.
+
+    Of a family the first cap rows are enough. A row is passed over only if its family is full, and budget rows
+    fill at most budget / cap families, so of every group 2 * budget rows are enough (budget without families).
     """
-    true = F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: F.coalesce(v, F.lit(False)))))
-    named = df.withColumn("_flags", F.coalesce(F.concat_ws("\x00", true), F.lit("")))
-    return first_rows(named, ["_flags"], order, count).drop("_flags")
+    named = df.withColumn("_set", flag_set("flags"))
+    key = ["_set", *alike]
+    if family is None:
+        return first_rows(named, key, order, budget).drop("_set")
+    return first_rows(first_rows(named, [*key, family], order, cap), key, order, 2 * budget).drop("_set")
+
+
+def _true(flags: dict) -> frozenset[str]:
+    return frozenset(k for k, v in (flags or {}).items() if v)
 
 
 def greedy_cover(rows: Iterable[tuple[str, frozenset[str]]], count: int, floors: Mapping[str, int]) -> list[str]:
@@ -45,25 +60,33 @@ def greedy_cover(rows: Iterable[tuple[str, frozenset[str]]], count: int, floors:
     left = dict(rows)
     if len(left) < count:
         raise Shortage(f"{len(left)} rows for {count}")
+    place = {i: k for k, i in enumerate(left)}
+    alike: dict[frozenset[str], deque[str]] = {}
+    for i, flags in left.items():
+        alike.setdefault(flags, deque()).append(i)
     have, chosen = dict.fromkeys(floors, 0), []
     while len(chosen) < count and (short := {f for f, n in floors.items() if have[f] < n}):
-        best = max(left, key=lambda i: sum(1 / floors[f] for f in left[i] & short))
-        if not left[best] & short:
+        best = max(((sum(1 / floors[f] for f in flags & short), -place[q[0]], flags) for flags, q in alike.items() if q), key=lambda x: x[:2])
+        if not best[0]:
             raise Shortage(f"no rows left for {sorted(short)}")
-        for f in left.pop(best) & have.keys():
+        chosen.append(alike[best[2]].popleft())
+        for f in left.pop(chosen[-1]) & have.keys():
             have[f] += 1
-        chosen.append(best)
     if short := {f: n - have[f] for f, n in floors.items() if have[f] < n}:
         raise Shortage(f"short of {short}")
     return [*chosen, *list(left)[: count - len(chosen)]]
 
 
+def one_per_digest(df: DataFrame, seed: str) -> DataFrame:
+    """The row of the highest priority of each digest; ties go by the seeded order."""
+    return first_rows(df, ["digest"], [F.col("priority").desc(), seeded(seed, "id"), F.col("id")])
+
+
 def balanced(df: DataFrame, count: int, floors: Mapping[str, int], seed: str) -> list[str]:
     """Distinct digests (the best by priority of each), covered greedily; df: id, digest, priority, flags."""
-    unique = first_rows(df, ["digest"], [F.col("priority").desc(), seeded(seed, "id"), F.col("id")])
-    few = cap_candidates(unique, "flags", [seeded(seed, "id"), F.col("id")], count)
-    rows = candidates(few.select("id", seeded(seed, "id").alias("k"), F.map_keys(F.map_filter("flags", lambda k, v: F.coalesce(v, F.lit(False)))).alias("f")), ["id", "k", "f"])
-    return greedy_cover(((r["id"], frozenset(r["f"] or ())) for r in sorted(rows, key=lambda r: (r["k"], r["id"]))), count, floors)
+    few = prefix(one_per_digest(df, seed), [], [seeded(seed, "id"), F.col("id")], count)
+    rows = candidates(few.select("id", seeded(seed, "id").alias("k"), "flags"), ["id", "k", "flags"])
+    return greedy_cover(((r["id"], _true(r["flags"])) for r in sorted(rows, key=lambda r: (r["k"], r["id"]))), count, floors)
 
 
 def quotas(target: Column, share: float) -> tuple[Column, Column]:
@@ -79,40 +102,183 @@ def fill(df: DataFrame, per: Sequence[str], budgets: DataFrame, family: str, cap
     return capped.withColumn("_r", rank).join(budgets, list(per)).where("_r <= budget").drop("_r", "budget")
 
 
-def select_quota(df: DataFrame, budgets: Mapping[tuple[str, str], int], floors: Mapping[str, int], cap: int, seed: str) -> list[str]:
-    """Exact quotas per (class, origin), scarce floors first, at most cap of a family, then the largest margins.
+class _Taken:
+    """What a selection has taken: digests, families and covered flags."""
+
+    def __init__(self, floors: Mapping[str, int], used: Iterable[str] = ()) -> None:
+        self.floors, self.digests, self.families = floors, set(used), Counter()
+        self.have, self.chosen, self.per = Counter(), [], Counter()  # per: number by (class, origin)
+
+    def free(self, r, cap: int) -> bool:
+        return r["digest"] not in self.digests and self.families[r["family"]] < cap
+
+    def take(self, r) -> None:
+        self.chosen.append(r["id"])
+        self.digests.add(r["digest"])
+        self.families[r["family"]] += 1
+        self.have.update(_true(r["flags"]))
+        if "origin" in r:
+            self.per[r["class"], r["origin"]] += 1
+
+    def cover(self, rows: Sequence, allowed, limit: int) -> None:
+        """While a floor is short, the first allowed row with the largest sum of 1 / (allowed rows with the flag) over short flags."""
+        while short := {f for f, n in self.floors.items() if self.have[f] < n}:
+            open_ = [r for r in rows if allowed(r)]
+            supply = Counter(f for r in open_ for f in _true(r["flags"]) & short)
+            best = max(open_, key=lambda r: sum(1 / supply[f] for f in _true(r["flags"]) & short), default=None)
+            if best is None or not _true(best["flags"]) & short or len(self.chosen) >= limit:
+                raise Shortage(f"short of { {f: self.floors[f] - self.have[f] for f in sorted(short)} }")
+            self.take(best)
+
+
+_RECORD = ["id", "digest", "class", "origin", "family", "margin", "flags", "k"]
+
 
-    df: id, class, origin, family, margin, flags (map). Deviations raise Shortage.
+def select_mix(df: DataFrame, budgets: Mapping[str, int], mix: tuple[str, str, float], floors: Mapping[str, int], cap: int, seed: str) -> list[str]:
+    """Exact quotas of two classes, each shared by two origins, with floors of the first class; a digest once, cap of a family at most.
+
+    budgets: the classes in order; the first must be three times the second at least. mix: the origin whose share is
+    rounded half to even, the origin that gets the rest, and the share. Floors come first, scarce flags weigh most;
+    then each origin is filled by margin. Nothing easier is taken instead: a shortage raises. df: id, digest (each
+    once), class, origin, family, margin, flags.
     """
-    named = F.map_keys(F.map_filter("flags", lambda k, v: F.coalesce(v, F.lit(False)))).alias("f")
-    rows = sorted(candidates(df.select("id", "class", "origin", "family", "margin", named, seeded(seed, "id").alias("k")), ["id", "class", "origin", "family", "margin", "f", "k"]), key=lambda r: (r["k"], r["id"]))
-    left, families, have, chosen = dict(budgets), {}, dict.fromkeys(floors, 0), []
-    taken: set[str] = set()
-
-    def take(r) -> bool:
-        if r["id"] in taken or left.get((r["class"], r["origin"]), 0) <= 0 or families.get(r["family"], 0) >= cap:
-            return False
-        left[r["class"], r["origin"]] -= 1
-        families[r["family"]] = families.get(r["family"], 0) + 1
-        for f in set(r["f"]) & have.keys():
-            have[f] += 1
-        taken.add(r["id"])
-        chosen.append(r["id"])
-        return True
-
-    supply = {f: sum(f in r["f"] for r in rows) for f in floors}
-    for f in sorted(floors, key=lambda f: (supply[f], f)):
-        for r in rows:
-            if have[f] >= floors[f]:
-                break
-            if f in r["f"]:
-                take(r)
-    for r in sorted(rows, key=lambda r: -(r["margin"] or 0.0)):
-        take(r)
-    missing = {f: floors[f] - have[f] for f in floors if have[f] < floors[f]} | {k: v for k, v in left.items() if v > 0}
+    (hard, n_hard), *rest = budgets.items()
+    n_easy = sum(n for _, n in rest)
+    if n_hard < 3 * n_easy:
+        raise ValueError("the first class must be three quarters of the selection at least")
+    order = [F.coalesce("margin", F.lit(0)).desc(), seeded(seed, "id"), F.col("id")]
+    few = prefix(df.where(F.col("class").isin(*budgets)), ["class", "origin"], order, n_hard + n_easy, "family", cap)
+    rows = candidates(few.withColumn("k", seeded(seed, "id")), _RECORD)
+    rows.sort(key=lambda r: (-(r["margin"] or 0), r["k"], r["id"]))
+    state, missing = _Taken(floors), {}
+    for kind, target in budgets.items():
+        first = round(target * mix[2])
+        share = {mix[0]: first, mix[1]: target - first}
+        of_kind = [r for r in rows if r["class"] == kind]
+        if kind == hard:
+            state.cover(of_kind, lambda r: state.free(r, cap) and state.per[hard, r["origin"]] < share.get(r["origin"], 0), target)
+        for origin, n in share.items():
+            for r in of_kind:
+                if state.per[kind, origin] == n:
+                    break
+                if r["origin"] == origin and state.free(r, cap):
+                    state.take(r)
+            if state.per[kind, origin] < n:
+                missing[f"{kind}/{origin}"] = n - state.per[kind, origin]
     if missing:
         raise Shortage(f"short of {missing}")
-    return chosen
+    return state.chosen
+
+
+def select_targeted(df: DataFrame, windows: DataFrame, budgets: tuple[int, int], floors: Mapping[str, int], cap: int, per_root: int, seed: str) -> tuple[list[str], list[str]]:
+    """Roots and windows: floors over roots, then a root of each family in turn, then a window of each root in turn.
+
+    budgets: roots and windows; roots must be three times the windows at least, and take their share of a family's cap.
+    A digest is taken once, a family cap times, a root per_root windows at most. df: id, digest (each once), family,
+    flags; windows: id, digest, family, root, place (order within the root). Shortages raise.
+    """
+    target, n_windows = budgets
+    if target < 3 * n_windows:
+        raise ValueError("roots must be three quarters of the selection at least")
+    root_cap = cap * target // (target + n_windows) if n_windows else cap
+    order = [seeded(seed, "id"), F.col("id")]
+    covering = prefix(df, [], order, target, "family", root_cap)
+    # of the turns over families: those that come first in the order, as many as the budget and full families can need
+    turns = first_rows(df, ["family"], order, root_cap)
+    first = turns.groupBy("family").agg(F.min(F.struct(seeded(seed, "id").alias("k"), F.col("id").alias("i"))).alias("_f")).orderBy("_f").limit(2 * target)
+    rows = candidates(covering.unionByName(turns.join(first.select("family"), "family", "left_semi")).dropDuplicates(["id"]).withColumn("k", seeded(seed, "id")), ["id", "digest", "family", "flags", "k"])
+    rows.sort(key=lambda r: (r["k"], r["id"]))
+    state = _Taken(floors)
+    state.cover(rows, lambda r: state.free(r, root_cap), target)
+    queues: dict[str, deque] = {}
+    for r in rows:
+        queues.setdefault(r["family"], deque()).append(r)
+    _in_turns(queues.values(), state, target, lambda r: state.free(r, root_cap), lambda q: True)
+    roots = state.chosen[:]
+    wanted = df.sparkSession.createDataFrame([(i,) for i in roots], "root string")
+    found = candidates(windows.join(F.broadcast(wanted), "root").withColumn("flags", F.lit(None).cast("map<string,boolean>")), ["id", "digest", "family", "root", "place", "flags"])  # wanted: as many as the budget
+    lists = {i: deque(sorted((w for w in found if w["root"] == i), key=lambda w: (w["place"], w["id"]))) for i in sorted(roots, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())}
+    taken = Counter()
+
+    def may(q) -> bool:
+        ok = taken[q[0]["root"]] < per_root
+        taken[q[0]["root"]] += ok
+        return ok
+
+    _in_turns(lists.values(), state, target + n_windows, lambda r: state.free(r, cap), may)
+    return roots, state.chosen[target:]
+
+
+def _in_turns(queues: Iterable[deque], state: _Taken, until: int, allowed, may) -> None:
+    """One row of each queue in turn until so many are chosen; rows that are not allowed are dropped, queues that may not are skipped."""
+    queues = [q for q in queues if q]
+    while len(state.chosen) < until:
+        before = len(state.chosen)
+        for q in queues:
+            while q and not allowed(q[0]):
+                q.popleft()
+            if q and may(q):
+                state.take(q.popleft())
+                if len(state.chosen) == until:
+                    return
+        if len(state.chosen) == before:
+            raise Shortage(f"{before} rows for {until}")
+
+
+def root_sampler(rows: DataFrame, flags: str, order: Sequence[str], per_cohort: int, budget: int, seed: str) -> DataFrame:
+    """Rows of each episode: of every cohort in order up to per_cohort evenly spaced ones that were not taken yet, then others with a flag in seeded order, budget in all.
+
+    All windows are partitioned by episode, so one exchange serves them.
+    """
+    by = Window.partitionBy("episode")
+    on = lambda name: F.coalesce(F.try_element_at(flags, F.lit(name)), F.lit(False))
+    out = rows.withColumn("_took", F.lit(False))
+    for name in order:
+        out = out.withColumn("_open", on(name) & ~F.col("_took")).withColumn("_sum", F.count_if("_took").over(by))
+        mine = Window.partitionBy("episode", "_open")
+        out = out.withColumns({"_n": F.count(F.lit(1)).over(mine), "_i": F.row_number().over(mine.orderBy("turn")) - 1})
+        out = out.withColumn("_slots", F.least(F.lit(per_cohort), F.col("_n"), F.lit(budget) - F.col("_sum")))
+        spaced = F.exists(F.sequence(F.lit(0), F.lit(per_cohort - 1)), lambda j: (j < F.col("_slots")) & (F.expr("_i") == F.floor(j * F.col("_n") / F.greatest(F.col("_slots"), F.lit(1)))))
+        out = out.withColumn("_took", F.col("_took") | (F.col("_open") & spaced))
+    out = out.withColumn("_rest", ~F.col("_took") & (F.size(F.map_filter(flags, lambda k, v: v)) > 0)).withColumn("_sum", F.count_if("_took").over(by))
+    place = F.row_number().over(Window.partitionBy("episode", "_rest").orderBy(seeded(seed, "episode", "turn"), "turn"))
+    return out.withColumn("_place", place).where(F.col("_took") | (F.col("_rest") & (F.col("_place") <= budget - F.col("_sum")))).drop("_took", "_open", "_sum", "_n", "_i", "_slots", "_rest", "_place")
+
+
+def cohort_queues(rows: DataFrame, flags: str, order: Sequence[str], budget: int) -> DataFrame:
+    """episode, turn, place: cohorts of an episode in turn, each giving the next of its evenly spaced rows that no other gave, budget in all.
+
+    A queue has at most budget rows, so an episode's queues are one bounded row of a batch.
+    """
+    named = rows.select("episode", "turn", F.explode(F.array(*[F.when(F.coalesce(F.try_element_at(flags, F.lit(c)), F.lit(False)), F.lit(i)) for i, c in enumerate(order)])).alias("queue")).where("queue IS NOT NULL")
+    by = Window.partitionBy("episode", "queue")
+    n, i = F.count(F.lit(1)).over(by), F.row_number().over(by.orderBy("turn")) - 1
+    named = named.withColumns({"_n": n, "_i": i}).withColumn("_slots", F.least(F.col("_n"), F.lit(budget)))
+    # row i is the j-th pick, j = ceil(i * slots / n), if that pick is row i
+    j = F.ceil(F.col("_i") * F.col("_slots") / F.col("_n"))
+    picks = named.where((j < F.col("_slots")) & (F.floor(j * F.col("_n") / F.col("_slots")) == F.col("_i")))
+    lists = picks.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("queue", "turn"))).alias("q"))
+
+    def run(it):
+        for batch in it:
+            out = []
+            for episode, q in zip(batch.column("episode").to_pylist(), batch.column("q").to_pylist(), strict=True):
+                queues: dict[int, deque] = {}
+                for x in q:
+                    queues.setdefault(x["queue"], deque()).append(x["turn"])
+                seen: dict[int, None] = {}
+                while queues and len(seen) < budget:
+                    for k in list(queues):
+                        while queues[k] and queues[k][0] in seen:
+                            queues[k].popleft()
+                        if queues[k] and len(seen) < budget:
+                            seen[queues[k].popleft()] = None
+                        if not queues[k]:
+                            del queues[k]
+                out += [(episode, turn, place) for place, turn in enumerate(seen, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["episode", "turn", "place"])
+
+    return lists.mapInArrow(run, "episode long, turn long, place long")
 
 
 class Flow:
@@ -180,35 +346,60 @@ class Flow:
                 total += push
 
 
-def assign_roles(rows: Iterable[tuple[str, str, str]], quota: Mapping[str, int], family_cap: int, share: float = 0.75) -> dict[str, str]:
-    """request -> role for (request, family, role) options: role quotas met exactly, a request once, a family at most floor(share * cap) times."""
-    options = sorted(set(rows))
-    if clash := {r for r, f, _ in options} & {r for r, n in _families(options).items() if n > 1}:
-        raise ValueError(f"requests of several families: {sorted(clash)[:3]}")
+def role_flow(groups: Iterable[tuple[str, frozenset[str], int]], quota: Mapping[str, int], family_cap: int, share: float = 0.75) -> list[tuple[str, frozenset[str], str, int]]:
+    """(family, role set, role, number): how many requests of a family with one set of possible roles take each role.
+
+    Role quotas are met exactly, a request takes one role, a family at most floor(share * cap). A shortage raises.
+    """
+    groups = sorted(((f, roles & frozenset(quota), n) for f, roles, n in groups if roles & frozenset(quota)), key=lambda g: (g[0], sorted(g[1])))
     flow, edges = Flow(), {}
     for role, n in sorted(quota.items()):
         flow.add("source", ("role", role), n)
-    for request, family in sorted({(r, f) for r, f, _ in options}):
-        flow.add(("request", request), ("family", family), 1)
-    for family in sorted({f for _, f, _ in options}):
+    for family, roles, n in groups:
+        flow.add(("group", family, roles), ("family", family), n)
+        for role in sorted(roles):
+            edges[family, roles, role] = flow.add(("role", role), ("group", family, roles), n)
+    for family in sorted({g[0] for g in groups}):
         flow.add(("family", family), "sink", int(share * family_cap))
-    for request, _, role in options:
-        if role in quota:
-            edges[request, role] = flow.add(("role", role), ("request", request), 1)
     flow.node("source"), flow.node("sink")
     got = flow.solve("source", "sink")
-    out = {request: role for (request, role), e in edges.items() if flow.used(e)}
+    out = [(*key, flow.used(e)) for key, e in edges.items() if flow.used(e)]
     if got < sum(quota.values()):
-        short = {role: n - sum(r == role for r in out.values()) for role, n in quota.items()}
+        short = {role: n - sum(x[3] for x in out if x[2] == role) for role, n in quota.items()}
         raise Shortage(f"short of { {k: v for k, v in short.items() if v} }")
     return out
 
 
-def _families(options: Sequence[tuple[str, str, str]]) -> dict[str, int]:
-    seen: dict[str, set] = {}
-    for r, f, _ in options:
-        seen.setdefault(r, set()).add(f)
-    return {r: len(f) for r, f in seen.items()}
+def assign_roles(df: DataFrame, quota: Mapping[str, int], family_cap: int, seed: str, share: float = 0.75) -> DataFrame:
+    """request, family, role of df (request, family, roles: array of possible ones; a request has one family).
+
+    The flow is solved over counts per family and role set; which requests of a group take a role is a seeded draw.
+    """
+    rows = df.select("request", "family", F.array_sort("roles").alias("roles"))
+    if not (clash := rows.groupBy("request").agg(F.count_distinct("family").alias("n")).where("n > 1").limit(3)).isEmpty():
+        raise ValueError(f"requests of several families: {[r['request'] for r in clash.collect()]}")
+    rows = rows.dropDuplicates(["request"]).withColumn("_set", F.concat_ws("\x00", "roles"))
+    groups = candidates(rows.groupBy("family", "_set").agg(F.count(F.lit(1)).alias("n")), ["family", "_set", "n"])
+    named = {(g["family"], frozenset(g["_set"].split("\x00")) & frozenset(quota)): [] for g in groups}
+    counts: Counter = Counter()
+    for g in groups:
+        key = (g["family"], frozenset(g["_set"].split("\x00")) & frozenset(quota))
+        named[key].append(g)
+        counts[key] += g["n"]
+    parts = []
+    left = {(g["family"], g["_set"]): [0, g["n"]] for g in groups}
+    for family, roles, role, n in role_flow(((f, r, c) for (f, r), c in counts.items()), quota, family_cap, share):
+        for g in sorted(named[family, roles], key=lambda g: g["_set"]):
+            at = left[family, g["_set"]]
+            k = min(n, at[1] - at[0])
+            if k:
+                parts.append((family, g["_set"], role, at[0], at[0] + k))
+                at[0], n = at[0] + k, n - k
+    kind = dict(df.dtypes)["family"]
+    given = df.sparkSession.createDataFrame([(str(f), *rest) for f, *rest in parts], "family string, _set string, role string, _lo int, _hi int").withColumn("family", F.col("family").cast(kind))
+    place = F.row_number().over(Window.partitionBy("family", "_set").orderBy(seeded(seed, "request"), "request")) - 1
+    met = rows.withColumn("_place", place).join(given, ["family", "_set"])
+    return met.where((F.col("_place") >= F.col("_lo")) & (F.col("_place") < F.col("_hi"))).select("request", "family", "role")
 
 
 def strongest_family(df: DataFrame, request: str, strength: str, family: str) -> DataFrame:

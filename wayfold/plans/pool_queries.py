@@ -16,6 +16,7 @@ from wayfold.plans.base import FACTS, WALK, Tables, facts, query, walked
 from wayfold.plans.rollups import split_of
 from wayfold.plans.trajectories import SUMMARY
 from wayfold.sources import files as S
+from wayfold.sources.shared import cut
 from wayfold.streaming import folds as ST
 
 SPLIT = "CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') THEN 'development' ELSE 'train' END"
@@ -226,38 +227,78 @@ def _cover_input(t: Tables) -> DataFrame:
     return rows.select(F.col("event_id").cast("string").alias("id"), "digest", F.col("margin").alias("priority"), flags.alias("flags"), "family", "margin", F.col("label").alias("class"), F.col("split").alias("origin"))
 
 
-FLOORS = {"lost": 40, "near": 30, "progress": 40}
+FLAGS = ("lost", "near", "progress")
+_UNIQUE = f"""{FACTS}, {POOL},
+j AS (SELECT r.*, f.lost, f.k < 5 AS near, f.progress, md5(concat_ws(':', 'cover', r.event_id::VARCHAR)) AS h FROM r JOIN f USING (event_id)),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY margin DESC, h, event_id::VARCHAR) AS rn FROM j) WHERE rn = 1)"""
 
 
-@query("cover_verified", "SELECT 300 AS chosen, 300 AS digests, true AS lost_met, true AS near_met, true AS progress_met")
+@query(
+    "cover_verified",
+    f"""WITH {_UNIQUE}, n AS (SELECT count(*) // 30 AS chosen, {', '.join(f'count(*) FILTER ({k}) // 60 AS {k}' for k in FLAGS)} FROM u)
+    SELECT chosen, chosen AS digests, {', '.join(f'{k} AS {k}_floor, true AS {k}_met' for k in FLAGS)} FROM n""",
+)
 def cover_verified(t: Tables) -> DataFrame:
-    """The greedy cover, verified: its size, distinct digests, and whether floors are met."""
+    """The greedy cover of a thirtieth of all digests, verified: its size, distinct digests, and whether each floor (half its share) is met."""
     rows = _cover_input(t)
-    chosen = selection.balanced(rows, 300, FLOORS, "cover")
-    got = rows.join(t.spark.createDataFrame([(i,) for i in chosen], "id string"), "id")
-    met = [(M.n(G.flag(F.col("flags"), f)) >= n).alias(f"{f}_met") for f, n in FLOORS.items()]
-    return got.agg(F.count(F.lit(1)).cast("int").alias("chosen"), F.count_distinct("digest").cast("int").alias("digests"), *met)
+    unique = selection.one_per_digest(rows, "cover")
+    n = unique.agg(F.count(F.lit(1)).alias("all"), *[M.n(G.flag(F.col("flags"), k)).alias(k) for k in FLAGS]).first()
+    floors = {k: n[k] // 60 for k in FLAGS}
+    chosen = selection.balanced(rows, n["all"] // 30, {k: v for k, v in floors.items() if v}, "cover")
+    got = unique.join(t.spark.createDataFrame([(i,) for i in chosen], "id string"), "id")
+    met = [c for k, v in floors.items() for c in (F.lit(v).alias(f"{k}_floor"), (M.n(G.flag(F.col("flags"), k)) >= v).alias(f"{k}_met"))]
+    return got.agg(F.count(F.lit(1)).alias("chosen"), F.count_distinct("digest").alias("digests"), *met)
+
 
+_BUDGET = "least(count(*) FILTER (label = 'click' AND split = 'train'), count(*) FILTER (label = 'click' AND split = 'development'), count(*) FILTER (label = 'view')) // 10"
 
-@query("quota_verified", "SELECT class, origin, 10::BIGINT AS rows, true AS family_capped FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS class), (SELECT unnest(['development', 'train']) AS origin)")
+
+@query(
+    "quota_verified",
+    f"""WITH {_UNIQUE}, b AS (SELECT {_BUDGET} AS easy, count(*) FILTER (label = 'click' AND near) // 40 AS floor FROM u),
+    q AS (SELECT 'click' AS class, 3 * easy AS n, floor FROM b UNION ALL SELECT 'view', easy, 0 FROM b)
+    SELECT * FROM (SELECT class, origin, CASE WHEN origin = 'train' THEN round_even(n * 0.6, 0)::BIGINT ELSE n - round_even(n * 0.6, 0)::BIGINT END AS rows, true AS floor_met, true AS family_capped, true AS best_first
+    FROM q, (SELECT unnest(['train', 'development']) AS origin)) WHERE rows > 0""",
+)
 def quota_verified(t: Tables) -> DataFrame:
-    """The quota selection, verified: rows per class and origin, and the family cap."""
-    rows = _cover_input(t)
-    budgets = {(c, o): 10 for c in ("click", "error", "purchase", "signup", "view") for o in ("development", "train")}
-    chosen = selection.select_quota(rows.where("margin > 15000"), budgets, {"near": 4}, 3, "quota")
-    got = rows.join(t.spark.createDataFrame([(i,) for i in chosen], "id string"), "id")
-    capped = got.groupBy("family").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= 3).alias("family_capped"))
-    return got.groupBy("class", "origin").agg(F.count(F.lit(1)).alias("rows")).join(capped)  # capped is one row
+    """Clicks three to one with views, 60 to 40 over splits, a tenth of the scarcest; verified: rows, the floor, family caps, and that no larger margin was passed over."""
+    cap = 6
+    rows = selection.one_per_digest(_cover_input(t), "cover").withColumn("flags", F.map_filter("flags", lambda k, v: k == "near"))
+    of = lambda c, *o: M.n((F.col("class") == c) & F.col("origin").isin(*o))
+    n = rows.agg(F.least(of("click", "train"), of("click", "development"), of("view", "train", "development")).alias("least"), M.n((F.col("class") == "click") & G.flag(F.col("flags"), "near")).alias("near")).first()
+    easy, floor = n["least"] // 10, n["near"] // 40
+    chosen = selection.select_mix(rows, {"click": 3 * easy, "view": easy}, ("train", "development", 0.6), {"near": floor} if floor else {}, cap, "quota")
+    got = cut(rows.join(t.spark.createDataFrame([(i,) for i in chosen], "id string"), "id"))
+    full = got.groupBy("family").agg((F.count(F.lit(1)) >= cap).alias("full"), F.count(F.lit(1)).alias("n"))
+    capped = full.agg((F.max("n") <= cap).alias("family_capped"))
+    met = got.agg(F.lit(floor).alias("floor"), (M.n((F.col("class") == "click") & G.flag(F.col("flags"), "near")) >= floor).alias("floor_met"))
+    # rows left out of open families, against the least margin among the rows taken without need of the floor
+    least = got.where(~G.flag(F.col("flags"), "near")).groupBy("class", "origin").agg(F.min("margin").alias("least"))
+    left = rows.join(got.select("id"), "id", "left_anti").join(full.where("full").select("family"), "family", "left_anti").groupBy("class", "origin").agg(F.max("margin").alias("most"))
+    best = least.join(left, ["class", "origin"], "left").agg(F.coalesce(F.bool_and(F.col("most") <= F.col("least")), F.lit(True)).alias("best_first"))
+    per = got.groupBy("class", "origin").agg(F.count(F.lit(1)).alias("rows"))
+    return per.join(met.select("floor_met")).join(capped).join(best)  # each is one row
+
+
+_ROLE_FLAGS = {"critical": "lost AND k < 10", "escape": "k < 4", "anticipatory": "k < 8"}
 
 
-@query("flow_verified", "SELECT role, n::BIGINT AS assigned FROM (VALUES ('anticipatory', 20), ('critical', 25), ('escape', 20)) v(role, n)")
+@query(
+    "flow_verified",
+    f"""WITH {FACTS}, u AS (SELECT role, count(*) FILTER (hit) // 20 AS assigned FROM (SELECT unnest([{', '.join(f"{{'role': '{r}', 'hit': {e}}}" for r, e in _ROLE_FLAGS.items())}], recursive := true) FROM f) GROUP BY role)
+    SELECT role, assigned, true AS has_role, true AS family_capped, true AS once FROM u WHERE assigned > 0""",
+)
 def flow_verified(t: Tables) -> DataFrame:
-    """The max-flow assignment, verified: requests per role, each request once."""
-    rows = facts(t).select(F.col("event_id").cast("string").alias("request"), F.col("episode").cast("string").alias("family"), F.explode(G.true_names(G.flag_map({"critical": F.col("lost") & (F.col("k") < 10), "escape": F.col("k") < 4, "anticipatory": F.col("k") < 8}))).alias("role"))
-    options = [tuple(r) for r in selection.candidates(rows, ["request", "family", "role"])]
-    found = selection.assign_roles(options, {"critical": 25, "escape": 20, "anticipatory": 20}, 4)
-    out = t.spark.createDataFrame(sorted(found.items()), "request string, role string").distinct()
-    return out.groupBy("role").agg(F.count_distinct("request").alias("assigned"))
+    """The flow assignment of a twentieth of each role's requests, verified: requests per role, that they have it, family caps, each request once."""
+    cap = 8
+    roles = F.array_compact(F.array(*[F.when(F.expr(e), F.lit(r)) for r, e in _ROLE_FLAGS.items()]))
+    rows = facts(t).select(F.col("event_id").alias("request"), F.col("episode").alias("family"), roles.alias("roles")).where("size(roles) > 0")
+    have = rows.select(F.explode("roles").alias("role")).groupBy("role").count().collect()  # a row a role
+    found = cut(selection.assign_roles(rows, {r["role"]: r["count"] // 20 for r in have if r["count"] // 20}, cap, "flow"))
+    per_family = found.groupBy("family").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= cap * 3 // 4).alias("family_capped"))
+    once = found.agg((F.count(F.lit(1)) == F.count_distinct("request")).alias("once"))
+    right = found.join(rows.select("request", "roles"), "request").groupBy("role").agg(F.count(F.lit(1)).alias("assigned"), F.bool_and(F.array_contains("roles", F.col("role"))).alias("has_role"))
+    return right.join(per_family).join(once)  # each is one row
 
 
 _RING = "e AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst FROM nation UNION ALL SELECT (n_nationkey + 1) % 25, n_nationkey FROM nation)"
