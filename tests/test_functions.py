@@ -124,3 +124,20 @@ def test_round_robin_and_draw(spark):
     got = R.round_robin(df, ["bucket"], [F.col("i")]).orderBy("place").collect()
     assert [(r.bucket, r.i) for r in got] == [("a", 0), ("b", 0), ("a", 1), ("b", 1), ("a", 2)]
     assert R.draw(df, 2, "s", "bucket", "i").collect() == R.draw(df, 2, "s", "bucket", "i").collect()
+
+
+def test_round_robin_over_many_ranges(spark):
+    df = spark.createDataFrame([(f"b{i % 37:02d}", i) for i in range(900)], "bucket string, i int")
+    got = R.round_robin(df, ["bucket"], [F.col("i")]).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 901))
+    assert [(r.i // 37, r.bucket) for r in got] == sorted((i // 37, f"b{i % 37:02d}") for i in range(900))
+    assert R.round_robin(df.limit(0), ["bucket"], [F.col("i")]).count() == 0
+
+
+def test_ancestors_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)] + [(500, 7), (501, 500)], "id long, parent long")
+    got = {(r.id, r.ancestor): r.depth for r in graph.ancestors(chain).collect()}
+    assert got == {(i, j): i - j for i in range(150) for j in range(i)} | {(500, j): 8 - j for j in range(8)} | {(501, j): 9 - j for j in range(8)} | {(501, 500): 1}
+    with pytest.raises(ValueError, match="own ancestor"):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent long"))
+    assert graph.ancestors(chain.limit(0)).count() == 0

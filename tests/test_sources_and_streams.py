@@ -1,6 +1,7 @@
 """Sources, sinks, manifests and streaming folds in temporary folders."""
 
 import json
+import time
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from wayfold.operators import metrics as M
 from wayfold.operators import trajectory as T
 from wayfold.plans.base import Tables, facts
 from wayfold.sources import files as S
+from wayfold.sources import shared
 from wayfold.streaming import folds as ST
 
 TELEMETRY = schema.TELEMETRY
@@ -111,3 +113,40 @@ def test_event_time_stream(spark, data, tmp_path):
     got = ST.drain(ST.daily(stream), "days", "complete")
     assert sorted(got.collect()) == sorted(ST.daily(events).collect())
     assert ST.drain(ST.once(stream, "event_id"), "uniq", "append").count() == events.count()
+
+
+def test_heartbeat_tells_quiet_keys(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"worker":"a"}\n{"worker":"a"}\n{"worker":"b"}\n')
+    stream = spark.readStream.schema("worker string").json(f"{tmp_path}/in")
+    query = ST.heartbeat(stream, "worker", 1000).writeStream.format("memory").queryName("beats").outputMode("update").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = {tuple(r) for r in spark.table("beats").collect()}
+            if len(got) == 4:
+                break
+    finally:
+        query.stop()
+    assert got == {("a", True), ("b", True), ("a", False), ("b", False)}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Unset:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *a):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def get(self, *a):
+            return None
+
+        master = "spark://host:7077"
+
+    fake = type("Session", (), {"sparkContext": Unset()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(fake)

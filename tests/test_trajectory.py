@@ -87,12 +87,12 @@ def test_gap_must_grow_for_the_same_pursuers(spark):
     assert not check({"a": 3}, {"a": 3})
 
 
-def test_prefix_chain_all_has_every_turn(spark, data):
+def test_prefix_chain_has_every_turn(spark, data):
     import hashlib
 
     from wayfold.registry import QUERIES
 
-    got = {(r.episode, r.turn): (r.prefix_length, r.prefix_sha256) for r in QUERIES["prefix_chain_all"](spark, data).collect()}
+    got = {(r.episode, r.turn): (r.prefix_length, r.prefix_sha256) for r in QUERIES["prefix_chain"](spark, data).collect()}
     events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect()
     want, before = {}, {}
     for r in sorted(events, key=lambda r: (r.user_id, r.ts, r.event_id)):

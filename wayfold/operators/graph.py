@@ -1,7 +1,8 @@
-"""Distances on edge tables by frontier joins, and ancestors by a recursive query."""
+"""Distances on edge tables by frontier joins, and ancestors by doubling."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +44,7 @@ def _walks(steps: dict[int, list[int]]):
     return run
 
 
-def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, max_levels: int = 10_000, small: int = SMALL_GRAPH) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, small: int = SMALL_GRAPH) -> DataFrame:
     """src, dst, d: the fewest steps from every source (column src) to all it reaches, itself at 0.
 
     A graph of at most small edges goes to the tasks, which walk it from their sources. A larger
@@ -63,26 +64,31 @@ def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None =
     step = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     reached = cut(sources.select("src", F.col("src").alias("dst"), F.lit(0).alias("d")).distinct())
     frontier = reached
-    for level in range(1, max_levels):
+    for level in itertools.count(1):
         found = frontier.join(step, frontier["dst"] == step["at"]).select("src", F.col("to").alias("dst")).distinct()
         frontier = cut(found.join(reached, ["src", "dst"], "left_anti").withColumn("d", F.lit(level)))
         if frontier.isEmpty():
             return reached
         reached = cut(reached.unionByName(frontier))
-    return reached
-
-
-def ancestors(parents: DataFrame, levels: int = 100) -> DataFrame:
-    """id, ancestor, depth of a forest (id, parent): the transitive closure, by a recursive query."""
-    view = "_wayfold_parents"
-    parents.select("id", "parent").createOrReplaceTempView(view)
-    return parents.sparkSession.sql(
-        f"""WITH RECURSIVE up(id, ancestor, depth) AS (
-              SELECT id, parent, 1 FROM {view} WHERE parent IS NOT NULL
-              UNION ALL
-              SELECT up.id, p.parent, up.depth + 1 FROM up JOIN {view} p ON p.id = up.ancestor WHERE p.parent IS NOT NULL AND up.depth < {levels})
-            SELECT id, ancestor, depth FROM up"""
-    )
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """id, ancestor, depth of a forest (id, parent): the transitive closure, in as many rounds as the depth has binary digits.
+
+    Each round joins the pairs of the greatest depth so far with all pairs, which doubles that depth.
+    A circle raises.
+    """
+    have = cut(parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    reach = 1
+    while True:
+        far = have.where(F.col("depth") == reach).select("id", F.col("ancestor").alias("_mid"))
+        on = have.select(F.col("id").alias("_mid"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        more = cut(far.join(on, "_mid").select("id", "ancestor", "depth"))
+        if more.isEmpty():
+            return have
+        if not more.where("id = ancestor").isEmpty():
+            raise ValueError("a row is its own ancestor")
+        have, reach = cut(have.unionByName(more)), 2 * reach
 
 
 def penalised_cost(food: DataFrame, danger: DataFrame, reach: int = 6) -> DataFrame:

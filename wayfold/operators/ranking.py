@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.sources.shared import cut
+
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in order (which must end in a unique column)."""
@@ -40,13 +42,26 @@ def spread(df: DataFrame, key: Sequence[str], order: Sequence[Column], slots: in
 def round_robin(df: DataFrame, bucket: Sequence[str], order: Sequence[Column], limit: int | None = None) -> DataFrame:
     """Rows in turns of one per bucket: place counts them from 1; at most limit are kept.
 
-    The global place is found by one sort of (turn in the bucket, bucket); with a limit only
-    the first limit turns of a bucket take part in it.
+    With a limit only the first limit turns of a bucket take part in one top-k; without, all rows are
+    placed by ranges of (turn in the bucket, bucket).
     """
     df = df.withColumn("_turn", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)))
     if limit is not None:
         df = df.where(F.col("_turn") <= limit).orderBy("_turn", *bucket).limit(limit)
-    return df.withColumn("place", F.row_number().over(Window.orderBy("_turn", *bucket)).cast("long")).drop("_turn")
+        return df.withColumn("place", F.row_number().over(Window.orderBy("_turn", *bucket)).cast("long")).drop("_turn")  # limit rows
+    return placed(df, "place", "_turn", *bucket).drop("_turn")
+
+
+def placed(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with each row's place from 1 in the order of all rows, which must tell rows apart; no task holds more than a range of them."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the number holds the partition and the row in it; cut, so that both uses see the same ranges
+    ranged = cut(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    per = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # a row a partition
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = F.broadcast(per.select("_part", before.alias("_before")))
+    return ranged.join(per, "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
 
 
 def seeded(seed: str, *ids: str) -> Column:

@@ -15,24 +15,6 @@ from wayfold.plans.pool_queries import POOL, pool
 
 @query(
     "dataset_contract",
-    f"""WITH {POOL}, b AS (SELECT event_id AS id, digest, split, label AS class, family, CASE WHEN event_id % 9 = 0 THEN event_id - 1 END AS parent, label FROM r WHERE event_id % 5 <> 0),
-    dg AS (SELECT digest, count(*) AS n, count(DISTINCT split) AS s FROM b GROUP BY digest), c AS (SELECT class, count(*) AS n FROM b GROUP BY class),
-    q AS (SELECT * FROM (VALUES ('click', 1600), ('error', 100), ('none', 1), ('purchase', 1600), ('signup', 1600), ('view', 1600)) v(class, quota))
-    SELECT 'duplicate digest' AS check, digest AS key, n::VARCHAR AS detail FROM dg WHERE n > 1
-    UNION ALL SELECT 'digest in two splits', digest, s::VARCHAR FROM dg WHERE s > 1
-    UNION ALL SELECT 'quota', coalesce(q.class, c.class), coalesce(n, 0) || '/' || quota FROM q FULL JOIN c ON c.class = q.class WHERE coalesce(n, 0) IS DISTINCT FROM quota
-    UNION ALL SELECT 'family cap', family::VARCHAR, count(*)::VARCHAR FROM b GROUP BY family HAVING count(*) > 58
-    UNION ALL SELECT 'parent', b.id::VARCHAR, b.parent::VARCHAR FROM b LEFT JOIN b p ON p.id = b.parent WHERE b.parent IS NOT NULL AND p.split IS DISTINCT FROM b.split
-    UNION ALL SELECT 'illegal label', id::VARCHAR, label FROM b WHERE label = 'signup'""",
-)
-def dataset_contract(t: Tables) -> DataFrame:
-    rows = pool(t).where("event_id % 5 <> 0").withColumnRenamed("event_id", "id").withColumn("class", F.col("label"))
-    rows = rows.withColumn("parent", F.when(F.col("id") % 9 == 0, F.col("id") - 1)).withColumn("options", F.array(*map(F.lit, ("click", "error", "purchase", "view"))))
-    return K.dataset(rows, {"click": 1600, "error": 100, "none": 1, "purchase": 1600, "signup": 1600, "view": 1600}, 58)
-
-
-@query(
-    "dataset_contract_all",
     f"""WITH {POOL}, b AS (SELECT event_id AS id, digest, split, label AS class, family, CASE WHEN event_id % 9 = 0 THEN CASE WHEN event_id % 5 = 1 THEN -event_id ELSE event_id - 1 END END AS parent, label FROM r),
     dg AS (SELECT digest, count(*) AS n, count(DISTINCT split) AS s FROM b GROUP BY digest), c AS (SELECT class, count(*) AS n FROM b GROUP BY class),
     q AS (SELECT * FROM (VALUES ('click', 1600), ('error', 100), ('none', 1), ('purchase', 1600), ('signup', 1600), ('view', 1600)) v(class, quota))
@@ -43,8 +25,8 @@ def dataset_contract(t: Tables) -> DataFrame:
     UNION ALL SELECT 'parent', b.id::VARCHAR, b.parent::VARCHAR FROM b LEFT JOIN b p ON p.id = b.parent WHERE b.parent IS NOT NULL AND p.split IS DISTINCT FROM b.split
     UNION ALL SELECT 'illegal label', id::VARCHAR, label FROM b WHERE label = 'signup'""",
 )
-def dataset_contract_all(t: Tables) -> DataFrame:
-    """The contract over all events; some parents are ids that no event has. dataset_contract leaves a fifth of the events out."""
+def dataset_contract(t: Tables) -> DataFrame:
+    """The contract over all events; some parents are ids that no event has."""
     rows = pool(t).withColumnRenamed("event_id", "id").withColumn("class", F.col("label"))
     parent = F.when(F.col("id") % 5 == 1, -F.col("id")).otherwise(F.col("id") - 1)
     rows = rows.withColumn("parent", F.when(F.col("id") % 9 == 0, parent)).withColumn("options", F.array(*map(F.lit, ("click", "error", "purchase", "view"))))
@@ -53,13 +35,13 @@ def dataset_contract_all(t: Tables) -> DataFrame:
 
 @query(
     "seed_contract",
-    """WITH s AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'test' END AS name, CASE WHEN o_orderkey % 50 = 0 THEN -o_orderkey ELSE o_custkey END AS seed FROM orders WHERE o_orderkey < 300),
+    """WITH s AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'test' END AS name, CASE WHEN o_orderkey % 50 = 0 THEN -o_orderkey ELSE o_custkey END AS seed FROM orders),
     a AS (SELECT seed, count(DISTINCT name) AS lists, count(*) AS n FROM s GROUP BY seed)
     SELECT 'not positive' AS check, seed::VARCHAR AS key, name AS detail FROM s WHERE seed IS NULL OR seed <= 0 UNION ALL SELECT 'in two lists', seed::VARCHAR, lists::VARCHAR FROM a WHERE lists > 1
     UNION ALL SELECT 'repeated', seed::VARCHAR, n::VARCHAR FROM a WHERE n > lists UNION ALL SELECT 'reserved', seed::VARCHAR, name FROM s WHERE seed IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""",
 )
 def seed_contract(t: Tables) -> DataFrame:
-    o = t("orders").where("o_orderkey < 300")
+    o = t("orders")
     seeds = o.select(F.when(F.col("o_orderstatus") == "F", "train").otherwise("test").alias("name"), F.when(F.col("o_orderkey") % 50 == 0, -F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("seed"))
     return K.seed_sets(seeds, t("customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("seed")))
 

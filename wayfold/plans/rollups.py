@@ -172,7 +172,10 @@ def halves(t: Tables) -> tuple[DataFrame, DataFrame]:
     f"WITH {_HALVES} SELECT o_custkey, o_orderpriority, b.n AS n_before, b.cents AS cents_before, c.n AS n_after, c.cents AS cents_after, c.n - b.n AS n_change, c.cents - b.cents AS cents_change FROM b JOIN c USING (o_custkey, o_orderpriority)",
 )
 def paired_comparison(t: Tables) -> DataFrame:
-    return C.paired(*halves(t), ["o_custkey", "o_orderpriority"], ["n", "cents"], strict=False)
+    key = ["o_custkey", "o_orderpriority"]
+    before, after = halves(t)
+    # keys of one side only are unpaired_keys; what is left must pass the guard
+    return C.paired(before.join(after, key, "left_semi"), after.join(before, key, "left_semi"), key, ["n", "cents"])
 
 
 @query(
@@ -183,14 +186,14 @@ def unpaired_keys(t: Tables) -> DataFrame:
     return C.unpaired(*halves(t), ["o_custkey", "o_orderpriority"])
 
 
-_SOFT = """e AS (SELECT vec_id, label % 4 AS gold, list_transform(embedding[1:4], lambda v: v::DOUBLE) AS x FROM embeddings),
+_SOFT = """e AS (SELECT vec_id, label % 64 AS gold, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
 s AS (SELECT vec_id, gold, list_transform(x, lambda v: exp(v - list_max(x))) AS y FROM e), p AS (SELECT vec_id, gold, list_transform(y, lambda v: v / list_sum(y)) AS p FROM s)"""
 
 
 def softened(t: Tables) -> DataFrame:
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
-    names = F.array(*[F.lit(str(i)) for i in range(4)])
-    return t("embeddings").select("vec_id", (F.col("label") % 4).cast("string").alias("gold"), F.map_from_arrays(names, P.softmax(x)).alias("p"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    names = F.array(*[F.lit(str(i)) for i in range(64)])
+    return t("embeddings").select("vec_id", (F.col("label") % 64).cast("string").alias("gold"), F.map_from_arrays(names, P.softmax(x)).alias("p"))
 
 
 @query(
@@ -234,7 +237,7 @@ def distribution_checks(t: Tables) -> DataFrame:
     best = F.array_min(F.map_keys(F.map_filter(p, lambda k, v: v == F.array_max(F.map_values(p)))))
     rows = softened(t).withColumn("choice", F.when(F.col("vec_id") % 7 == 0, "0").otherwise(best))
     rows = rows.withColumn("p", F.when(F.col("vec_id") % 50 == 0, F.transform_values(p, lambda k, v: v * 1.1)).otherwise(p))
-    keys = F.array(*[F.lit(str(i)) for i in range(4)])
+    keys = F.array(*[F.lit(str(i)) for i in range(64)])
     return rows.select("vec_id", P.valid(p, keys, F.col("choice")).alias("valid"), F.round(F.array_max(F.map_values(P.renormalised(p))), 9).alias("top"))
 
 

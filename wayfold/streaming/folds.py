@@ -61,8 +61,8 @@ def episode_folds(rows: DataFrame) -> DataFrame:
     return rows.groupBy("episode").applyInPandasWithState(_fold, FOLD, FOLD_STATE, "update", "NoTimeout")
 
 
-def heartbeat(events: DataFrame, key: str, quiet: str = "15 seconds") -> DataFrame:
-    """key, alive for keys seen, and a row with alive false for each key that was quiet for the given processing time."""
+def heartbeat(events: DataFrame, key: str, quiet_ms: int = 15_000) -> DataFrame:
+    """key, alive for keys seen, and a row with alive false for each key that was quiet for quiet_ms of processing time."""
 
     def beat(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -72,7 +72,7 @@ def heartbeat(events: DataFrame, key: str, quiet: str = "15 seconds") -> DataFra
         for _ in batches:
             pass
         state.update((1,))
-        state.setTimeoutDuration(quiet)
+        state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({key: [k[0]], "alive": [True]})
 
     kind = dict(events.dtypes)[key]
