@@ -296,6 +296,40 @@ def test_cutoffs_reject_poor_and_keep_good(spark):
     assert none.count() == 0
 
 
+def test_cutoffs_by_stratum_and_pooled(spark):
+    from math import comb
+
+    rng = random.Random(12)
+    sizes = {"en": 900, "de": 600, "fr": 150, "es": 90, None: 0, "it": 60}
+    stats, labels, i = [], [], 0
+    for lang, n in sizes.items():
+        for _ in range(n + 5):
+            share = rng.choice([0.0] * 60 + [0.05, 0.11, 0.3]) if lang != "de" else rng.choice([0.0] * 10 + [0.4])
+            stats.append((i, "1" if lang is None else f"0{lang}", False, share, 0.0, 0.0, 0.0, 0.0, 0.0))
+            labels.append((i, 1 if len(labels) < 10**9 and _ < n else 0))
+            i += 1
+    stats.append((i, "0en", True, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0))  # fails the base: no matter to the method
+    labels.append((i, 1))
+    df = spark.createDataFrame(stats, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    alpha, delta, grid = 0.02, 0.1, quality_rules.GRID
+    got = {r.stratum: (r.cutoff, r.n_good, r.n_rejected, r.pooled) for r in quality_rules.cutoffs(df, spark.createDataFrame(labels, "doc_id long, quality int"), alpha, delta).collect()}
+    order = sorted(sizes, key=lambda s: (-sizes[s], "1" if s is None else f"0{s}"))
+    m = max([0, *(k for k in range(1, 7) if (1 - alpha) ** sizes[order[k - 1]] <= delta / (k + (k < 6)))])
+    assert m == 2
+    level = delta / (m + 1)
+    groups = [[s] for s in order[:m]] + [order[m:]]
+    want = {}
+    for g in groups:
+        values = [2 * x[3] for x, (_, q) in zip(stats, labels) if x[1] in {"1" if s is None else f"0{s}" for s in g} and q and not x[2]]
+        for k in range(grid - 1, -1, -1):
+            over = sum(v > k / grid for v in values)
+            if sum(comb(len(values), j) * alpha**j * (1 - alpha) ** (len(values) - j) for j in range(over + 1)) > level:
+                break
+            for s in g:
+                want["1" if s is None else f"0{s}"] = (k / grid, len(values), over, g == groups[-1])
+    assert got == want and {s for s in want if want[s][3]} == {"0fr", "0es", "0it", "1"}
+
+
 # pages
 
 

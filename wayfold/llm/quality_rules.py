@@ -1,18 +1,24 @@
 """Quality rules with risk-controlled cutoffs.
 
-A few statistics of a text (RULES) rise with poor quality. For every stratum (language)
-and rule the cutoff is chosen on labelled documents: a cutoff is certified if the exact
-binomial test rejects "this cutoff rejects a share of ALPHA / rules or more of good
-documents" at level DELTA / (strata * rules), that is, if P(Binomial(n, alpha) <= k) is at
-most that level for k of the n good documents above the cutoff, which is the one-sided
-Clopper-Pearson bound. Strata and rules share DELTA (Bonferroni); the cutoffs of one of them
-are tested from the laxest down and testing ends at the first failure (fixed sequence; the
-bound rises as the cutoff falls), so they need no share. The last certified cutoff is used; with none certified (few labels) the rule rejects nothing in that stratum. With
-probability 1 - DELTA all strata at once lose at most ALPHA of their good documents to
-the method. Base limits (fewer than 10 words, over 20 % repeated words) come before.
+A few statistics of a text rise with poor quality. A document's risk is the largest of them, each
+times a fixed factor (RULES). For every stratum (language) the cutoff on the risk is chosen on labelled
+documents that pass the base: a cutoff is certified if the exact binomial test rejects "it rejects a
+share of ALPHA or more of good documents" at the stratum's level, that is, if P(Binomial(n, ALPHA) <= k) is at
+most that level for k of the n good documents above the cutoff, which is the one-sided Clopper-Pearson
+bound. Cutoffs are tested from the laxest down and testing ends at the first failure (fixed
+sequence; the bound rises as the cutoff falls), so they need no share of DELTA; strata share it (Bonferroni).
+
+Strata with so few labels that not even a cutoff that rejects none of them could be certified share one pooled
+stratum, whose bound holds for their good documents together. Which those are follows from the numbers of
+labels alone: of the strata in falling order of labels the first m have cutoffs of their own, with the largest m for which
+(1 - ALPHA)^n reaches the level DELTA / (m + 1) (DELTA / m without a rest). The last certified cutoff is
+used; with none the rule rejects nothing there. With probability 1 - DELTA all strata at once, the pooled one
+as a whole, lose at most ALPHA of the good documents that pass the base.
+Base limits (fewer than 10 words, over 20 % repeated words) come before.
 
 Main path: DataFrame functions only. Statistics are computed per text in one row, once,
-and kept narrow in a checkpoint for both the labels and the verdict.
+and kept narrow in a checkpoint for both the labels and the verdict. Five-word windows are told apart by
+64-bit hashes.
 
 Edge cases: a null text has no words and fails the base; a null language is a stratum;
 documents labelled twice count twice; without labels nothing but the base rejects;
@@ -21,17 +27,19 @@ repeated rows are judged alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, let, table, words
 
-#: Share of good documents that the rules together may reject, and the chance of being wrong about it.
+#: Share of good documents that the method may reject, and the chance of being wrong about it.
 ALPHA = 0.01
 DELTA = 0.05
-#: Statistics, each between 0 and 1, and the cutoffs tried: a document is rejected above.
-RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "long_share")
+#: Statistics, each between 0 and 1, and their factors: clean prose repeats lines and has capitals, but hardly symbols, bangs or words of over 24 characters.
+RULES = {"symbol_share": 2.0, "dup_line_share": 1.0, "repeat_share": 1.0, "upper_share": 1.0, "bang_share": 2.0, "long_share": 2.0}
+#: Cutoffs tried are 0, 1 / GRID, ... up to 1; a document is rejected above.
 GRID = 40
+POOLED = "pooled"
 
 
 def _repeat_positions(w5: Column) -> Column:
@@ -59,7 +67,7 @@ def repeated_words(ws: Column, n: int = 5) -> Column:
     def count(w5: Column) -> Column:
         return F.when(F.size(F.array_distinct(w5)) == F.size(w5), F.lit(0).cast("long")).otherwise(let(_repeat_positions(w5), covered))
 
-    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
     return let(ws, lambda w: F.when(F.size(w) <= n, F.lit(0).cast("long")).otherwise(let(windows(w), count)))
 
 
@@ -137,33 +145,42 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when((n <= 0) | (kd >= nd * p), F.lit(1.0)).otherwise(F.least(first * sums, F.lit(1.0)))
 
 
+def risk() -> Column:
+    return F.greatest(*[F.col(r) * F.lit(f) for r, f in RULES.items()])
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff, n_good, n_rejected: the smallest certified cutoff of each, if any.
+    """stratum, cutoff, n_good, n_rejected, pooled: the smallest certified cutoff of each stratum, if any.
 
     labels: doc_id and quality (1 is good; null is no label).
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
-    held = stats.join(good, "doc_id").select("stratum", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"))
-    # rejected by cutoff g / GRID are the values above it: count by the cell of a value, then add from above
-    cell = F.least(F.ceil(F.col("value") * GRID), F.lit(GRID)).cast("int")
-    counts = held.groupBy("stratum", "rule", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
-    per = counts.groupBy("stratum", "rule").agg(F.sum("c").alias("n_good"), F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("cells"))
-    tried = per.select("stratum", "rule", "n_good", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("g"), "cells")
+    # rejected by cutoff g / GRID are the risks above it: count by the cell of a risk, then add from above
+    cell = F.least(F.ceil(risk() * GRID), F.lit(GRID)).cast("int")
+    counts = stats.where("NOT base_failed").join(good, "doc_id").groupBy("stratum", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    sizes = stats.select("stratum").distinct().join(counts.groupBy("stratum").agg(F.sum("c").alias("n")), "stratum", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = Window.partitionBy(F.lit(0))  # a row a stratum
+    sizes = sizes.withColumns({"i": F.row_number().over(every.orderBy(F.col("n").desc(), "stratum")), "all": F.count(F.lit(1)).over(every)})
+    level = lambda m: F.lit(delta) / (m + (m < F.col("all")).cast("int"))
+    enough = F.pow(F.lit(1 - alpha), F.col("n")) <= level(F.col("i"))
+    sizes = sizes.withColumn("m", F.coalesce(F.max(F.when(enough, F.col("i"))).over(every), F.lit(0)))
+    sizes = sizes.select("stratum", F.when(F.col("i") <= F.col("m"), F.concat(F.lit("="), F.col("stratum"))).otherwise(POOLED).alias("group"), level(F.col("m")).alias("level"))
+    sizes = cut(sizes)
+    per = counts.join(F.broadcast(sizes), "stratum").groupBy("group", "level", "cell").agg(F.sum("c").alias("c"))
+    per = per.groupBy("group", "level").agg(F.sum("c").alias("n_good"), F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("cells"))
+    tried = per.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     above = F.aggregate(F.map_entries("cells"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("g"), e["value"]).otherwise(0))
-    tried = tried.withColumn("n_rejected", above)
-    strata = stats.agg(F.count_distinct("stratum").alias("s")).first()["s"]
-    level = delta / max(1, strata * len(RULES))
-    sure = tried.where(binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha / len(RULES)) <= level)
-    best = F.min(F.struct("g", "n_good", "n_rejected")).alias("b")
-    return sure.groupBy("stratum", "rule").agg(best).select("stratum", "rule", (F.col("b.g") / F.lit(GRID)).alias("cutoff"), "b.n_good", "b.n_rejected")
+    sure = tried.withColumn("n_rejected", above).where(binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha) <= F.col("level"))
+    best = sure.groupBy("group").agg(F.min(F.struct("g", "n_good", "n_rejected")).alias("b"))
+    out = sizes.join(best, "group").select("stratum", (F.col("b.g") / F.lit(GRID)).alias("cutoff"), "b.n_good", "b.n_rejected", (F.col("group") == POOLED).alias("pooled"))
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per row of docs: base counts, base_failed, failed_rules and kept."""
     stats = cut(statistics(docs))
-    chosen = cutoffs(stats, labels, alpha, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
-    out = stats.join(chosen, "stratum", "left")
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.try_element_at("_cut", F.lit(r)), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    out = stats.join(cutoffs(stats, labels, alpha, delta).select("stratum", F.col("cutoff").alias("_cut")), "stratum", "left")
+    failed = F.filter(F.array(*[F.when(F.col(r) * F.lit(f) > F.col("_cut"), F.lit(r)) for r, f in RULES.items()]), lambda x: x.isNotNull())
     out = out.withColumn("failed_rules", F.concat_ws(",", failed))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).drop("_cut")
 
@@ -189,19 +206,18 @@ c AS (
          len([x for x in ws if length(x) > 24]) AS n_long
   FROM d LEFT JOIN rep ON rep.r = d.r),
 s AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_zip(
-    {list(RULES)},
-    [coalesce(least(n_symbols::DOUBLE / nullif(word_chars, 0), 1), 0), coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0), coalesce(least(n_repeat_words::DOUBLE / nullif(n_words, 0), 1), 0),
-     coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0), coalesce(least(n_bang::DOUBLE / nullif(n_words, 0), 1), 0), coalesce(n_long::DOUBLE / nullif(n_words, 0), 0)]) AS stats
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(
+    2 * coalesce(least(n_symbols::DOUBLE / nullif(word_chars, 0), 1), 0), coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0), coalesce(least(n_repeat_words::DOUBLE / nullif(n_words, 0), 1), 0),
+    coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0), 2 * coalesce(least(n_bang::DOUBLE / nullif(n_words, 0), 1), 0), 2 * coalesce(n_long::DOUBLE / nullif(n_words, 0), 0)) AS risk
   FROM c),
-v AS (SELECT r, stratum, unnest(stats) AS st FROM s),
-h AS (SELECT v.stratum, v.st[1] AS rule, least(ceil(v.st[2] * {GRID}), {GRID}) AS cell FROM v JOIN s ON s.r = v.r JOIN labels l ON l.doc_id = s.doc_id AND l.quality = 1),
-t AS (SELECT stratum, rule, g.g, count(*) AS n, count(*) FILTER (cell > g.g) AS k FROM h, (SELECT unnest(range(0, {GRID})) AS g) g GROUP BY ALL),
-m AS (SELECT {DELTA} / (count(DISTINCT stratum) * {len(RULES)}) AS level, {ALPHA / len(RULES)!r} AS p FROM s),
+h AS (SELECT s.stratum, least(ceil(s.risk * {GRID}), {GRID}) AS cell FROM s JOIN labels l ON l.doc_id = s.doc_id AND l.quality = 1 WHERE NOT s.base_failed),
+z AS (SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS i, count(*) OVER () AS total FROM (SELECT stratum, (SELECT count(*) FROM h WHERE h.stratum = s.stratum) AS n FROM (SELECT DISTINCT stratum FROM s) s)),
+m AS (SELECT coalesce(max(i) FILTER (pow(1 - {ALPHA}, n) <= {DELTA} / (i + (i < total)::INT)), 0) AS m, any_value(total) AS total FROM z),
+o AS (SELECT stratum, CASE WHEN i <= m.m THEN '=' || stratum ELSE '{POOLED}' END AS grp, {DELTA} / (m.m + (m.m < m.total)::INT) AS level FROM z, m),
+t AS (SELECT grp, level, g.g, count(*) AS n, count(*) FILTER (cell > g.g) AS k FROM h JOIN o USING (stratum), (SELECT unnest(range(0, {GRID})) AS g) g GROUP BY ALL),
 q AS (
-  SELECT stratum, rule, min(g) / {GRID}.0 AS cutoff FROM t, m
-  WHERE k < n * p AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) for j in range(0, k + 1)]) <= level GROUP BY stratum, rule),
-x AS (SELECT DISTINCT v.r FROM v JOIN q ON q.stratum = v.stratum AND q.rule = v.st[1] AND v.st[2] > q.cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND s.r NOT IN (SELECT r FROM x) AS kept FROM s
+  SELECT grp, min(g) / {GRID}.0 AS cutoff FROM t
+  WHERE k < n * {ALPHA} AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})) for j in range(0, k + 1)]) <= level GROUP BY grp)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(risk > cutoff, false) AS kept FROM s JOIN o USING (stratum) LEFT JOIN q USING (grp)
 """
 }
