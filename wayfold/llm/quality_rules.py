@@ -11,8 +11,9 @@ sequence; the bound rises as the cutoff falls), so they need no share of DELTA;
 Strata with so few labels that not even a cutoff that rejects none of them could be certified share one pooled
 stratum, whose bound holds for their good documents together. Which those are follows from the numbers of
 labels alone: of the strata in falling order of labels the first m have cutoffs of their own, with the largest m for which
-(1 - ALPHA)^n reaches the level DELTA / (m + 1) (DELTA / m without a rest). The last certified cutoff is
-used; with none the rule rejects nothing there. With probability 1 - DELTA all strata at once, the pooled one
+(1 - ALPHA)^n reaches the level DELTA / (m + 1) (DELTA / m without a rest) for each of them and for the rest together.
+The last certified cutoff is used; with none, or without any label, the rule rejects nothing there.
+With probability 1 - DELTA all strata at once, the pooled one
 as a whole, lose at most ALPHA of the good documents that pass the base.
 Base limits (fewer than 10 words, over 20 % repeated words) come before.
 
@@ -158,11 +159,13 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     # rejected by cutoff g / GRID are the risks above it: count by the cell of a risk, then add from above
     cell = F.least(F.ceil(risk() * GRID), F.lit(GRID)).cast("int")
     counts = stats.where("NOT base_failed").join(good, "doc_id").groupBy("stratum", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
-    sizes = stats.select("stratum").distinct().join(counts.groupBy("stratum").agg(F.sum("c").alias("n")), "stratum", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sizes = counts.groupBy("stratum").agg(F.sum("c").alias("n"))
     every = Window.partitionBy(F.lit(0))  # a row a stratum
-    sizes = sizes.withColumns({"i": F.row_number().over(every.orderBy(F.col("n").desc(), "stratum")), "all": F.count(F.lit(1)).over(every)})
+    falling = every.orderBy(F.col("n").desc(), "stratum")
+    rest = F.sum("n").over(falling.rowsBetween(1, Window.unboundedFollowing))
+    sizes = sizes.withColumns({"i": F.row_number().over(falling), "all": F.count(F.lit(1)).over(every), "least": F.least("n", rest)})
     level = lambda m: F.lit(delta) / (m + (m < F.col("all")).cast("int"))
-    enough = F.pow(F.lit(1 - alpha), F.col("n")) <= level(F.col("i"))
+    enough = F.pow(F.lit(1 - alpha), F.col("least")) <= level(F.col("i"))
     sizes = sizes.withColumn("m", F.coalesce(F.max(F.when(enough, F.col("i"))).over(every), F.lit(0)))
     sizes = sizes.select("stratum", F.when(F.col("i") <= F.col("m"), F.concat(F.lit("="), F.col("stratum"))).otherwise(POOLED).alias("group"), level(F.col("m")).alias("level"))
     sizes = cut(sizes)
@@ -211,13 +214,13 @@ s AS (
     coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0), 2 * coalesce(least(n_bang::DOUBLE / nullif(n_words, 0), 1), 0), 2 * coalesce(n_long::DOUBLE / nullif(n_words, 0), 0)) AS risk
   FROM c),
 h AS (SELECT s.stratum, least(ceil(s.risk * {GRID}), {GRID}) AS cell FROM s JOIN labels l ON l.doc_id = s.doc_id AND l.quality = 1 WHERE NOT s.base_failed),
-z AS (SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS i, count(*) OVER () AS total FROM (SELECT stratum, (SELECT count(*) FROM h WHERE h.stratum = s.stratum) AS n FROM (SELECT DISTINCT stratum FROM s) s)),
-m AS (SELECT coalesce(max(i) FILTER (pow(1 - {ALPHA}, n) <= {DELTA} / (i + (i < total)::INT)), 0) AS m, any_value(total) AS total FROM z),
+z AS (SELECT *, row_number() OVER w AS i, count(*) OVER () AS total, least(n, sum(n) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS fewest FROM (SELECT stratum, count(*) AS n FROM h GROUP BY stratum) WINDOW w AS (ORDER BY n DESC, stratum)),
+m AS (SELECT coalesce(max(i) FILTER (pow(1 - {ALPHA}, fewest) <= {DELTA} / (i + (i < total)::INT)), 0) AS m, any_value(total) AS total FROM z),
 o AS (SELECT stratum, CASE WHEN i <= m.m THEN '=' || stratum ELSE '{POOLED}' END AS grp, {DELTA} / (m.m + (m.m < m.total)::INT) AS level FROM z, m),
 t AS (SELECT grp, level, g.g, count(*) AS n, count(*) FILTER (cell > g.g) AS k FROM h JOIN o USING (stratum), (SELECT unnest(range(0, {GRID})) AS g) g GROUP BY ALL),
 q AS (
   SELECT grp, min(g) / {GRID}.0 AS cutoff FROM t
   WHERE k < n * {ALPHA} AND list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})) for j in range(0, k + 1)]) <= level GROUP BY grp)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(risk > cutoff, false) AS kept FROM s JOIN o USING (stratum) LEFT JOIN q USING (grp)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(risk > cutoff, false) AS kept FROM s LEFT JOIN o USING (stratum) LEFT JOIN q USING (grp)
 """
 }
