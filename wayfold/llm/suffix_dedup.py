@@ -310,7 +310,8 @@ def identified(docs: DataFrame) -> tuple[DataFrame, bool]:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     clash = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL")
     if clash.isEmpty():
-        return docs.select("doc_id", F.col("doc_id").alias("id"), "text"), True
+        # no null among them; said so, both joins ask for the same rows of one exchange
+        return docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), "text"), True
     docs = docs.withColumn("_tie", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "_tie").distinct().repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
