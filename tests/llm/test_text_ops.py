@@ -480,6 +480,26 @@ def test_schedule_is_even(spark):
         assert abs(sum(r._src == "0b" for r in slots[:upto]) - upto * 500 / 1625) < 8
 
 
+def test_mix_is_even_all_the_way(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, rng.randrange(1, 12))), "en", "abc"[rng.choice([0, 0, 0, 0, 1, 1, 2])], 1, "x") for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long, _slot string")
+    info = {r.doc_id: r for r in mixing.taken(docs, block=40).collect()}
+    mixed = [(r.doc_id, r.source, len(r.text.split())) for r in mixing.mix_table(docs, block=40).collect()]
+    target = {s: next(info[i].target for i, x, _ in mixed if x == s) for s in "abc"}
+    whole, have, far = sum(target.values()), Counter(), 0.0
+    for _, s, n in mixed:
+        have[s] += n
+        done = sum(have.values())
+        far = max(far, *(abs(have[x] - done * target[x] / whole) for x in "abc"))
+    assert far < 8 * 40  # a few blocks at any place, of some 500
+    first = {}
+    for place, (i, _, _) in enumerate(mixed):
+        first.setdefault(i, place)
+    order = sorted(first, key=first.get)
+    slots = [info[i].first_slot if info[i].first_slot is not None else -1 for i in order if info[i].taken]
+    assert slots == sorted(slots) and len(set(slots)) > 300
+
+
 # language model
 
 
