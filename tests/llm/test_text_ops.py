@@ -155,6 +155,27 @@ def test_decontamination_recall_and_precision(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 == decontamination.contaminated(docs, bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("n", [*range(5, 17), 20, 30, 60, 120])
+def test_decontamination_recall_at_the_limit(n):
+    rng, limit, trials = random.Random(n), int(0.2 * n), 150
+    found = 0
+    for _ in range(trials):
+        w = words(rng, n, 4000)
+        item = decontamination.Index([(0, " ".join(w))])
+        edited = w[:]
+        for p in rng.sample(range(n), limit):  # substitutions, deletions and insertions, at most limit edits
+            edited[p] = rng.choice([f"sub{p}", "", f"{edited[p]} more{p}"])
+        body = words(rng, 40, 4000)
+        x, offsets = decontamination.tokens(pa.array([None, " ".join([*body, *edited, *body])]))
+        tokens = [t.tolist() for t in item.item]
+        for doc, k, start in item.hits(x, offsets):
+            a, b = offsets[doc] + max(0, start - limit), min(offsets[doc] + start + n + limit, offsets[doc + 1])
+            if decontamination.best_distance(tokens[k], x[a:b].tolist(), limit)[0] <= limit:
+                found += 1
+                break
+    assert found == trials if n <= decontamination.SHORT else found >= 0.9 * trials
+
+
 # n-gram join and components
 
 
