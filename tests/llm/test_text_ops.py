@@ -535,7 +535,7 @@ def test_lm_scoring(spark, docs, rows):
             bi.update(zip([0, *w[:-1]], w))
     n, v, starts = sum(uni.values()), len(uni), uni[None]
     for block in (1 << 14, 1 << 30):
-        got = {r.doc_id: r for r in lm_scoring.score(docs, block).collect()}
+        got = {r.doc_id: r for r in lm_scoring.score(docs, block, 3 * block).collect()}
         assert len(got) == len(rows)
         for i, w in data.items():
             p = [(uni[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]

@@ -15,7 +15,9 @@ to blocks of about BLOCK_BYTES by a hash of the id. Each block counts its n-gram
 meet in hash buckets (one packed row per block and bucket), and a bucket tells a block
 which of its counts differ from the totals, and those. N and V come from a first pass over words. So a block reads its
 texts with exactly the arcs that they can take, and a task holds one block or one bucket,
-whatever the size of the corpus; a frequent n-gram is one number a block.
+whatever the size of the corpus; a frequent n-gram is one number a block. A block meets every bucket, as any
+shuffle's map tasks meet its reduce tasks, so packed rows number bytes^2 / (block_bytes * bucket_bytes); both
+are parameters, to be raised with the executors' memory (some 30 times a block, 10 times a bucket).
 
 Edge cases: a null or empty text is the end token alone; a null id counts as text "" for
 the split and is training; repeated rows count and score one by one; very long words are
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import table
 from wayfold.llm.textnp import buffers, column, combine, hashes, slices, spans
 
-BLOCK_BYTES = 6 << 20
+#: Text bytes of a block, and of the text whose n-grams a bucket holds.
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
 MU = 100.0
 END, START = np.uint64(1), np.uint64(2)
 
@@ -235,18 +238,18 @@ def _score_block(buckets: int, n: int, v: int, starts: int):
     return score
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(1, -(-size // block_bytes)))
-    words = docs.select("doc_id", "text").mapInArrow(_unigram_parts(blocks), "bucket int, gram int, keys binary, counts binary")
+    blocks, buckets = (int(max(1, -(-size // b))) for b in (block_bytes, bucket_bytes))
+    words = docs.select("doc_id", "text").mapInArrow(_unigram_parts(buckets), "bucket int, gram int, keys binary, counts binary")
     sums = words.groupBy("bucket").applyInArrow(_bucket_sums, "n long, v long, ends long")
     n, v, starts = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "ends")]).first()
-    # one exchange of the texts serves the counts and the scores
-    rows = docs.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)").alias("block")).repartition(blocks, "block")
-    parts = rows.groupBy("block").applyInArrow(_count_block(blocks), PARTS)
-    totals = parts.repartition(blocks, "bucket", "gram").groupBy("bucket", "gram").applyInArrow(_merge_bucket, TOTALS).repartition(blocks, "block")
-    scored = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score_block(blocks, n, v, starts), SCORES)
+    # one exchange of the texts serves the counts and the scores; the text has a say in the block, so rows without an id are spread
+    rows = docs.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)").alias("block")).repartition(blocks, "block")
+    parts = rows.groupBy("block").applyInArrow(_count_block(buckets), PARTS)
+    totals = parts.repartition(2 * buckets, "bucket", "gram").groupBy("bucket", "gram").applyInArrow(_merge_bucket, TOTALS).repartition(blocks, "block")
+    scored = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score_block(buckets, n, v, starts), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
