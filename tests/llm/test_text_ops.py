@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import exp, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -559,6 +559,48 @@ def test_lm_probabilities_sum_to_one():
 # classifier
 
 
+def ordinal_objective(x, grade, w, b):
+    """Weighted log-likelihood of graded ratings less the penalty."""
+    s = x @ w
+    tail = np.stack([np.ones(len(s)), 1 / (1 + np.exp(b[0] - s)), 1 / (1 + np.exp(b[1] - s)), np.zeros(len(s))])
+    cell = tail[grade, np.arange(len(s))] - tail[grade + 1, np.arange(len(s))]
+    return (np.log(np.maximum(cell, 1e-9)) / (3 * np.bincount(grade)[grade])).sum() - 1e-4 * (w * w).sum()
+
+
+def test_classifier_against_plain_likelihood():
+    rng = random.Random(31)
+    vocabulary = [f"tok{i}" for i in range(30)]
+    text, grade = [], []
+    for i in range(600):
+        g = i % 3
+        text.append(" ".join(rng.choice(vocabulary[:12] if rng.random() < 0.25 + 0.25 * g else vocabulary[12:]) for _ in range(8)))
+        grade.append(g)
+    h, doc, shapes = quality_classifier.features(pa.array(text))
+    keys, at = quality_classifier._distinct(np.concatenate((h, shapes.reshape(-1))), np.concatenate((doc, np.repeat(np.arange(600), shapes.shape[1]))))
+    model = quality_classifier.fit(keys, at, np.array(grade), np.zeros(600, bool))
+    known = {int(k): j for j, k in enumerate(model.keys)}
+    rows = [[known[int(k)] for k in keys[at == i] if int(k) in known] for i in range(600)]
+    x, g = np.zeros((600, len(known))), np.array(grade)
+    for i, row in enumerate(rows):
+        x[i, row] = 1
+    value = lambda p: ordinal_objective(x, g, p[:-2], p[-2:])
+    found = np.concatenate((model.weights, model.thresholds))
+    assert value(found) > value(np.concatenate((np.zeros(len(known)), [log(1 / 2), log(2)]))) + 0.05  # better than the shares alone
+    # a plain climb by differences, from the fit and from nothing, finds nothing much better
+    for p in (found.copy(), np.concatenate((np.zeros(len(known)), [-1.0, 1.0]))):
+        speed = np.zeros(len(p))
+        for _ in range(400):
+            slope = np.array([value(p + d) - value(p - d) for d in np.eye(len(p)) * 1e-4]) / 2e-4
+            speed = 0.9 * speed + 0.5 * slope
+            p = p + speed
+        assert value(p) <= value(found) + 0.01
+    tails = model.tails(h, doc, shapes)
+    for i in range(0, 600, 37):
+        s = sum(model.weights[j] for j in rows[i])
+        assert tails[i].tolist() == pytest.approx([1 / (1 + exp(b - s)) for b in model.thresholds])
+    assert model.thresholds[0] < model.thresholds[1]
+
+
 def test_classifier_on_held_out_grades(spark):
     rng = random.Random(6)
     bad = ["awful", "nasty", "horrid"]

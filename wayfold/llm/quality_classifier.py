@@ -10,9 +10,12 @@ P(grade >= 2) reaches a cutoff.
 Fit. On the driver, on a sample of at most SAMPLE labelled documents per grade, the smallest
 by a seeded digest of the id; two thirds fit, a third sets the cutoff at the tail
 probability that all but KEEP_MISS of its good documents reach (at most 0.5). Only the sampled
-documents' distinct token hashes come to the driver, not texts. Tokens enter the model if
+documents' distinct token hashes come to the driver, not texts, and of a document with more than
+DOC_HASHES of them the smallest (the same ones of every document): 3 * SAMPLE * DOC_HASHES * 8 bytes at most,
+200 MB, and a tenth of that for texts of usual length. Tokens enter the model if
 their document frequencies differ between grades by Z standard errors (at most FEATURES of
-them), so rare words of clean texts carry no weight. Gradient descent with momentum, L2.
+them), so rare words of clean texts carry no weight. Gradient ascent with momentum and a
+step that is halved whenever the likelihood falls, L2.
 
 Scoring reads every document's whole text once against the model (some thousand hashes and
 weights, sent with the task).
@@ -37,9 +40,11 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import cut, table
 from wayfold.llm.textnp import PUNCT, buffers, column, hashes, mix, slices, spans
 
-SAMPLE, FEATURES, Z = 2000, 4096, 4.5
+SAMPLE, FEATURES, DOC_HASHES, Z = 2000, 4096, 4096, 4.5
 SEED = "grade-1"
 KEEP_MISS = 0.002
+#: Steps of the fit.
+ROUNDS = 600
 CELLS = 16
 SHAPES = ("upper", "symbol", "fresh", "wordlen", "length", "bang", "line")
 
@@ -139,11 +144,18 @@ def fit(h: np.ndarray, doc: np.ndarray, grade: np.ndarray, held: np.ndarray, max
     wt = weight[g]
     w, b, v, vb = np.zeros(len(chosen)), np.array([-1.0, 1.0]), 0.0, 0.0
     step = 4.0 / max(1.0, float(t.sum(axis=1).mean()) / 8)
-    for _ in range(600):
+    top, kept = -np.inf, (w, b)
+    for _ in range(ROUNDS):
         s = t @ w.astype(np.float32)
         p = 1 / (1 + np.exp(np.clip(b[None, :] - s[:, None], -60, 60)))  # P(>= 1), P(>= 2)
         up, lo = p[:, 0], p[:, 1]
         cell = np.clip(np.choose(g, (1 - up, up - lo, lo)), 1e-9, 1)
+        value = float(wt @ np.log(cell) - 1e-4 * (w @ w))
+        if value < top - 1e-9:  # too far: go back, take smaller steps
+            (w, b), v, vb, step = kept, 0.0, 0.0, step / 2
+            top = -np.inf  # the next value is that of kept
+            continue
+        top, kept = value, (w, b)
         d_up = np.choose(g, (-1.0, 1.0, 0.0)) / cell * up * (1 - up)
         d_lo = np.choose(g, (0.0, -1.0, 1.0)) / cell * lo * (1 - lo)
         gw = t.T @ (wt * (d_up + d_lo)).astype(np.float32) - 2e-4 * w
@@ -152,6 +164,7 @@ def fit(h: np.ndarray, doc: np.ndarray, grade: np.ndarray, held: np.ndarray, max
         w, b = w + v, b + vb
         if b[1] < b[0] + 0.1:
             b = np.array([b.mean() - 0.05, b.mean() + 0.05])
+    w, b = kept
     model = Model(keys[chosen], w, (float(b[0]), float(b[1])))
     good = held & (grade == 2)
     if good.any():
@@ -171,17 +184,26 @@ def sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).select("doc_id", "grade", "_h")
 
 
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash of a text once, sorted within the text."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
 def _sampled_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(it):
         h, doc, shapes = features(column(batch, "text"))
-        doc = np.concatenate((doc, np.repeat(np.arange(batch.num_rows), shapes.shape[1])))
-        h = np.concatenate((h, shapes.reshape(-1)))
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        ends = np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=batch.num_rows)))).astype(np.int32) * 8
-        body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(h[new])])
+        h, doc = _distinct(h, doc)
+        first = np.searchsorted(doc, doc)
+        few = np.arange(len(doc)) - first < DOC_HASHES
+        doc = np.concatenate((doc[few], np.repeat(np.arange(batch.num_rows), shapes.shape[1])))
+        h = np.concatenate((h[few], shapes.reshape(-1)))
+        h, doc = _distinct(h, doc)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32) * 8
+        body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(h))])
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), column(batch, "_h"), body], names=["doc_id", "grade", "h", "keys"])
 
 

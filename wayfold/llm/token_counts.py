@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import table
-from wayfold.llm.textnp import column
+from wayfold.llm.textnp import column, slices
 
 
 def default_vocabulary() -> str:
@@ -51,10 +51,9 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
 def _lengths(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path)
-        for batch in it:
-            if batch.num_rows:
-                sizes = count(column(batch, "text").to_pylist())
-                yield pa.RecordBatch.from_arrays([column(batch, "lang"), pa.array(np.array(sizes, np.int64))], names=["lang", "n_tokens"])
+        for batch in slices(it):
+            sizes = count(column(batch, "text").to_pylist())
+            yield pa.RecordBatch.from_arrays([column(batch, "lang"), pa.array(np.array(sizes, np.int64))], names=["lang", "n_tokens"])
 
     return run
 
