@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import flags as G
 from wayfold.functions import prob as P
+from wayfold.operators import datasets as DS
 from wayfold.operators import decisions as D
 from wayfold.operators import metrics as M
+from wayfold.operators import selection as S
 from wayfold.plans.base import Tables, query
 from wayfold.plans.decision_log import DECISIONS, MOVES, log
 
@@ -457,3 +459,108 @@ def resume_positions(t: Tables) -> DataFrame:
     ob, oa, swapped = 1 + key % 4, 1 + cust % 4, key % 5 == 0
     got = D.resume_position(40 + cust % 60, ob, oa, F.when(swapped, oa).otherwise(ob), F.when(swapped, ob).otherwise(oa), key % 30)
     return t("orders").select("o_orderkey", got.alias("r")).select("o_orderkey", "r.position", "r.problem")
+
+
+_X7 = ("avoidable_fatal", "pre_trap", "stalled", "power_expiry", "post_respawn", "late_maze", "risk_opportunity")
+
+
+def _sampled_sql(per: int = 3, budget: int = 24) -> str:
+    out, last = "x0 AS (SELECT *, false AS took FROM c)", "x0"
+    for k, name in enumerate(_X7, 1):
+        out += f""",
+x{k}a AS (SELECT *, ({_CANDIDATE[name]}) AND NOT took AS open_, count(*) FILTER (took) OVER (PARTITION BY episode) AS sum_ FROM {last}),
+x{k}b AS (SELECT *, count(*) OVER w AS n_, row_number() OVER (w ORDER BY turn) - 1 AS i_ FROM x{k}a WINDOW w AS (PARTITION BY episode, open_)),
+x{k}c AS (SELECT *, least({per}, n_, {budget} - sum_) AS slots_ FROM x{k}b),
+x{k} AS (SELECT * EXCLUDE (took, open_, sum_, n_, i_, slots_), took OR (open_ AND len(list_filter(range(0, {per}), lambda j: j < slots_ AND i_ = j * n_ // greatest(slots_, 1))) > 0) AS took FROM x{k}c)"""
+        last = f"x{k}"
+    any_ = " OR ".join(f"({e})" for e in _CANDIDATE.values())
+    return out + f""",
+r AS (SELECT *, NOT took AND ({any_}) AS rest, count(*) FILTER (took) OVER (PARTITION BY episode) AS sum_ FROM {last}),
+q AS (SELECT *, row_number() OVER (PARTITION BY episode, rest ORDER BY md5(concat_ws(':', 'roots', episode::VARCHAR, turn::VARCHAR)), turn) AS place FROM r)
+SELECT episode, turn FROM q WHERE took OR (rest AND place <= {budget} - sum_)"""
+
+
+@query("root_sampler", f"WITH {DECISIONS}, b AS (SELECT *, {_MIXED} AND choice_fatal AS bad FROM dl), c AS (SELECT *, {_TRAPS} AS trap FROM b WINDOW w AS (PARTITION BY episode ORDER BY turn)), {_sampled_sql()}")
+def root_sampler(t: Tables) -> DataFrame:
+    return S.root_sampler(D.with_candidate_flags(log(t)), "flags", _X7, 3, 24, "roots").select("episode", "turn")
+
+
+_X8 = ("expiry_during_action_with_near_ghost", "immediate_critical", "power_expiry", "ghost_intercept", "food_dry", "sparse_food", "post_respawn", "food_junction")
+
+
+@query("cohort_queues")
+def cohort_queues(t: Tables) -> DataFrame:
+    """Roots by cohorts in turn; which one comes next depends on all before, so a test holds it against a plain loop."""
+    rows = log(t).where((F.col("turn") >= 4) & (F.size("legal") >= 2)).withColumn("flags", D.cohorts())
+    return S.cohort_queues(rows, "flags", _X8, 12)
+
+
+_CLASSES = {"learner": ("fresh", "old"), "hard": ("hard", "informative", "replay"), "offline": ("targeted", "informative", "replay"), "balanced": ("targeted", "informative", "replay")}
+_RECORDS = f"""{DECISIONS}, rc AS (SELECT event_id AS id, CASE WHEN episode % 4 = 0 AND event_id % 50 <> 1 THEN 'development' ELSE 'train' END AS split, event_id % 3 AS c, CASE WHEN event_id % 5 < 3 THEN 'off_policy' ELSE 'learner' END AS mixed,
+  episode // 2 AS family, episode, (event_id - event_id % 97 // 90)::VARCHAR AS digest, gold AS label, CASE WHEN event_id % 3 = 1 THEN event_id - event_id % 7 END AS parent, CASE visits {' '.join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(DS.CONTRACTS['balanced'].roles))} END AS role, * EXCLUDE (episode) FROM dl)"""
+
+
+def _flag_sql(name: str) -> str:
+    return {**_OFFLINE, **_V4, **_COVERAGE, "anticipatory_harm": "false", "post_respawn": "life > 0"}[name]
+
+
+def _contract_sql(kind: str) -> str:
+    c, names_ = DS.CONTRACTS[kind], _CLASSES[kind]
+    cls = "CASE c " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names_)) + f" ELSE '{names_[-1]}' END"
+    legal = "CASE label " + " ".join(f"WHEN '{m}' THEN legal_{m}" for m in MOVES) + " ELSE false END"
+    power = "frightened AND power <= 60" if kind == "learner" else _COHORTS["power_expiry"]
+    flags = {f: power if f == "power_expiry" else _flag_sql(f) for f in c.floors}
+
+    def need(table: dict) -> str:
+        return "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{k}', {v[i]})" for k, v in table.items() for i, s in enumerate(DS.SPLITS)) + ") v(split, name, need)"
+
+    def counted(check: str, table: dict, have: str, exact: bool) -> str:
+        bad, join = ("coalesce(n, 0) <> coalesce(need, 0)", "FULL") if exact else ("coalesce(n, 0) < need", "LEFT")
+        return f"SELECT '{check}' AS check, coalesce(w.split, h.split) || '/' || coalesce(w.name, h.name) AS key, coalesce(n, 0) || '/' || coalesce(need, 0) AS detail FROM ({need(table)}) w {join} JOIN ({have}) h ON h.split = w.split AND h.name = w.name WHERE {bad}"
+
+    first = f"class = '{names_[0]}'"
+    parts = [
+        "SELECT 'repeated digest' AS check, digest AS key, count(*)::VARCHAR AS detail FROM k GROUP BY digest HAVING count(*) > 1",
+        "SELECT 'digest in two splits', digest, count(DISTINCT split)::VARCHAR FROM k GROUP BY digest HAVING count(DISTINCT split) > 1",
+        "SELECT 'family in two splits', family::VARCHAR, count(DISTINCT split)::VARCHAR FROM k GROUP BY family HAVING count(DISTINCT split) > 1",
+        f"SELECT 'illegal label', id::VARCHAR, label FROM k WHERE NOT {legal}",
+        counted("budget", c.budgets, "SELECT split, class AS name, count(*) AS n FROM k GROUP BY 1, 2", True),
+        counted("floor", c.floors, " UNION ALL ".join(f"SELECT split, '{f}' AS name, count(*) AS n FROM k WHERE {first} AND ({e}) GROUP BY 1" for f, e in flags.items()), False),
+    ]
+    if c.roles:
+        parts.append(counted("role", c.roles, f"SELECT split, role AS name, count(*) AS n FROM k WHERE {first} AND role IS NOT NULL GROUP BY 1, 2", True))
+    if c.family_cap is not None:
+        parts.append(f"SELECT 'family cap', family::VARCHAR, count(*)::VARCHAR FROM k GROUP BY family HAVING count(*) > {c.family_cap}")
+    if c.episode_cap is not None:
+        parts.append(f"SELECT 'episode cap', episode::VARCHAR, count(*)::VARCHAR FROM k WHERE {first} GROUP BY episode HAVING count(*) > {c.episode_cap}")
+    if c.per_root is not None:
+        parts.append(f"SELECT 'windows of a root', parent::VARCHAR, count(*)::VARCHAR FROM k WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) > {c.per_root}")
+    if c.mix:
+        wanted = f"round_even(count(*) * {c.mix[1]}, 0)::BIGINT"
+        parts.append(f"SELECT 'origin', split || '/' || class, count(*) FILTER (mixed = '{c.mix[0]}') || '/' || {wanted} FROM k WHERE class IN {tuple(names_[:2])} GROUP BY split, class HAVING count(*) FILTER (mixed = '{c.mix[0]}') <> {wanted}")
+    if c.parents:
+        parts.append(f"SELECT 'parent', k.id::VARCHAR, coalesce(k.parent::VARCHAR, 'null') FROM k LEFT JOIN k p ON p.id = k.parent WHERE k.class = '{c.parents[0]}' AND NOT coalesce(p.class = '{c.parents[1]}' AND p.episode = k.episode AND p.split = k.split, false)")
+    return f"WITH {_RECORDS}, k AS (SELECT *, {cls} AS class FROM rc)\n" + "\nUNION ALL ".join(parts)
+
+
+def records(t: Tables, kind: str) -> DataFrame:
+    """The log as records of a dataset, with every kind of fault in it."""
+    classes, roles = _CLASSES[kind], list(DS.CONTRACTS["balanced"].roles)
+    id_ = F.col("event_id")
+    pick = lambda c, values: F.element_at(F.array(*map(F.lit, values)), F.least(c, F.lit(len(values) - 1)).cast("int") + 1)
+    flags = D.coverage_flags((1, 2, 3)) if kind == "learner" else F.map_concat(F.map_filter(D.cohorts(), lambda k, v: k.isin("expiry_during_action_with_near_ghost", "food_junction")), D.offline_cohorts())
+    return log(t).select(
+        id_.alias("id"), F.when((F.col("episode") % 4 == 0) & (id_ % 50 != 1), "development").otherwise("train").alias("split"), pick(id_ % 3, classes).alias("class"),
+        F.when(id_ % 5 < 3, "off_policy").otherwise("learner").alias("origin"), F.expr("episode div 2").alias("family"), "episode", (id_ - F.expr("event_id % 97 div 90")).cast("string").alias("digest"),
+        F.col("gold").alias("label"), F.col("legal").alias("options"), F.when(id_ % 3 == 1, id_ - id_ % 7).alias("parent"), pick(F.col("visits"), roles).alias("role"), flags.alias("flags"),
+    )
+
+
+def _contract_query(kind: str):
+    @query(f"contract_{kind}", _contract_sql(kind))
+    def run(t: Tables) -> DataFrame:
+        return DS.violations(records(t, kind), DS.CONTRACTS[kind])
+
+
+for _kind in DS.CONTRACTS:
+    _contract_query(_kind)
