@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.prob import valid
+from wayfold.operators.contracts import row_checks
+
 SPLITS = ("train", "development")
 
 
@@ -108,3 +111,60 @@ def violations(df: DataFrame, contract: Contract) -> DataFrame:
     for part in out[1:]:
         all_ = all_.unionAll(part)
     return all_
+
+
+#: Roles of a plan that must not be empty, the share that broad exposure may have, and the floor of evasions per split.
+NEEDED, BROAD_SHARE, EVASIONS = ("anticipatory_escape", "actual_expiry_evasion", "retreat_to_food", "productive_routing", "cleanup"), 0.15, (512, 64)
+
+
+def plan_problems(plan: Mapping[str, Mapping[str, int]], contract: Contract = CONTRACTS["balanced"]) -> list[str]:
+    """What is wrong with a plan of roles per split; an empty list if nothing."""
+    out, total = [], next(iter(contract.budgets.values()))
+    for i, split in enumerate(SPLITS):
+        quota = plan.get(split)
+        if quota is None or set(quota) != set(contract.roles) or any(isinstance(n, bool) or not isinstance(n, int) or n < 0 for n in quota.values()):
+            out.append(f"{split}: roles are not those of the contract, with numbers from 0")
+            continue
+        if sum(quota.values()) != total[i]:
+            out.append(f"{split}: {sum(quota.values())} of {total[i]}")
+        if quota["broad_exposure"] > int(BROAD_SHARE * total[i]):
+            out.append(f"{split}: too much broad exposure")
+        if quota["immediate_evasion"] < EVASIONS[i]:
+            out.append(f"{split}: too few evasions")
+        out += [f"{split}: no {role}" for role in NEEDED if not quota[role]]
+    return out
+
+
+def harvest_problems(roots: int, perturbed: int, turns: int) -> list[str]:
+    """What is wrong with harvest limits; an empty list if nothing."""
+    whole = lambda x, least: isinstance(x, int) and not isinstance(x, bool) and x >= least
+    out = [name for name, x, least in (("roots", roots, 1), ("perturbed", perturbed, 0), ("turns", turns, 1)) if not whole(x, least)]
+    if not out and (perturbed > roots or turns > 16):
+        out.append("perturbed roots are at most the roots, turns at most 16")
+    return out
+
+
+def proof_problems(proofs: DataFrame, key: str, digest, flags) -> DataFrame:
+    """check, key, detail: proofs (columns of decisions.LOG) whose stored values are not those recomputed from their state.
+
+    Stored: digest, cohorts (map), power_before, frames_taken; digest and flags are the recomputed columns.
+    """
+    named = F.map_keys(F.map_filter("cohorts", lambda k, v: F.coalesce(v, F.lit(False))))
+    true = F.map_keys(F.map_filter(flags, lambda k, v: v))
+    checks = {
+        "digest": F.col("digest") == digest,
+        "cohorts": F.array_sort(named) == F.array_sort(true),
+        "power": F.col("power_before") == F.col("power"),
+        "frames": F.col("frames_taken") == F.col("action_frames"),
+        "choice": F.array_contains("legal", F.col("choice")),
+        "risks": F.array_sort(F.map_keys("risks")) == F.array_sort("legal"),
+        "fatal choice": ~F.try_element_at("risks", F.col("choice"))["life_lost"],
+    }
+    return row_checks(proofs, key, checks)
+
+
+def trace_problems(trace: DataFrame, key: str) -> DataFrame:
+    """check, key, detail: rows of a trace (episode, turn, identity, probabilities, legal, choice) with another identity than their episode's first, or no valid distribution."""
+    first = F.first("identity").over(Window.partitionBy("episode").orderBy("turn"))
+    checked = trace.withColumn("_first", first)
+    return row_checks(checked, key, {"identity": F.col("identity").eqNullSafe(F.col("_first")), "distribution": valid(F.col("probabilities"), F.col("legal"), F.col("choice"))})

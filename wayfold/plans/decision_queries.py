@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions import canon
 from wayfold.functions import flags as G
 from wayfold.functions import prob as P
 from wayfold.operators import datasets as DS
@@ -564,3 +565,45 @@ def _contract_query(kind: str):
 
 for _kind in DS.CONTRACTS:
     _contract_query(_kind)
+
+
+_STORED = "sha256(concat_ws(chr(31), episode::VARCHAR, turn::VARCHAR, choice))"
+
+
+@query(
+    "proof_revalidation",
+    f"""WITH {DECISIONS}, p AS (SELECT *, event_id % 11 = 0 AS bad_digest, event_id % 13 = 0 AND NOT frightened AS bad_flags, event_id % 17 = 0 AS bad_power FROM dl),
+    c AS (SELECT event_id, unnest(list_filter([CASE WHEN bad_digest THEN 'digest' END, CASE WHEN bad_flags AND NOT pellets_before <= 30 THEN 'cohorts' END, CASE WHEN bad_power THEN 'power' END, CASE WHEN choice_fatal THEN 'fatal choice' END], lambda x: x IS NOT NULL)) AS check FROM p)
+    SELECT "check", event_id::VARCHAR AS key, '' AS detail FROM c""",
+)
+def proof_revalidation(t: Tables) -> DataFrame:
+    """Proofs of which some have another digest, a flag too many or another clock than their state."""
+    rows, id_ = log(t), F.col("event_id")
+    digest = canon.fingerprint(F.col("episode").cast("string"), F.col("turn").cast("string"), "choice")
+    added = F.transform_values(D.offline_cohorts(), lambda k, v: v | ((k == "sparse_food") & (id_ % 13 == 0) & ~F.col("frightened")))
+    stored = rows.withColumns({"digest": F.when(id_ % 11 == 0, F.lit("x")).otherwise(digest), "cohorts": added, "power_before": F.col("power") + (id_ % 17 == 0).cast("long"), "frames_taken": F.col("action_frames")})
+    return DS.proof_problems(stored, "event_id", digest, D.offline_cohorts())
+
+
+_MAX_W = "greatest(" + ", ".join(f"CASE WHEN legal_{m} THEN weight_{m} ELSE 0 END" for m in MOVES) + ")"
+_CHOSEN_W = "CASE choice " + " ".join(f"WHEN '{m}' THEN weight_{m}" for m in MOVES) + " END"
+
+
+@query(
+    "trace_audit",
+    f"""WITH {DECISIONS}, p AS (SELECT *, first_value(event_id % 23 = 0) OVER (PARTITION BY episode ORDER BY turn) AS first FROM dl),
+    c AS (SELECT event_id, unnest(list_filter([CASE WHEN (event_id % 23 = 0) <> first THEN 'identity' END, CASE WHEN event_id % 9 = 0 OR {_CHOSEN_W} < {_MAX_W} THEN 'distribution' END], lambda x: x IS NOT NULL)) AS check FROM p)
+    SELECT "check", event_id::VARCHAR AS key, '' AS detail FROM c""",
+)
+def trace_audit(t: Tables) -> DataFrame:
+    """A trace in which some rows come from another model, and some distributions do not sum to one."""
+    id_ = F.col("event_id")
+    rows = log(t).withColumns({"identity": F.when(id_ % 23 == 0, "other").otherwise("model"), "probabilities": F.transform_values("probabilities", lambda k, v: F.when(id_ % 9 == 0, v * 0.9).otherwise(v))})
+    return DS.trace_problems(rows, "event_id")
+
+
+@query("request_projection", """SELECT o_orderkey, sha256('{"state":{"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}}') AS digest FROM orders""")
+def request_projection(t: Tables) -> DataFrame:
+    """Digest of what a model sees of a labelled record."""
+    record = F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("state"), F.col("o_custkey").alias("label"), F.lit("x").alias("src"), F.struct("o_orderkey").alias("_meta"))
+    return t("orders").select("o_orderkey", canon.json_fingerprint(F.to_json(canon.request(record))).alias("digest"))
