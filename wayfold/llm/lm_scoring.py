@@ -17,7 +17,7 @@ which of its counts differ from the totals, and those. N and V come from a first
 texts with exactly the arcs that they can take, and a task holds one block or one bucket,
 whatever the size of the corpus; a frequent n-gram is one number a block. A block meets every bucket, as any
 shuffle's map tasks meet its reduce tasks, so packed rows number bytes^2 / (block_bytes * bucket_bytes); both
-are parameters, to be raised with the executors' memory (some 30 times a block, 10 times a bucket).
+are parameters, to be raised with the executors' memory (some 30 times either).
 
 Edge cases: a null or empty text is the end token alone; a null id counts as text "" for
 the split and is training; repeated rows count and score one by one; very long words are
@@ -40,7 +40,7 @@ from wayfold.llm.common import table
 from wayfold.llm.textnp import buffers, column, combine, hashes, slices, spans
 
 #: Text bytes of a block, and of the text whose n-grams a bucket holds.
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 MU = 100.0
 END, START = np.uint64(1), np.uint64(2)
 
