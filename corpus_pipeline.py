@@ -31,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: every document as often as the mix takes it."""
+    """Sources at their target weights: every document as often as the mix takes it, in the order of the schedule."""
     return mixing.mix_table(docs)
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: The classifier is fitted numerically and has no SQL form; tests hold each stage against brute force.
+#: The classifier is fitted numerically and has no SQL form; tests/llm/test_pipeline.py holds each stage against a plain one on its own input.
 ORACLE_SQL = None
 
 
