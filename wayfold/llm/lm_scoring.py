@@ -40,7 +40,7 @@ from wayfold.llm.common import table
 from wayfold.llm.textnp import buffers, column, combine, hashes, slices, spans
 
 #: Text bytes of a block, and of the text whose n-grams a bucket holds.
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 MU = 100.0
 END, START = np.uint64(1), np.uint64(2)
 
