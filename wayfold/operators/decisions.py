@@ -45,7 +45,7 @@ SCENARIOS = {
     "pellet_stall_routing": "food_dry",
     "sparse_pellet_cleanup": "sparse_food",
 }
-REPLAY = "prior_pacman_replay"
+REPLAY = "prior_replay"
 
 
 def nearest(where) -> Column:
