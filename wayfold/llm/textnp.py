@@ -20,6 +20,8 @@ _CODE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, d
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes that one slice holds, unless a single text is longer.
 SLICE = 2 << 20
+#: Bytes that are hashed at once, unless a single word is longer.
+HASH_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,12 +90,18 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = T
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    at = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    b = data[at + np.repeat(start, size)]
     power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(size.max()) - 1, _BASE, np.uint64))))
-    h = np.add.reduceat(_CODE[LOWER[b] if lower else b] * power[at], first)
-    return mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    code = _CODE[LOWER] if lower else _CODE
+    out = np.empty(len(size), np.uint64)
+    upto = np.cumsum(size)
+    # the numbers at work are some thirty times the bytes, so few bytes are taken at once
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(HASH_BYTES, int(upto[-1]), HASH_BYTES), "right"), [len(size)])))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        n = size[lo:hi]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        out[lo:hi] = np.add.reduceat(code[data[at + np.repeat(start[lo:hi], n)]] * power[at], first)
+    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
