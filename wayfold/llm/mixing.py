@@ -39,6 +39,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK = 4096
 SLOT_BUCKET = 65536
+#: Tables with a row a source are broadcast up to so many rows (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -70,6 +72,11 @@ def targets(rows: DataFrame) -> DataFrame:
     return s.select("_src", "source_size", F.least("_cap", F.coalesce(rate, F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
+def small(per_source: DataFrame) -> DataFrame:
+    """A materialised table with a row a source, to be broadcast if its rows are few: else one task would get all rows of a source."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+
+
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """_slot, _src, _rank: the slots of the mix in their order; rank r of a source is its r-th slot."""
     spark = sources.sparkSession
@@ -106,7 +113,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     short = s.join(given, "_src", "left").withColumn("_given", F.coalesce("_given", F.lit(0))).where("_given < _need")
     short = short.select("_src", "_given", F.explode(F.expr("sequence(_given, _need - 1)")).alias("_rank"))
     short = short.select((F.lit(slots) + F.col("_rank") - F.col("_given")).cast("long").alias("_slot"), "_src", "_rank")
-    return ranked.unionByName(short).join(s.select("_src", "_need", "_nb", "_rest", "_goal", "source_size"), "_src").where("_rank < _need")
+    return ranked.unionByName(short).join(small(s).select("_src", "_need", "_nb", "_rest", "_goal", "source_size"), "_src").where("_rank < _need")
 
 
 def block_takes(slots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -142,7 +149,7 @@ def taken(docs: DataFrame, seed: str = SEED, block: int = BLOCK) -> DataFrame:
     per = per.withColumn("_again", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_rows").cast("int"), F.lit(1)))))
     slots = F.coalesce(F.slice("_slots", 1, F.coalesce("_copies", F.lit(0)).cast("int")), F.array().cast("array<long>"))
     first = F.when(F.col("taken") > 0, F.try_element_at("_slots", F.lit(1)))
-    return per.join(sources, "_src").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), first.alias("first_slot"), F.col("_copies").alias("copies"), slots.alias("slots"), "_src", "_start")
+    return per.join(small(sources), "_src").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), first.alias("first_slot"), F.col("_copies").alias("copies"), slots.alias("slots"), "_src", "_start")
 
 
 def mix_table(docs: DataFrame, seed: str = SEED, block: int = BLOCK) -> DataFrame:
