@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.sources.shared import cut, shared_dir
+from wayfold.sources.shared import cut, shared_dir, stored
 
-__all__ = ["WORD", "cut", "fresh", "let", "running_total", "shared_dir", "source_key", "table", "words"]
+__all__ = ["WORD", "cut", "fresh", "let", "running_total", "shared_dir", "source_key", "stored", "table", "words"]
 
 #: A word is a run of bytes other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"

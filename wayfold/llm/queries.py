@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import decontamination, html_extraction, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from wayfold.llm import decontamination, filter_audit, html_extraction, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, ranked_search, sharding, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_url_filters": url_filters.op12_url_filters,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-SQL = {**suffix_dedup.SQL, **ngram_join.SQL, **lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL}
+SQL = {**suffix_dedup.SQL, **ngram_join.SQL, **lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL, **filter_audit.SQL, **ranked_search.SQL}
