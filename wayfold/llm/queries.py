@@ -20,4 +20,4 @@ QUERIES = {
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-SQL = {**suffix_dedup.SQL, **ngram_join.SQL, **lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL, **filter_audit.SQL, **ranked_search.SQL}
+SQL = {**suffix_dedup.SQL, **ngram_join.SQL, **lm_scoring.SQL, **quality_rules.SQL, **sharding.SQL, **mixing.SQL, **filter_audit.SQL, **url_filters.SQL, **ranked_search.SQL}

@@ -165,3 +165,54 @@ def judge(pages: DataFrame, rules=RULES, kept: int = STRINGS) -> DataFrame:
 
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+_CHECK = """
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages),
+j AS (
+  SELECT *, CASE WHEN ('.' || host).ends_with('.example.net') AND path.starts_with('/en/') THEN 'example.net/en/'
+                 WHEN ('.' || host).ends_with('.example.com') AND path.starts_with('/de/') THEN 'example.com/de/'
+                 WHEN ('.' || host).ends_with('.org') AND path.starts_with('/fr/') THEN 'org/fr/'
+                 WHEN ('.' || host).ends_with('.net') AND path.starts_with('/') THEN 'net/' END AS rule,
+         chr(2) || translate(host || path, '123456789' || chr(2) || chr(3), '000000000  ') || chr(3) AS text FROM u),
+t AS (SELECT *, rule IN ('example.net/en/', 'org/fr/') AS ok, substr(md5(text), 1, 1) IN ('0', '1', '2') AS held FROM j),
+p AS (SELECT r, text, unnest(range(1, len(text) + 1)) AS i FROM t),
+g AS (SELECT r, substr(text, i, k) AS s FROM (SELECT r, text, i, unnest(range((i = 1)::INT, least(5, len(text) - i + 1) + 1)) AS k FROM p)),
+c AS (SELECT s, count(*) FILTER (ok) AS ca, count(*) FILTER (NOT ok) AS cr FROM g JOIN t USING (r) WHERE rule IS NOT NULL AND NOT held GROUP BY s),
+n AS (SELECT ca AS na, cr AS nr FROM c WHERE s = '' AND ca > 0 AND cr > 0),
+kc AS (SELECT s, ca, cr, (ca * 16384 >= na AND ca > 0) OR (cr * 16384 >= nr AND cr > 0) AS kept FROM c, n),
+d AS (
+  SELECT substr(s, 1, len(s) - 1) AS s, count(*) FILTER (ca > 0) AS da, count(*) FILTER (cr > 0) AS dr,
+         coalesce(sum(ca) FILTER (kept), 0) AS ka, coalesce(sum(cr) FILTER (kept), 0) AS kr FROM kc WHERE s <> '' AND s <> chr(2) GROUP BY 1),
+x AS (
+  SELECT kc.s, ca + coalesce(da, 0) AS ma, cr + coalesce(dr, 0) AS mr,
+         CASE WHEN coalesce(da, 0) > 0 THEN (ca + da - ka)::DOUBLE / (ca + da) ELSE 1.0::DOUBLE END AS ba,
+         CASE WHEN coalesce(dr, 0) > 0 THEN (cr + dr - kr)::DOUBLE / (cr + dr) ELSE 1.0::DOUBLE END AS br
+  FROM kc LEFT JOIN d USING (s) WHERE kept),
+o AS (
+  SELECT kc.s, CASE WHEN ma > 0 THEN ca::DOUBLE / ma ELSE 0.0::DOUBLE END AS aa, ba, CASE WHEN mr > 0 THEN cr::DOUBLE / mr ELSE 0.0::DOUBLE END AS ar, br
+  FROM kc JOIN x ON x.s = substr(kc.s, 1, len(kc.s) - 1) WHERE kept AND kc.s <> '' AND kc.s <> chr(2)),
+h AS (
+  SELECT w.s AS whole, list(struct_pack(a := o.aa, b := o.ba) ORDER BY k) AS la, list(struct_pack(a := o.ar, b := o.br) ORDER BY k) AS lr
+  FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM o) w JOIN o ON o.s = right(w.s, k) GROUP BY w.s),
+m AS (
+  SELECT whole, ln(list_reduce(list_prepend(struct_pack(a := 1 / 256.0::DOUBLE, b := 1.0::DOUBLE), la), lambda q, e: struct_pack(a := e.a + e.b * q.a, b := 1.0::DOUBLE)).a)
+         - ln(list_reduce(list_prepend(struct_pack(a := 1 / 256.0::DOUBLE, b := 1.0::DOUBLE), la[:-2]), lambda q, e: struct_pack(a := e.a + e.b * q.a, b := 1.0::DOUBLE)).a) - ln(la[-1].b)
+         - ln(list_reduce(list_prepend(struct_pack(a := 1 / 256.0::DOUBLE, b := 1.0::DOUBLE), lr), lambda q, e: struct_pack(a := e.a + e.b * q.a, b := 1.0::DOUBLE)).a)
+         + ln(list_reduce(list_prepend(struct_pack(a := 1 / 256.0::DOUBLE, b := 1.0::DOUBLE), lr[:-2]), lambda q, e: struct_pack(a := e.a + e.b * q.a, b := 1.0::DOUBLE)).a) + ln(lr[-1].b) AS gain FROM h),
+w AS (SELECT x.s, round((coalesce(gain, 0) + ln(ba) - ln(br)) * 1000000)::BIGINT AS weight FROM x LEFT JOIN m ON m.whole = x.s),
+z AS (SELECT r, floor(coalesce(sum(weight), 0)::DOUBLE / (len(any_value(text)) - 1))::BIGINT AS micro FROM g JOIN t USING (r) LEFT JOIN w USING (s) GROUP BY r),
+e AS (SELECT greatest(-20000, least(20000, floor(micro / 1000.0::DOUBLE)))::INT AS bin, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS b FROM z JOIN t USING (r) WHERE rule IS NOT NULL AND held GROUP BY 1),
+f AS (SELECT bin, sum(a) OVER () AS na, sum(b) OVER () AS nb, sum(a) OVER (ORDER BY bin) AS ua, sum(b) OVER (ORDER BY bin) AS ub FROM e),
+y AS (SELECT bin FROM f WHERE na > 0 AND nb > 0 AND ub * na - ua * nb > 0 ORDER BY ub * na - ua * nb DESC, abs(bin), bin LIMIT 1),
+l AS (SELECT coalesce((SELECT (bin + 1) * 1000 FROM y), 0) AS least_)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN micro < least_ AND EXISTS (SELECT 1 FROM n) THEN 'block' ELSE 'allow' END AS verdict,
+       micro / 1000000.0::DOUBLE AS score
+FROM t JOIN z USING (r), l
+"""
+
+SQL = {"op12_url_filters": _CHECK}
