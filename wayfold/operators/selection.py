@@ -2,13 +2,16 @@
 
 A greedy selection of so many rows takes, of rows that are alike to it (one flag set, class, origin), the first in a
 fixed order, except that it passes over rows of full families. So a prefix of each such group, whose length follows from
-the budget and not from the data, holds all that it can take (see prefix). The flow assignment sees counts per family and
-role set only. More than MAX_CANDIDATES rows of either kind raise an error.
+the budget and not from the data, holds all that it can take (see prefix). What it weighs flags by is the number of all rows
+that it may still take, not of those in the prefix: Spark counts them by flag set and origin, and for families of the
+prefix by family too, so that a taken row and a full family can be deducted (see Supply). The flow assignment sees counts per
+family and role set only. More than MAX_CANDIDATES rows of any kind raise an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter, deque
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.ranking import first_rows, seeded
+from wayfold.sources.shared import cut
 
 MAX_CANDIDATES = 200_000
 
@@ -32,19 +36,19 @@ def candidates(df: DataFrame, columns: Sequence[str]) -> list:
     return rows
 
 
-def flag_set(flags: str) -> Column:
-    """The true flags of a map, sorted and joined: rows with one flag set are alike to a solver."""
+def flag_set(flags: str, names: Iterable[str] | None = None) -> Column:
+    """The true flags of a map (of names only, if given), sorted and joined: rows with one flag set are alike to a solver."""
     true = F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: F.coalesce(v, F.lit(False)))))
-    return F.concat_ws("\x00", true)
+    return F.concat_ws("\x00", true if names is None else F.filter(true, lambda f: f.isin(*names) if names else F.lit(False)))
 
 
-def prefix(df: DataFrame, alike: Sequence[str], order: Sequence[Column], budget: int, family: str | None = None, cap: int = 0) -> DataFrame:
+def prefix(df: DataFrame, alike: Sequence[str], order: Sequence[Column], budget: int, family: str | None = None, cap: int = 0, flags: Iterable[str] | None = None) -> DataFrame:
     """All rows that a greedy choice of budget rows can take, if it takes alike rows in order, at most cap of a family.
 
     Of a family the first cap rows are enough. A row is passed over only if its family is full, and budget rows
     fill at most budget / cap families, so of every group 2 * budget rows are enough (budget without families).
     """
-    named = df.withColumn("_set", flag_set("flags"))
+    named = df.withColumn("_set", flag_set("flags", flags))
     key = ["_set", *alike]
     if family is None:
         return first_rows(named, key, order, budget).drop("_set")
@@ -120,18 +124,72 @@ class _Taken:
         if "origin" in r:
             self.per[r["class"], r["origin"]] += 1
 
-    def cover(self, rows: Sequence, allowed, limit: int) -> None:
-        """While a floor is short, the first allowed row with the largest sum of 1 / (allowed rows with the flag) over short flags."""
+    def cover(self, rows: Sequence, supply: Supply, cap: int, open_, limit: int) -> None:
+        """While a floor is short, the first free row with the largest sum of 1 / (free rows with the flag) over short flags.
+
+        rows in order, each with _set and _kind; open_(kind): rows of that kind may be taken at present. Rows that are not free
+        never are again, so a step looks at the heads of the queues of alike rows only.
+        """
+        queues: dict[tuple, deque] = {}
+        for place, r in enumerate(rows):
+            queues.setdefault((r["_kind"], _names(r["_set"])), deque()).append((place, r))
         while short := {f for f, n in self.floors.items() if self.have[f] < n}:
-            open_ = [r for r in rows if allowed(r)]
-            supply = Counter(f for r in open_ for f in _true(r["flags"]) & short)
-            best = max(open_, key=lambda r: sum(1 / supply[f] for f in _true(r["flags"]) & short), default=None)
-            if best is None or not _true(best["flags"]) & short or len(self.chosen) >= limit:
+            weight, best = supply.weights(short, open_), None
+            for (kind, flags), q in queues.items():
+                if not open_(kind) or not flags & short:
+                    continue
+                while q and not self.free(q[0][1], cap):
+                    q.popleft()
+                if q:
+                    best = max(best or (0, 0, None), (math.fsum(weight[f] for f in flags & short), -q[0][0], q), key=lambda x: x[:2])
+            if best is None or len(self.chosen) >= limit:
                 raise Shortage(f"short of { {f: self.floors[f] - self.have[f] for f in sorted(short)} }")
-            self.take(best)
+            row = best[2].popleft()[1]
+            self.take(row)
+            supply.take(row, full=self.families[row["family"]] >= cap)
+
+
+class Supply:
+    """Numbers of all rows that may still be taken, by kind and flag set.
+
+    all_: (kind, flag set) -> rows of the whole table; by_family: the same for each family that may fill up.
+    """
+
+    def __init__(self, all_: Mapping[tuple, int], by_family: Mapping[object, Mapping[tuple, int]]) -> None:
+        self.all = Counter(all_)
+        self.by_family = {f: Counter(n) for f, n in by_family.items()}
+
+    def weights(self, short: Iterable[str], open_) -> dict[str, float]:
+        have = Counter()
+        for (kind, flags), n in self.all.items():
+            if open_(kind):
+                have.update(dict.fromkeys(flags, n))
+        return {f: 1 / max(have[f], 1) for f in short}
+
+    def take(self, row, full: bool) -> None:
+        key = (row["_kind"], _names(row["_set"]))
+        self.all[key] -= 1
+        self.by_family[row["family"]][key] -= 1
+        if full:
+            self.all.subtract(self.by_family.pop(row["family"]))
+
+
+def _names(joined: str) -> frozenset[str]:
+    return frozenset(joined.split("\x00")) - {""}
+
+
+def supply_of(df: DataFrame, few: DataFrame) -> Supply:
+    """Counts of df (_kind, _set, family); by family for the families of few, which are as many as few has rows at most."""
+    alike = ["_kind", "_set"]
+    all_ = candidates(df.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")), [*alike, "n"])
+    near = df.join(few.select("family").distinct(), df["family"].eqNullSafe(few["family"]), "left_semi").groupBy("family", *alike).agg(F.count(F.lit(1)).alias("n"))
+    families: dict = {}
+    for r in candidates(near, ["family", *alike, "n"]):
+        families.setdefault(r["family"], {})[r["_kind"], _names(r["_set"])] = r["n"]
+    return Supply({(r["_kind"], _names(r["_set"])): r["n"] for r in all_}, families)
 
 
-_RECORD = ["id", "digest", "class", "origin", "family", "margin", "flags", "k"]
+_RECORD = ["id", "digest", "class", "origin", "family", "margin", "flags", "k", "_set", "_kind"]
 
 
 def select_mix(df: DataFrame, budgets: Mapping[str, int], mix: tuple[str, str, float], floors: Mapping[str, int], cap: int, seed: str) -> list[str]:
@@ -147,16 +205,18 @@ def select_mix(df: DataFrame, budgets: Mapping[str, int], mix: tuple[str, str, f
     if n_hard < 3 * n_easy:
         raise ValueError("the first class must be three quarters of the selection at least")
     order = [F.coalesce("margin", F.lit(0)).desc(), seeded(seed, "id"), F.col("id")]
-    few = prefix(df.where(F.col("class").isin(*budgets)), ["class", "origin"], order, n_hard + n_easy, "family", cap)
-    rows = candidates(few.withColumn("k", seeded(seed, "id")), _RECORD)
+    named = df.where(F.col("class").isin(*budgets)).withColumns({"_kind": F.col("origin"), "_set": flag_set("flags", floors)})
+    few = cut(prefix(named.drop("_set"), ["class", "origin"], order, n_hard + n_easy, "family", cap, floors).withColumns({"k": seeded(seed, "id"), "_set": flag_set("flags", floors)}))
+    rows = candidates(few, _RECORD)
+    supply = supply_of(named.where(F.col("class") == hard), few.where(F.col("class") == hard)) if floors else None
     rows.sort(key=lambda r: (-(r["margin"] or 0), r["k"], r["id"]))
     state, missing = _Taken(floors), {}
     for kind, target in budgets.items():
         first = round(target * mix[2])
         share = {mix[0]: first, mix[1]: target - first}
         of_kind = [r for r in rows if r["class"] == kind]
-        if kind == hard:
-            state.cover(of_kind, lambda r: state.free(r, cap) and state.per[hard, r["origin"]] < share.get(r["origin"], 0), target)
+        if kind == hard and floors:
+            state.cover(of_kind, supply, cap, lambda origin, share=share: state.per[hard, origin] < share.get(origin, 0), target)
         for origin, n in share.items():
             for r in of_kind:
                 if state.per[kind, origin] == n:
@@ -182,14 +242,18 @@ def select_targeted(df: DataFrame, windows: DataFrame, budgets: tuple[int, int],
         raise ValueError("roots must be three quarters of the selection at least")
     root_cap = cap * target // (target + n_windows) if n_windows else cap
     order = [seeded(seed, "id"), F.col("id")]
-    covering = prefix(df, [], order, target, "family", root_cap)
+    named = df.withColumns({"_kind": F.lit(0), "_set": flag_set("flags", floors)})
+    covering = prefix(df, [], order, target, "family", root_cap, floors)
     # of the turns over families: those that come first in the order, as many as the budget and full families can need
     turns = first_rows(df, ["family"], order, root_cap)
     first = turns.groupBy("family").agg(F.min(F.struct(seeded(seed, "id").alias("k"), F.col("id").alias("i"))).alias("_f")).orderBy("_f").limit(2 * target)
-    rows = candidates(covering.unionByName(turns.join(first.select("family"), "family", "left_semi")).dropDuplicates(["id"]).withColumn("k", seeded(seed, "id")), ["id", "digest", "family", "flags", "k"])
+    few = covering.unionByName(turns.join(first.select("family"), "family", "left_semi")).dropDuplicates(["id"])
+    few = cut(few.withColumns({"k": seeded(seed, "id"), "_kind": F.lit(0), "_set": flag_set("flags", floors)}))
+    rows = candidates(few, ["id", "digest", "family", "flags", "k", "_kind", "_set"])
     rows.sort(key=lambda r: (r["k"], r["id"]))
     state = _Taken(floors)
-    state.cover(rows, lambda r: state.free(r, root_cap), target)
+    if floors:
+        state.cover(rows, supply_of(named, few), root_cap, lambda kind: True, target)
     queues: dict[str, deque] = {}
     for r in rows:
         queues.setdefault(r["family"], deque()).append(r)
