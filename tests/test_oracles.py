@@ -19,8 +19,8 @@ def test_entry(spark):
     assert df.count() > 0 and "episode" in df.columns
 
 
-#: Queries that SQL cannot express, each held against a plain loop in test_selection.
-LOOPS = {"cohort_queues"}
+#: Queries that SQL cannot express, each held against a plain loop in a test of its own.
+LOOPS = {"cohort_queues", "dataset_build"}
 
 
 def test_every_query_has_an_oracle_or_a_test(spark, data):
