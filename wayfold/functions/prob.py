@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 SUM_TOLERANCE, ARGMAX_TOLERANCE = 0.02, 1e-4
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it: a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(x: Column) -> Column:
-    """Stable softmax of an array."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    """Stable softmax of an array: the largest and the sum are found once."""
+    e = bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return bound(e, lambda powers: bound(F.aggregate(powers, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(powers, lambda v: v / total)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,8 +38,12 @@ def valid(p: Column, keys: Column, choice: Column) -> Column:
 
 
 def renormalised(p: Column) -> Column:
-    total = F.aggregate(F.map_values(p), F.lit(0.0), lambda a, x: a + x)
-    return F.transform_values(p, lambda k, v: v / total)
+    return bound(F.aggregate(F.map_values(p), F.lit(0.0), lambda a, x: a + x), lambda total: F.transform_values(p, lambda k, v: v / total))
+
+
+def argmax(p: Column) -> Column:
+    """The option of the largest probability; of equal ones the first by name."""
+    return bound(F.array_max(F.map_values(p)), lambda top: F.array_min(F.map_keys(F.map_filter(p, lambda k, v: v == top))))
 
 
 def one_hot(options: Column, choice: Column) -> Column:

@@ -104,14 +104,14 @@ def with_periods(df: DataFrame, max_period: int = 64, history: int = 128) -> Dat
     rows = rows.withColumn("_e", F.when(~F.col("progress"), before))
     rows = rows.withColumn("_h", F.collect_list("_e").over(spell.rowsBetween(1 - history, 0)))
     n = F.size("_h")
-    at = lambda back: F.try_element_at("_h", n - back + 1)  # noqa: E731  the sums before the last `back` rows
+    at = lambda back: F.try_element_at("_h", (n - back + 1).cast("int"))  # noqa: E731  the sums before the last `back` rows
     pows = [_powers(b, p, max_period + 1) for p, b in MODULI]
 
     def same(ahead: list[Column], behind: list[Column], shift: Column) -> Column:
         """Two slices, given as differences of sums, the first so many places after the second."""
         ok = F.lit(True)
         for x, y, (p, _), table in zip(ahead, behind, MODULI, pows, strict=True):
-            ok = ok & (F.pmod(x, F.lit(p)) == F.pmod(y, F.lit(p)) * F.try_element_at(table, shift + 1) % p)
+            ok = ok & (F.pmod(x, F.lit(p)) == F.pmod(y, F.lit(p)) * F.try_element_at(table, (shift + 1).cast("int")) % p)
         return ok
 
     def repeats(p: Column) -> Column:

@@ -203,8 +203,7 @@ def softened(t: Tables) -> DataFrame:
 )
 def snapshot_evaluation(t: Tables) -> DataFrame:
     p, gold = F.col("p"), F.col("gold")
-    # of equal probabilities the first option wins
-    choice = F.array_min(F.map_keys(F.map_filter(p, lambda k, v: v == F.array_max(F.map_values(p)))))
+    choice = P.argmax(p)
     rows = softened(t).withColumns({"right": choice == gold, "ce": P.cross_entropy(p, gold), "m": P.margin(p, gold)})
     return rows.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("right").cast("int")), 9).alias("accuracy"), F.round(F.avg("ce"), 9).alias("cross_entropy"), F.round(F.avg("m"), 9).alias("margin"))
 
@@ -218,7 +217,7 @@ def snapshot_evaluation(t: Tables) -> DataFrame:
 )
 def hard_case_report(t: Tables) -> DataFrame:
     p, gold = F.col("p"), F.col("gold")
-    choice = F.array_min(F.map_keys(F.map_filter(p, lambda k, v: v == F.array_max(F.map_values(p)))))
+    choice = P.argmax(p)
     cohorts = G.flag_map({"even": F.col("vec_id") % 2 == 0, "third": F.col("vec_id") % 3 == 0, "zero": gold == "0"})
     rows = softened(t).select((choice == gold).cast("int").alias("right"), P.margin(p, gold).alias("m"), G.true_names(cohorts).alias("cohorts"), F.when(F.col("vec_id") % 2 == 0, "targeted").otherwise("informative").alias("class"))
     # one pass: every row goes once to the whole, once to its class and once to each of its cohorts
@@ -234,7 +233,7 @@ def hard_case_report(t: Tables) -> DataFrame:
 )
 def distribution_checks(t: Tables) -> DataFrame:
     p = F.col("p")
-    best = F.array_min(F.map_keys(F.map_filter(p, lambda k, v: v == F.array_max(F.map_values(p)))))
+    best = P.argmax(p)
     rows = softened(t).withColumn("choice", F.when(F.col("vec_id") % 7 == 0, "0").otherwise(best))
     rows = rows.withColumn("p", F.when(F.col("vec_id") % 50 == 0, F.transform_values(p, lambda k, v: v * 1.1)).otherwise(p))
     keys = F.array(*[F.lit(str(i)) for i in range(64)])

@@ -164,9 +164,10 @@ class EpisodeFold(StatefulProcessor):
             self.periods.updateValue((k,), (before + v,))
         self.recent.put([(p,) for p in recent]) if recent else self.recent.clear()
         self.fold.update((*s.values(), sums))
-        per_life = {str(k[0]): tuple(v) for k, v in self.lives.iterator()} if self.lives.exists() else {}
-        loops = {k[0]: v[0] for k, v in self.periods.iterator()} if self.periods.exists() else {}
-        yield Row(key[0], *s.values(), sums, per_life, loops, len(ready))
+        # maps go out as lists of pairs
+        per_life = [(str(k[0]), dict(zip(("decisions", "pellets_collected", "life_lost"), v, strict=True))) for k, v in self.lives.iterator()] if self.lives.exists() else []
+        loops = [(k[0], v[0]) for k, v in self.periods.iterator()] if self.periods.exists() else []
+        yield Row(episode=key[0], **s, adds=sums, per_life=per_life, loop_periods=loops, waiting=len(ready))
 
     def close(self) -> None:
         """Nothing is held outside the state."""
@@ -206,8 +207,8 @@ def measures(fold: DataFrame, ended: Column) -> DataFrame:
 class Quiet(StatefulProcessor):
     """A row with alive true when a key is heard, and one with alive false once it was quiet for so long; each hearing moves the timer."""
 
-    def __init__(self, quiet_ms: int) -> None:
-        self.quiet_ms = quiet_ms
+    def __init__(self, name: str, quiet_ms: int) -> None:
+        self.name, self.quiet_ms = name, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -222,12 +223,12 @@ class Quiet(StatefulProcessor):
         at = timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
         self.handle.registerTimer(at)
         self.due.update((at, heard))
-        yield Row(key[0], True, heard)
+        yield Row(**{self.name: key[0], "alive": True, "heard": heard})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         heard = self.due.get()[1] if self.due.exists() else 0
         self.due.clear()
-        yield Row(key[0], False, heard)
+        yield Row(**{self.name: key[0], "alive": False, "heard": heard})
 
     def close(self) -> None:
         """Nothing is held outside the state."""
@@ -237,7 +238,7 @@ def quiet_stream(rows: DataFrame, key: str, quiet_ms: int = 15_000) -> DataFrame
     """key, alive, heard (rows since it was last quiet), by processing time."""
     use_rocksdb(rows.sparkSession)
     kind = dict(rows.dtypes)[key]
-    return rows.select(key).groupBy(key).transformWithState(Quiet(quiet_ms), f"{key} {kind}, alive boolean, heard long", "Update", "ProcessingTime")
+    return rows.select(key).groupBy(key).transformWithState(Quiet(key, quiet_ms), f"{key} {kind}, alive boolean, heard long", "Update", "ProcessingTime")
 
 
 class FirstSeen(StatefulProcessor):
