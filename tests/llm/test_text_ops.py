@@ -106,6 +106,24 @@ def test_token_counts(spark, docs, rows):
     assert median["en"] == own[-(-len(own) // 2) - 1]
 
 
+def test_long_runs_are_counted(spark, monkeypatch):
+    """A megabyte of one character does not stop the count, and runs encoded apart change no count."""
+    rng = random.Random(6)
+    small = ["".join(rng.choice(["  ", "\n", "\t \u3000", "word", " a", "9", "$", "é", "\x1c"]) * rng.choice([1, 1, 7]) for _ in range(60)) for _ in range(60)]
+    small += ["   ", "\n\n\n x", "x    ", "x \n \n y", "\u2028" * 9 + "z"]
+    whole = token_counts.encoder(token_counts.default_vocabulary())(small)
+    token_counts.encoder.cache_clear()
+    monkeypatch.setattr(token_counts, "LONG_SPACE", 3)
+    monkeypatch.setattr(token_counts, "_LONG_RUN", re.compile(f"(?<!{token_counts._SPACE}){token_counts._SPACE}{{3,}}"))
+    assert token_counts.encoder(token_counts.default_vocabulary())(small) == whole
+    monkeypatch.undo()
+    token_counts.encoder.cache_clear()
+    n = 1_000_000
+    long_ = [" " * n + "x", "\n" * n, "x" + " " * n, "a" * n, " \n" * (n // 2) + "ab", None]
+    got = token_counts.lengths(spark.createDataFrame([(t, "en") for t in long_], "text string, lang string")).collect()
+    assert sorted(r.n_tokens for r in got) == sorted([n, n // 2, n + 1, n // 4, n + 1, 0])
+
+
 # decontamination
 
 

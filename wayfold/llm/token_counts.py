@@ -10,6 +10,10 @@ the quantile. `quantile()` and `truncated_total()` read any other limit off the
 Scale: a language has at most as many rows as its longest document has tokens; the running
 sums are windows over one language of the histogram, not of the documents.
 
+White space of LONG_SPACE characters and more is encoded by itself: the vocabulary's pre-tokeniser looks ahead from every place of
+such a run and gives up. It would take the run but for its last character as one piece, or all of it at the end of a text,
+and that is what is encoded, so counts are those of the whole text.
+
 Edge cases: a null or empty text has length 0; a null language is a group; special-token
 strings inside a text are ordinary text; repeated rows count each; an empty table gives an
 empty result; other columns are ignored.
@@ -18,6 +22,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,6 +35,12 @@ from wayfold.llm.common import table
 from wayfold.llm.textnp import column, slices
 
 
+#: Characters of white space from which on a run is a piece of its own.
+LONG_SPACE = 4096
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_LONG_RUN = re.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG_SPACE},}}")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -45,7 +56,20 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     enc = tiktoken.Encoding("counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
+    whole = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def count(text: str | None) -> int:
+        if not text:
+            return 0
+        total = at = 0
+        for run in _LONG_RUN.finditer(text) if len(text) >= LONG_SPACE else ():
+            # the last character goes with what follows
+            end = run.end() - (run.end() < len(text))
+            total += len(enc.encode_ordinary(text[at : run.start()])) + len(whole.encode_ordinary(text[run.start() : end]))
+            at = end
+        return total + len(enc.encode_ordinary(text[at:]))
+
+    return lambda texts: [count(t) for t in texts]
 
 
 def _lengths(path: str):
