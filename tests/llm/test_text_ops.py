@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import exp, log, log10
@@ -450,6 +451,35 @@ def test_html_notices_in_articles(spark):
     assert html_extraction.main_text("<article class='comment'><p>no</p></article><article><p>yes</p></article>", [])[0] == "yes"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>in</p></article><div class="sidebar">off</div></div>', "in"),
+        ("<header>site</header><article><header><h1>Title</h1></header><p>body</p><footer>author</footer></article><footer>site</footer>", "Title\n\nbody\n\nauthor"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Prices <span class="share">12</span> rose.</p></article>', "Title\n\nPrices 12 rose."),
+        ("<article><p>in</p><div hidden>off</div><div hidden=until-found>found</div><p style='color:red; display : none'>off</p></article>", "in\n\nfound"),
+        ('<article><p>a <span aria-hidden="true">x</span>b <button>ok</button>c</p><p>d</article>', "a b c\n\nd"),
+        ('<article><p>a <i role="navigation">never closed</p><p>b</p></article>', "a\n\nb"),
+        ("<article><p>in</p></article><div class='comments'><article><p>reader</p></article></div><aside><article>off</article></aside>", "in"),
+        ("<html><head><title>t</title><body><article>in</article>", "in"),
+        ("<article class='comment'><p>no</p></article><article><p data-x='class=sidebar'>yes</p></article>", "yes"),
+        ('<body class="no-sidebar"><div class="page-sidebar-left"><p>the only text of the page</p></div><div class="menu">off</div></body>', "the only text of the page"),
+        ("<article>a < b and c > d<!-- off", "a < b and c > d"),
+        ("<article>a<script>var x = '</p>';", "a"),
+    ],
+)
+def test_html_scopes(page, text):
+    assert html_extraction.main_text(page, [])[0] == text
+
+
+@pytest.mark.parametrize("bad", ['<a x="', "<a x='", "<a x=\"'>", "<!-- ", "<script>", '<p class="', "<", "<div ", '<a x="> ', "<span hidden>", "<p>"])
+def test_html_broken_markup_is_linear(bad):
+    for end in ("", ">"):
+        began = time.perf_counter()
+        html_extraction.blocks(bad * (1_000_000 // len(bad)) + end)
+        assert time.perf_counter() - began < 10
+
+
 # sharding and mixing
 
 

@@ -56,75 +56,125 @@ TAG = re.compile(
     |<[!?][^>]*>""",
     re.S | re.I | re.X,
 )
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+UNTRACKED = frozenset("p li html body hr".split())
 OUT = frozenset("head nav header footer aside form menu dialog button label input".split())
 ARTICLE = frozenset("article main".split())
 ARTICLE_OUT = frozenset("comment comments reply replies teaser related recommended promo advert sponsored".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|signup|paywall"
-    r"|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|sidebar|side|widgets?|related|recommended|share|sharing|social|footer|header|masthead|comments?|disqus|replies|respond|skip)(?:$|[\s_-])",
+OUT_WORD = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|signup|paywall"
+    r"|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toolbar|sidebar|side|widgets?|related|recommended|share|sharing|social|footer|header|masthead|comments?|disqus|replies|respond|skip",
     re.I,
 )
+#: How far an element is out: a name that only has a listed word in it may be a layout's, with the article inside.
+MAYBE, SURELY = 1, 2
+
+
+def _named(value: str, inside: bool) -> int:
+    """Whether a class or id says that an element is out; an article's own header is not."""
+    out = 0
+    for token in value.lower().split():
+        words = re.split("[_-]+", token)
+        hit = {w for w in words if OUT_WORD.fullmatch(w)} - ({"header", "masthead"} if inside else set())
+        if hit:
+            out = max(out, SURELY if len(words) == 1 or hit & ARTICLE_OUT else MAYBE)
+    return out
+
+
+def _away(name: str, attrs: str | None, inside: bool) -> int:
+    """How far an element is out by what it is, its attributes and, if it is a block, its names."""
+    away = SURELY if name in OUT and not (inside and name in ("header", "footer")) else 0
+    for key, *value in ATTR.findall(attrs or "") if not away else ():
+        key, value = key.lower(), next((v for v in value if v), "")
+        if key == "role" and value.lower() in OUT_ROLES or key == "aria-hidden" and value.lower() == "true" or key == "hidden" and value.lower() != "until-found":
+            away = SURELY
+        elif key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            away = SURELY
+        elif key == "class" and name in ARTICLE and not ARTICLE_OUT.isdisjoint(value.lower().split()):
+            away = SURELY
+        elif key in ("class", "id") and name in BLOCK and name not in ARTICLE and name not in ("body", "html"):
+            away = max(away, _named(value, inside))
+    return away
+
+
+def _rest(page: str, at: int, last: re.Match | None) -> str:
+    """The text after the last tag; a comment or script that is never closed has none."""
+    if last is not None and (last[0].startswith("<!--") and not last[0].endswith("-->") or last["raw"] and not re.search(rf"</{last['raw']}\s*>\Z", last[0], re.I)):
+        return ""
+    return page[at:].split("<!--", 1)[0]
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of all blocks in page order; kind is article, out or open."""
-    found: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in an article, out
+    """(kind, text) of all blocks in page order; kind is article, out or open.
+
+    An article is in whatever layout names stand around it, but not within what is surely out (comments, asides). Inline
+    elements never end a block; hidden ones and buttons are left out of it. Text under a layout's name alone is open if it is most of
+    what the page has.
+    """
+    found: list[tuple[int, bool, str]] = []  # how far out, in an article, text
+    stack: list[tuple[str, bool, int, bool]] = []  # element, in an article, how far out, left out inside a block
     parts: list[str] = []
-    inside = out = False
-    at = 0
+    inside, out, skip = False, 0, False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            found.append(("out" if out else "article" if inside else "open", text))
+            found.append((out, inside, text))
+
+    def back_to(k: int) -> None:
+        nonlocal inside, out, skip
+        del stack[k:]
+        _, inside, out, skip = stack[-1] if stack else ("", False, 0, False)
 
-    for m in TAG.finditer(page):
-        if m.start() > at:
+    at, m = 0, None
+    for m in TAG.finditer(page, 0, page.rfind(">") + 1):  # no tag ends later, so markup that never ends is not looked for again and again
+        if m.start() > at and not skip:
             parts.append(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+        _, close, name, attrs, close2, name2, attrs2 = m.groups()
+        name = (name or name2 or "").lower()
+        if name not in BLOCK:
+            if name == "br" and not skip:
+                parts.append(" ")
+            elif close or close2:
+                if skip and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)) is not None:
+                    if any(e[0] in BLOCK for e in stack[k:]):
+                        flush()
+                    back_to(k)
+            elif (attrs or attrs2 or name in OUT) and name not in VOID and _away(name, attrs or attrs2, inside):
+                stack.append((name, inside, out, True))
+                skip = True
             continue
-        if name == "br":
-            parts.append(" ")
-        if name in BLOCK:
-            flush()
-        if m["close"] or m["close2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush()
-                    del stack[k:]
-                    inside, out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    break
+        flush()
+        if close or close2 or name == "p":  # what is inline ends with its block at the latest
+            while stack and stack[-1][0] not in BLOCK:
+                back_to(len(stack) - 1)
+        if close or close2:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if k is not None:
+                back_to(k)
             continue
+        if name == "body":
+            back_to(0)
         if name in VOID:
             continue
-        if name in BLOCK and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            stack.pop()
-            inside, out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        attrs = m["attrs"] or m["attrs2"]
-        away = name in OUT
-        if attrs and not away:
-            for kind, *value in ATTR.findall(attrs):
-                value = next((v for v in value if v), "")
-                away |= kind.lower() == "role" and value.lower() in OUT_ROLES
-                away |= kind.lower() in ("class", "id") and name not in ARTICLE and name not in ("body", "html") and bool(OUT_NAMES.search(value))
-                away |= kind.lower() == "class" and name in ARTICLE and not ARTICLE_OUT.isdisjoint(value.lower().split())
-                away |= kind.lower() == "aria-hidden" and value.lower() == "true"
-        tracked = name in BLOCK and name not in ("p", "li", "html", "body", "hr")
-        if away or tracked:
-            flush()
-            stack.append((name, inside or name in ARTICLE, out or away))
-            inside, out = stack[-1][1], stack[-1][2]
-    parts.append(page[at:])
+        if stack and stack[-1][0] == "p":  # a block ends an open paragraph
+            back_to(len(stack) - 1)
+        away = _away(name, attrs or attrs2, inside) if attrs or attrs2 or name in OUT else 0
+        if away or name not in UNTRACKED:
+            scope = name in ARTICLE and out < SURELY
+            stack.append((name, inside or name in ARTICLE, away if scope else max(out, away), skip))
+            _, inside, out, skip = stack[-1]
+    if not skip:
+        parts.append(_rest(page, at, m))
     flush()
-    return found
+    maybe = sum(len(t) for o, _, t in found if o == MAYBE)
+    gone = SURELY if 2 * maybe > sum(len(t) for o, _, t in found if o < SURELY) else MAYBE
+    return [("out" if o >= gone else "article" if a else "open", t) for o, a, t in found]
 
 
 #: The host part of a URL.
