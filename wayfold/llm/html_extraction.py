@@ -30,6 +30,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,16 @@ def _named(value: str, inside: bool) -> int:
     return out
 
 
+#: What the attributes of an inline element that is out have in them.
+MARK = re.compile("hidden|role|display", re.I)
+
+
 def _away(name: str, attrs: str | None, inside: bool) -> int:
     """How far an element is out by what it is, its attributes and, if it is a block, its names."""
+    return _away_short(name, attrs, inside) if len(attrs or "") < 256 else _judged(name, attrs, inside)
+
+
+def _judged(name: str, attrs: str | None, inside: bool) -> int:
     away = SURELY if name in OUT and not (inside and name in ("header", "footer")) else 0
     for key, *value in ATTR.findall(attrs or "") if not away else ():
         key, value = key.lower(), next((v for v in value if v), "")
@@ -100,6 +109,10 @@ def _away(name: str, attrs: str | None, inside: bool) -> int:
     return away
 
 
+#: Pages of a host have the same few tags.
+_away_short = lru_cache(maxsize=1 << 12)(_judged)
+
+
 def _rest(page: str, at: int, last: re.Match | None) -> str:
     """The text after the last tag; a comment or script that is never closed has none."""
     if last is not None and (last[0].startswith("<!--") and not last[0].endswith("-->") or last["raw"] and not re.search(rf"</{last['raw']}\s*>\Z", last[0], re.I)):
@@ -120,8 +133,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
     inside, out, skip = False, 0, False
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        text = "".join(parts)
         parts.clear()
+        text = " ".join((html.unescape(text) if "&" in text else text).split())
         if text:
             found.append((out, inside, text))
 
@@ -130,41 +144,55 @@ def blocks(page: str) -> list[tuple[str, str]]:
         del stack[k:]
         _, inside, out, skip = stack[-1] if stack else ("", False, 0, False)
 
+    def opener(name: str) -> int:
+        """Where the element that a closing tag ends stands in the stack, or -1."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                return k
+        return -1
+
     at, m = 0, None
     for m in TAG.finditer(page, 0, page.rfind(">") + 1):  # no tag ends later, so markup that never ends is not looked for again and again
-        if m.start() > at and not skip:
-            parts.append(page[at : m.start()])
-        at = m.end()
+        start, end = m.span()
+        if start > at and not skip:
+            parts.append(page[at:start])
+        at = end
         _, close, name, attrs, close2, name2, attrs2 = m.groups()
-        name = (name or name2 or "").lower()
+        if name2:
+            close, name, attrs = close2, name2, attrs2
+        elif not name:
+            continue
+        name = name.lower()
         if name not in BLOCK:
-            if name == "br" and not skip:
-                parts.append(" ")
-            elif close or close2:
-                if skip and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)) is not None:
-                    if any(e[0] in BLOCK for e in stack[k:]):
+            if name == "br":
+                if not skip:
+                    parts.append(" ")
+            elif close:
+                if skip and (k := opener(name)) >= 0:
+                    if parts and any(e[0] in BLOCK for e in stack[k:]):
                         flush()
                     back_to(k)
-            elif (attrs or attrs2 or name in OUT) and name not in VOID and _away(name, attrs or attrs2, inside):
+            elif (name in OUT or attrs and MARK.search(attrs)) and name not in VOID and _away(name, attrs, inside):
                 stack.append((name, inside, out, True))
                 skip = True
             continue
-        flush()
-        if close or close2 or name == "p":  # what is inline ends with its block at the latest
-            while stack and stack[-1][0] not in BLOCK:
+        if parts:
+            flush()
+        if stack:
+            if close or name == "p":  # what is inline ends with its block at the latest
+                while stack and stack[-1][0] not in BLOCK:
+                    back_to(len(stack) - 1)
+            if close:
+                if (k := opener(name)) >= 0:
+                    back_to(k)
+                continue
+            if name == "body":
+                back_to(0)
+            elif stack[-1][0] == "p":  # a block ends an open paragraph
                 back_to(len(stack) - 1)
-        if close or close2:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                back_to(k)
-            continue
-        if name == "body":
-            back_to(0)
-        if name in VOID:
+        if close or name in VOID:
             continue
-        if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            back_to(len(stack) - 1)
-        away = _away(name, attrs or attrs2, inside) if attrs or attrs2 or name in OUT else 0
+        away = _away(name, attrs, inside) if attrs or name in OUT else 0
         if away or name not in UNTRACKED:
             scope = name in ARTICLE and out < SURELY
             stack.append((name, inside or name in ARTICLE, away if scope else max(out, away), skip))
