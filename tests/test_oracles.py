@@ -20,7 +20,7 @@ def test_entry(spark):
 
 
 #: Queries that SQL cannot express, each held against a plain loop in a test of its own.
-LOOPS = {"cohort_queues", "dataset_build"}
+LOOPS = {"cohort_queues", "cover_selection", "dataset_build", "mix_selection", "perturbed_prefixes"}
 
 
 def test_every_query_has_an_oracle_or_a_test(spark, data):

@@ -87,3 +87,8 @@ def sampled(index: Column, strata: Column, every: int, always: Sequence[str]) ->
 def mismatches(pairs: Column) -> Column:
     """Of a map of struct(saved, expected) the entries that differ."""
     return F.map_filter(pairs, lambda k, v: ~v["saved"].eqNullSafe(v["expected"]))
+
+
+def collectable(turn: Column, legal: Column, first: int = 12, every: int = 4) -> Column:
+    """The part of the collection rule that one row tells: late enough, on an every-th turn, with a choice; the state must be unseen too."""
+    return (turn >= first) & (turn % every == 0) & (F.size(legal) >= 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import builds, contract_queries, decision_queries, pool_queries, rollups, store_queries, trajectories  # noqa: F401
+from wayfold.plans import builds, contract_queries, decision_queries, pool_queries, rollups, set_queries, store_queries, trajectories  # noqa: F401
 from wayfold.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
