@@ -649,6 +649,27 @@ def test_classifier_against_plain_likelihood():
     assert model.thresholds[0] < model.thresholds[1]
 
 
+def test_classifier_reads_whole_sampled_texts(spark):
+    """What tells the grades stands among thousands of other words, so a text cut at any length would miss it in some; several texts of one id fit alike in any order."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(120):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(6000 if i % 4 == 0 else 40)]
+        body.insert(rng.randrange(len(body)), f"mark{i % 3}")
+        rows.append((i, " ".join(body)))
+        labels.append((i, i % 3 // 2, int(i % 3 == 0)))
+    rows += [(3, "another text of this id"), (3, "a third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rated = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, two = quality_classifier.train(docs.repartition(3), rated, 100), quality_classifier.train(docs.orderBy(F.desc("text")).coalesce(1), rated, 100)
+    assert (one.keys == two.keys).all() and (one.weights == two.weights).all()
+    marks = [quality_classifier.features(pa.array([f"mark{k}"]))[0][0] for k in range(3)]
+    assert all(np.isin(m, one.keys) for m in marks)
+    grade = {r.doc_id: r.expected_grade for r in quality_classifier.classify(docs.where("doc_id <> 3"), one).collect()}
+    mean = [np.mean([g for i, g in grade.items() if i % 3 == k]) for k in range(3)]
+    assert mean[0] + 0.3 < mean[1] < mean[2] - 0.3
+
+
 def test_classifier_on_held_out_grades(spark):
     rng = random.Random(6)
     bad = ["awful", "nasty", "horrid"]

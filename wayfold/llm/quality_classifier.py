@@ -9,13 +9,11 @@ P(grade >= 2) reaches a cutoff.
 
 Fit. On the driver, on a sample of at most SAMPLE labelled documents per grade, the smallest
 by a seeded digest of the id; two thirds fit, a third sets the cutoff at the tail
-probability that all but KEEP_MISS of its good documents reach (at most 0.5). Only the sampled
-documents' distinct token hashes come to the driver, not texts, and of a document with more than
-DOC_HASHES of them the smallest (the same ones of every document): 3 * SAMPLE * DOC_HASHES * 8 bytes at most,
-200 MB, and a tenth of that for texts of usual length. Tokens enter the model if
+probability that all but KEEP_MISS of its good documents reach (at most 0.5). Tokens enter the model if
 their document frequencies differ between grades by Z standard errors (at most FEATURES of
-them), so rare words of clean texts carry no weight. Gradient ascent with momentum and a
-step that is halved whenever the likelihood falls, L2.
+them), so rare words of clean texts carry no weight. Frequencies are counted by Spark over all tokens of the sampled texts, whole;
+then only hashes that may enter the model come to the driver, not texts: 3 * SAMPLE * 2 * FEATURES * 8 bytes at most, 400 MB, and a
+hundredth of that as a rule. Gradient ascent with momentum and a step that is halved whenever the likelihood falls, L2.
 
 Scoring reads every document's whole text once against the model (some thousand hashes and
 weights, sent with the task).
@@ -23,7 +21,7 @@ weights, sent with the task).
 Edge cases: a null or empty text has shapes only; labels with null quality and null toxic are
 unused; a document with several labels takes the lowest grade; without both good and other
 labels nothing can be learned and every document is kept with expected grade 2; ties in
-the digest order break by id; repeated rows score alike; an empty table gives an empty
+the digest order break by id; of several texts of one sampled doc_id the one with the smallest list of hashes is fitted; repeated rows score alike; an empty table gives an empty
 result; other columns are carried by select_good() and ignored by classify().
 """
 
@@ -38,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, table
-from wayfold.llm.textnp import PUNCT, buffers, column, hashes, mix, slices, spans
+from wayfold.llm.textnp import PUNCT, buffers, column, hashes, mix, signed, slices, spans, unsigned
 
-SAMPLE, FEATURES, DOC_HASHES, Z = 2000, 4096, 4096, 4.5
+SAMPLE, FEATURES, Z = 2000, 4096, 4.5
 SEED = "grade-1"
 KEEP_MISS = 0.002
 #: Steps of the fit.
@@ -129,7 +127,7 @@ def fit(h: np.ndarray, doc: np.ndarray, grade: np.ndarray, held: np.ndarray, max
             p = (a + b + 1) / (train.sum() + 2)
             gap = np.abs(a / up.sum() - b / down.sum()) / np.sqrt(p * (1 - p) * (1 / up.sum() + 1 / down.sum()))
             strength = np.maximum(strength, np.where(a + b >= 4, gap, 0))
-    is_shape = np.isin(keys, np.concatenate([shape_hash(k, np.arange(CELLS + 1)) for k in range(len(SHAPES))]))
+    is_shape = np.isin(keys, _shape_keys())
     chosen = np.flatnonzero((strength >= z) | is_shape)
     chosen = np.sort(chosen[np.argsort(-strength[chosen], kind="stable")[:max_features]])
     local = np.full(len(keys), -1)
@@ -194,30 +192,52 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct features of each text, all of them."""
     for batch in slices(it):
         h, doc, shapes = features(column(batch, "text"))
-        h, doc = _distinct(h, doc)
-        first = np.searchsorted(doc, doc)
-        few = np.arange(len(doc)) - first < DOC_HASHES
-        doc = np.concatenate((doc[few], np.repeat(np.arange(batch.num_rows), shapes.shape[1])))
-        h = np.concatenate((h[few], shapes.reshape(-1)))
-        h, doc = _distinct(h, doc)
-        ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32) * 8
-        body = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(h))])
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), column(batch, "_h"), body], names=["doc_id", "grade", "h", "keys"])
+        doc = np.concatenate((doc, np.repeat(np.arange(batch.num_rows), shapes.shape[1])))
+        h, doc = _distinct(np.concatenate((h, shapes.reshape(-1))), doc)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=batch.num_rows)))).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.ascontiguousarray(h))))
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "grade"), column(batch, "_h"), keys], names=["doc_id", "grade", "h", "keys"])
+
+
+def _shape_keys() -> np.ndarray:
+    return np.concatenate([shape_hash(k, np.arange(CELLS + 1)) for k in range(len(SHAPES))])
+
+
+def _candidates(rows: DataFrame, max_features: int, z: float) -> DataFrame:
+    """key: features that fit() may choose, by their document frequencies in the texts that fit; at most twice max_features, and all shapes."""
+    train = rows.where("NOT held")
+    of = dict.fromkeys(range(3), 0) | {r["grade"]: r["count"] for r in train.groupBy("grade").count().collect()}  # a row a grade
+    counts = train.select("grade", F.explode("keys").alias("key")).groupBy("key").agg(*[F.count_if(F.col("grade") == g).alias(f"c{g}") for g in range(3)])
+    n, strength = sum(of.values()), F.lit(0.0)
+    for k in (1, 2):  # at or above k against below, as fit() has it
+        up, down = sum(of[g] for g in range(k, 3)), sum(of[g] for g in range(k))
+        if up and down:
+            a, b = (sum((F.col(f"c{g}") for g in gs), F.lit(0)) for gs in (range(k, 3), range(k)))
+            p = (a + b + 1) / (n + 2)
+            gap = F.abs(a / up - b / down) / F.sqrt(p * (1 - p) * (1 / up + 1 / down))
+            strength = F.greatest(strength, F.when(a + b >= 4, gap).otherwise(0.0))
+    strong = counts.withColumn("s", strength).where(F.col("s") >= z - 1e-6).orderBy(F.desc("s"), "key").limit(2 * max_features).select("key")
+    shapes = rows.sparkSession.createDataFrame([(int(k),) for k in signed(_shape_keys())], "key long")
+    return strong.union(shapes).distinct()
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     chosen = F.broadcast(cut(sample(labels, size)))  # at most 3 * size rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_sampled_features, "doc_id long, grade int, h string, keys binary")
-    rows = rows.dropDuplicates(["doc_id"]).collect()
-    if not rows:
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_sampled_features, "doc_id long, grade int, h string, keys array<long>")
+    held = F.conv(F.substring("h", -4, 4), 16, 10).cast("int") % 3 == 0
+    rows = cut(rows.groupBy("doc_id", "grade", "h").agg(F.min("keys").alias("keys")).withColumn("held", held))
+    few = F.broadcast(cut(_candidates(rows, FEATURES, Z)))  # at most 2 * FEATURES rows and the shapes
+    found = rows.select("doc_id", F.explode("keys").alias("key")).join(few, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    got = rows.drop("keys").join(found, "doc_id", "left").collect()
+    if not got:
         return Model()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-    held = np.array([int(r["h"][-4:], 16) % 3 == 0 for r in rows])
-    return fit(np.concatenate(keys), doc, np.array([r["grade"] for r in rows]), held)
+    got.sort(key=lambda r: (r["h"], r["doc_id"]))
+    keys = [unsigned(np.array(r["keys"] or [], np.int64)) for r in got]
+    doc = np.repeat(np.arange(len(got)), [len(k) for k in keys])
+    return fit(np.concatenate(keys), doc, np.array([r["grade"] for r in got]), np.array([r["held"] for r in got]))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
