@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
+
+Edge cases. Every stage gives an empty table for an empty one and carries columns beyond those of documents, whatever their
+names. A null or empty text is scored by its shape (quality), links with nothing (near_duplicates), holds no item (decontaminate), goes
+with the block that it stands in (mix) and takes one place (shard). Of rows with one doc_id and equal shingles one stays, other texts of that doc_id
+are judged by themselves; a row without an id goes if a row with an id has its shingles. Equal rows are scored and decontaminated
+alike; the mix and the shards place them one by one. A null source is a source, a null language a language.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import decontamination, mixing, near_dups, quality_classifier, sharding
 from wayfold.llm.common import shared_dir
+from wayfold.sources.shared import drop
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written in the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:  # nothing reads what the stage before has written any more
+            drop(spark, last)
+        last = path
     return docs
