@@ -303,9 +303,16 @@ def padded_batches(t: Tables) -> DataFrame:
     return M.padded_batches(t("documents").select("doc_id", F.length("text").cast("long").alias("n")), "doc_id", "n", 32)
 
 
-@query("ordered_digest", "SELECT sha256(string_agg(r_name || ':' || sha256(r_name) || chr(10), '' ORDER BY r_name)) AS digest FROM region")
+@query(
+    "ordered_digest",
+    """WITH f AS (SELECT n_name AS name, sha256(count(*) || ':' || sum(c_custkey)) AS sha FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
+    SELECT sha256(string_agg(name || ':' || sha || chr(10), '' ORDER BY name)) AS digest FROM f""",
+)
 def ordered_digest(t: Tables) -> DataFrame:
-    return M.ordered_digest(t("region").withColumn("sha", F.sha2("r_name", 256)), "r_name", "sha")
+    """One digest over the customers of each nation, in the order of nations."""
+    files = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("name"))
+    files = files.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("c_custkey").cast("string")), 256).alias("sha"))
+    return M.ordered_digest(files, "name", "sha")
 
 
 @query(
@@ -318,11 +325,16 @@ def mix_scale(t: Tables) -> DataFrame:
     return M.mix_scale(have, "needed", "have")
 
 
-@query("finite_metrics", "SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0 AND NOT (isfinite(CASE WHEN vec_id % 20 = 0 THEN 'nan'::DOUBLE ELSE 1.0 END) AND isfinite(CASE WHEN vec_id % 30 = 0 THEN 'inf'::DOUBLE ELSE 1.0 END))")
+@query(
+    "finite_metrics",
+    """SELECT l_orderkey, l_linenumber FROM (SELECT *, CASE WHEN l_discount = 0 THEN 'inf'::DOUBLE ELSE l_tax / l_discount END AS x, CASE WHEN l_tax = 0 THEN 'nan'::DOUBLE ELSE l_quantity / l_tax END AS y FROM lineitem)
+    WHERE NOT (isfinite(x) AND isfinite(y))""",
+)
 def finite_metrics(t: Tables) -> DataFrame:
-    i = F.col("vec_id")
-    rows = t("embeddings").select("vec_id", F.when(i % 20 == 0, float("nan")).otherwise(1.0).alias("x"), F.when(i % 30 == 0, float("inf")).otherwise(1.0).alias("y"))
-    return rows.where((i % 10 == 0) & ~M.finite("x", "y")).select("vec_id")
+    """Rows with a measure that is no finite number: ratios of all line items, by zero too."""
+    x = F.when(F.col("l_discount") == 0, float("inf")).otherwise(F.try_divide("l_tax", "l_discount"))
+    y = F.when(F.col("l_tax") == 0, float("nan")).otherwise(F.try_divide("l_quantity", "l_tax"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y")).where(~M.finite("x", "y")).select("l_orderkey", "l_linenumber")
 
 
 @query(

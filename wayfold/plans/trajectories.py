@@ -80,12 +80,15 @@ def position_repeats(t: Tables) -> DataFrame:
 
 @query(
     "contiguous_runs",
-    f"""WITH {LIVES}, g AS (SELECT * FROM l WHERE k % 10 <> 0), r AS (SELECT *, turn - row_number() OVER (PARTITION BY episode, life ORDER BY turn) AS run FROM g),
+    f"""WITH {LIVES}, g AS (SELECT * REPLACE (turn + coalesce(sum((k % 10 = 0)::INT) OVER (PARTITION BY episode ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn) FROM l),
+    r AS (SELECT *, turn - row_number() OVER (PARTITION BY episode, life ORDER BY turn) AS run FROM g),
     p AS (SELECT *, row_number() OVER (PARTITION BY episode, life, run ORDER BY turn) AS place, count(*) OVER (PARTITION BY episode, life, run) AS n FROM r)
     SELECT episode, turn, place AS run_place, least(n - place + 1, 24)::BIGINT AS ahead FROM p""",
 )
 def contiguous_runs(t: Tables) -> DataFrame:
-    return T.with_runs(lived(t).where("k % 10 <> 0")).select("episode", "turn", "run_place", "ahead")
+    """Stretches of all rows, where a turn is missing after each row with a k of whole tens."""
+    missing = F.coalesce(F.sum((F.col("k") % 10 == 0).cast("long")).over(T.past()), F.lit(0))
+    return T.with_runs(lived(t).withColumn("_m", missing).withColumn("turn", F.col("turn") + F.col("_m"))).select("episode", "turn", "run_place", "ahead")
 
 
 @query(
