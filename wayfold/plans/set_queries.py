@@ -20,7 +20,7 @@ _DEPTH = 9
 
 @query(
     "grid_closeness",
-    f"""WITH RECURSIVE c AS (SELECT p_partkey::INT // 28 AS r, p_partkey::INT % 28 AS c FROM part WHERE p_partkey % 7 <> 3),
+    f"""WITH RECURSIVE c AS (SELECT p_partkey::INT // 28 AS r, p_partkey::INT % 28 AS c FROM part WHERE p_type <> 'ECONOMY'),
     s AS (SELECT r * 28 + c AS src, unnest([r * 28 + c + 28, r * 28 + c - 28, r * 28 + (c + 1) % 28, r * 28 + (c + 27) % 28]) AS dst FROM c),
     e AS (SELECT src, dst FROM s WHERE dst IN (SELECT r * 28 + c FROM c)),
     b AS (SELECT r * 28 + c AS src, r * 28 + c AS dst, 0 AS d FROM c UNION SELECT b.src, e.dst, b.d + 1 FROM b JOIN e ON e.src = b.dst WHERE b.d < {_DEPTH}),
@@ -28,8 +28,8 @@ _DEPTH = 9
     SELECT dst AS node, count(*) AS reached, sum(d)::BIGINT AS total, max(d)::INTEGER AS farthest FROM m GROUP BY 1""",
 )
 def grid_closeness(t: Tables) -> DataFrame:
-    """Of every cell of the part grid: the cells within nine steps, the sum of their distances and the largest; from all cells at once."""
-    cells = t("part").where("p_partkey % 7 <> 3").select(F.expr("cast(p_partkey div 28 as int)").alias("row"), F.expr("cast(p_partkey % 28 as int)").alias("column"))
+    """Of every cell of the part grid (one type of parts are walls): the cells within nine steps, the sum of their distances and the largest; from all cells at once."""
+    cells = t("part").where("p_type <> 'ECONOMY'").select(F.expr("cast(p_partkey div 28 as int)").alias("row"), F.expr("cast(p_partkey % 28 as int)").alias("column"))
     return graph.closeness(graph.grid_edges(cells, 1 << 30, 28), cells.select((F.col("row") * 28 + F.col("column")).alias("src")), _DEPTH)
 
 
