@@ -71,10 +71,9 @@ def perturbed(rows: DataFrame, per_episode: int, within: int, seed: str) -> Data
                 # reservoir: every row so far is kept with the same chance
                 self.seen += 1
                 fork = (row["turn"], others[self.random.randrange(len(others))], row["turn"], self.hash)
-                place = len(self.kept) if len(self.kept) < per_episode else self.random.randrange(self.seen)
-                if place == len(self.kept):
+                if len(self.kept) < per_episode:
                     self.kept.append(fork)
-                elif place < per_episode:
+                elif (place := self.random.randrange(self.seen)) < per_episode:
                     self.kept[place] = fork
             code = int.from_bytes((row["choice"] or "").encode()[:7], "big") + 1
             self.hash = (self.hash * _BASE + code) % _PRIME
