@@ -70,6 +70,25 @@ def test_grid(spark):
     assert (value(spark, r), value(spark, c)) == (1, 27)
 
 
+def test_distances_by_blocks(spark):
+    """A long path, ways back across blocks, a node without edges and one-way edges; a round for each block and not for each step."""
+    edges = [(i, i + 1) for i in range(600)] + [(i + 1, i) for i in range(300)] + [(40, 450), (450, 10), (599, 320), (5, -7), (700, 3)]
+    to: dict[int, list[int]] = {}
+    for a, b in edges:
+        to.setdefault(a, []).append(b)
+    want = set()
+    for s in (0, 310, 700, 900):
+        found, frontier = {s: 0}, [s]
+        while frontier:
+            near = {b for a in frontier for b in to.get(a, ())} - found.keys()
+            found.update(dict.fromkeys(near, found[frontier[0]] + 1))
+            frontier = list(near)
+        want |= {(s, b, d) for b, d in found.items()}
+    df, src = spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(s,) for s in (0, 310, 700, 900, None)], "src int")
+    got = [tuple(r) for r in graph.distances(df, src, small=0, block=150).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in graph.distances(df, src.where("src IS NOT NULL")).collect()} == want
+
+
 def test_distances_with_wrap_and_both_forms(spark):
     cells = spark.createDataFrame([(r, c) for r in range(3) for c in range(4) if (r, c) != (1, 1)], "row int, column int")
     edges = graph.grid_edges(cells, 3, 4)

@@ -1,16 +1,20 @@
-"""Distances on edge tables by frontier joins, and ancestors by doubling."""
+"""Distances on edge tables by blocks of nodes, and ancestors by doubling."""
 
 from __future__ import annotations
 
+import heapq
 import itertools
-from collections.abc import Iterator
+import math
+import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.ranking import placed
-from wayfold.sources.shared import cut
+from wayfold.sources.shared import cut, drop, shared_dir
 
 
 def grid_edges(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -27,7 +31,7 @@ def grid_edges(cells: DataFrame, height: int, width: int) -> DataFrame:
     return step.select("src", (F.col("n.r") * width + F.col("n.c")).cast("int").alias("dst")).join(open_, "dst").select("src", "dst").distinct()
 
 
-#: So many edges (two ints each) go to the tasks with the closure at most; larger graphs are joined level by level.
+#: So many edges (two ints each) go to the tasks with the closure at most; larger graphs are walked by blocks.
 SMALL_GRAPH = 200_000
 
 
@@ -45,12 +49,100 @@ def _walks(steps: dict[int, list[int]]):
     return run
 
 
-def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, small: int = SMALL_GRAPH) -> DataFrame:
+#: So many edges are one block of a graph that is too large for a task.
+BLOCK = 500_000
+_LOG = "src long, node long, d int, sent boolean"
+
+
+def _block_of(lows: Sequence[int], nodes: np.ndarray) -> np.ndarray:
+    """Blocks hold ranges of nodes; lows are their first nodes."""
+    return np.maximum(np.searchsorted(lows, nodes, side="right") - 1, 0)
+
+
+def _placed_in(lows: Sequence[int]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            src = batch.column("src").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(_block_of(lows, src), pa.int32()), *[pa.array(src, pa.int64())] * 2, pa.array(np.zeros(len(src)), pa.int32()), pa.array(np.ones(len(src), bool))], names=["block", "src", "node", "d", "sent"])
+
+    return run
+
+
+def _relaxed(lows: Sequence[int]):
+    """Of one block and source: nodes that have come nearer by what other blocks have sent, and what follows for nodes of other blocks."""
+
+    def run(key, steps: pa.Table, log: pa.Table) -> pa.Table:
+        own, src = (k.as_py() for k in key)
+        to: dict[int, list[int]] = {}
+        for a, b in zip(steps.column("at").to_pylist(), steps.column("to").to_pylist(), strict=True):
+            to.setdefault(a, []).append(b)
+        low, high = (-math.inf if not own else lows[own]), (lows[own + 1] if own + 1 < len(lows) else math.inf)
+        best: dict[int, int] = {}
+        heard = []
+        for node, d, fresh in zip(*[log.column(c).to_pylist() for c in ("node", "d", "fresh")], strict=True):
+            if fresh:
+                heard.append((d, node))
+            elif d < best.get(node, math.inf):
+                best[node] = d
+        heap = [(d, node) for d, node in heard if d < best.get(node, math.inf)]
+        best.update({node: d for d, node in sorted(heap, reverse=True)})
+        heapq.heapify(heap)
+        nearer: dict[int, int] = {}
+        while heap:
+            d, a = heapq.heappop(heap)
+            if d > best[a] or nearer.get(a) == d:
+                continue
+            nearer[a] = d
+            for b in to.get(a, ()):
+                if d + 1 < best.get(b, math.inf):
+                    best[b] = nearer[b] = d + 1
+                    if low <= b < high:
+                        del nearer[b]
+                        heapq.heappush(heap, (d + 1, b))
+        nodes = np.fromiter(nearer, np.int64, len(nearer))
+        return pa.table({"block": pa.array(_block_of(lows, nodes), pa.int32()), "src": pa.array([src] * len(nodes), pa.int64()), "node": pa.array(nodes), "d": pa.array(list(nearer.values()), pa.int32()), "sent": pa.array((nodes < low) | (nodes >= high))})
+
+    return run
+
+
+def _by_blocks(edges: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """src, node, d. Each round walks the blocks that others have sent something nearer, as far as it leads within them.
+
+    A path takes a round for each of its crossings between blocks, not for each of its steps, and a round reads only the blocks
+    that it walks. All that a block has learnt is a log by block, whose least values are the distances.
+    """
+    spark, base = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    step = edges.select(F.col("src").cast("long").alias("at"), F.col("dst").cast("long").alias("to")).where("at IS NOT NULL AND to IS NOT NULL")
+    step = cut(step.distinct())
+    ranged = step.repartitionByRange(-(-step.count() // block) or 1, "at").withColumn("part", F.spark_partition_id())
+    ranged.write.partitionBy("part").parquet(f"{base}/step")
+    step = spark.read.schema("at long, to long, part int").parquet(f"{base}/step")
+    parts = sorted((r["low"], r["part"]) for r in step.groupBy("part").agg(F.min("at").alias("low")).collect())  # a row a block
+    lows, names = [low for low, _ in parts], [part for _, part in parts]
+    start = sources.where("src IS NOT NULL").select(F.col("src").cast("long").alias("src")).distinct()
+    start.mapInArrow(_placed_in(lows), f"block int, {_LOG}").write.partitionBy("block").parquet(f"{base}/log/round=0")
+    for k in itertools.count(1):
+        log, again = (spark.read.schema(f"{_LOG}, round int, block int").parquet(f"{base}/log") for _ in range(2))
+        sent = again.where((F.col("round") == k - 1) & F.col("sent")).select("block", "src").distinct()
+        active = [r["block"] for r in sent.select("block").distinct().collect()]
+        if not active:
+            # the log is read by the result and stays until the session's folder is cleared
+            drop(spark, f"{base}/step")
+            return log.groupBy("src", "node").agg(F.min("d").alias("d"))
+        number = F.create_map(*[F.lit(x) for b in active for x in (names[b], b)])
+        mine = step.where(F.col("part").isin([names[b] for b in active])).withColumn("block", number[F.col("part")])
+        mine = mine.join(sent, "block").select("block", "src", "at", "to")
+        known = log.where(F.col("block").isin(active)).join(sent, ["block", "src"], "left_semi")
+        known = known.select("block", "src", "node", "d", ((F.col("round") == k - 1) & F.col("sent")).alias("fresh"))
+        walked = mine.groupBy("block", "src").cogroup(known.groupBy("block", "src")).applyInArrow(_relaxed(lows), f"block int, {_LOG}")
+        walked.write.partitionBy("block").parquet(f"{base}/log/round={k}")
+
+
+def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, small: int = SMALL_GRAPH, block: int = BLOCK) -> DataFrame:
     """src, dst, d: the fewest steps from every source (column src) to all it reaches, itself at 0.
 
-    A graph of at most small edges goes to the tasks, which walk it from their sources. A larger
-    one is walked level by level: the frontier joins the edges, an anti-join drops what was
-    reached before, and each level is cut off the lineage in the shared folder.
+    A graph of at most small edges goes to the tasks, which walk it from their sources. A larger one is
+    parted into blocks of nodes, which tasks walk in rounds until no block has anything nearer for another.
     """
     if blocked is not None:
         edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
@@ -61,16 +153,9 @@ def distances(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None =
         for a, b in some:
             steps.setdefault(a, []).append(b)
         out = sources.select(F.col("src").cast("long").alias("src")).distinct().mapInArrow(_walks(steps), "src long, dst long, d int")
-        return out.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "d")
-    step = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
-    reached = cut(sources.select("src", F.col("src").alias("dst"), F.lit(0).alias("d")).distinct())
-    frontier = reached
-    for level in itertools.count(1):
-        found = frontier.join(step, frontier["dst"] == step["at"]).select("src", F.col("to").alias("dst")).distinct()
-        frontier = cut(found.join(reached, ["src", "dst"], "left_anti").withColumn("d", F.lit(level)))
-        if frontier.isEmpty():
-            return reached
-        reached = cut(reached.unionByName(frontier))
+    else:
+        out = _by_blocks(edges, sources, block).withColumnRenamed("node", "dst")
+    return out.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "d")
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
