@@ -46,6 +46,22 @@ def test_closeness(spark, depth):
     assert got == plain_closeness(edges, sources, depth)
 
 
+def test_closeness_holds_no_rows_of_empty_words(spark, monkeypatch):
+    """A row per node and filled word: 2,000 pairs of nodes have 63 words, and no node more than two of them."""
+    held, stored = [], graph.stored
+
+    def counted(df):
+        out = stored(df)
+        held.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    edges = spark.range(4000).selectExpr("id AS src", "id + 1 - 2 * (id % 2) AS dst")
+    got = graph.closeness(edges, edges.select("src"), 3)
+    assert got.where("reached = 2 AND total = 1 AND farthest = 1").count() == got.count() == 4000
+    assert max(held) <= 8000
+
+
 def test_closeness_of_nothing(spark):
     none = spark.createDataFrame([], "src int, dst int")
     assert graph.closeness(none, none.select("src")).count() == 0

@@ -1,4 +1,4 @@
-"""Distances on edge tables by blocks of nodes, and ancestors by doubling."""
+"""Distances on edge tables by blocks of nodes, closeness by words of sources, and ancestors by doubling."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.ranking import placed
-from wayfold.sources.shared import cut, drop, shared_dir
+from wayfold.sources.shared import cut, drop, release, shared_dir, stored
 
 
 def grid_edges(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -187,35 +187,39 @@ def penalised_cost(food: DataFrame, danger: DataFrame, reach: int = 6) -> DataFr
     return joined.groupBy("at").agg(F.min(F.col("d") + 2 * F.coalesce("penalty", F.lit(0))).alias("cost"))
 
 
-#: Sources of one word of a frontier, and levels that are planned together.
-WORD, STRIDE = 64, 4
+#: Sources of one word of a frontier.
+WORD = 64
 
 
 def closeness(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
     """node, reached, total, farthest: how many sources (column src) reach each node, the sum of their distances and the largest; within depth steps, if given.
 
     Frontiers of 64 sources are one long: a step ORs the words of a node's neighbours, and what was not there before is the next
-    level, so a level moves nodes x sources / 64 rows and no pair of a source and a node is ever a row. Nodes are those of the
-    edges and the sources; a source reaches itself at 0.
+    level. Only words with a bit are rows, so a node has as many as its sources fill, and no pair of a source and a node
+    is ever a row. Nodes are those of the edges and the sources; a source reaches itself at 0.
     """
+    spark = edges.sparkSession
     step = cut(edges.select(F.col("src").alias("_from"), F.col("dst").alias("node")).where("_from <> node").distinct())
     ids = cut(placed(sources.select(F.col("src").alias("node")).where("node IS NOT NULL").distinct(), "_i", "node"))
-    words = (ids.count() + WORD - 1) // WORD
-    own = ids.select("node", F.expr(f"cast((_i - 1) div {WORD} as int)").alias("word"), F.expr(f"shiftleft(1L, cast((_i - 1) % {WORD} as int))").alias("bit"))
-    nodes = step.select("node").union(step.select(F.col("_from").alias("node"))).union(ids.select("node")).distinct()
-    state = nodes.withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(max(0, words - 1))))).join(own, ["node", "word"], "left")
-    at_zero = F.coalesce("bit", F.lit(0).cast("long"))
-    state = state.select("node", "word", at_zero.alias("seen"), at_zero.alias("new"), F.bit_count(at_zero).cast("long").alias("reached"), F.lit(0).cast("long").alias("total"), F.when(at_zero != 0, 0).alias("farthest"))
-    level = 0
+    bit, none = F.expr(f"shiftleft(1L, cast((_i - 1) % {WORD} as int))"), F.lit(0).cast("long")
+    state = ids.select("node", F.expr(f"(_i - 1) div {WORD}").alias("word"), bit.alias("seen"), bit.alias("new"), F.lit(1).cast("long").alias("reached"), none.alias("total"), F.lit(0).alias("farthest"))
+    level, last = 0, None
     while depth is None or level < depth:
-        for _ in range(STRIDE if depth is None else min(STRIDE, depth - level)):
-            level += 1
-            near = state.where("new <> 0").select(F.col("node").alias("_from"), "word", "new").join(step, "_from").groupBy("node", "word").agg(F.bit_or("new").alias("_near"))
-            fresh = F.coalesce(F.col("_near"), F.lit(0).cast("long")).bitwiseAND(F.bitwise_not("seen"))
-            n = F.bit_count("_new").cast("long")
-            state = state.drop("new").join(near, ["node", "word"], "left").withColumn("_new", fresh)
-            state = state.select("node", "word", F.col("seen").bitwiseOR(F.col("_new")).alias("seen"), F.col("_new").alias("new"), (F.col("reached") + n).alias("reached"), (F.col("total") + level * n).alias("total"), F.when(n > 0, level).otherwise(F.col("farthest")).alias("farthest"))
-        state = cut(state)
+        level += 1
+        near = state.where("new <> 0").select(F.col("node").alias("_from"), "word", "new").join(step, "_from")
+        near = near.select("node", "word", none.alias("seen"), F.col("new").alias("_near"), none.alias("reached"), none.alias("total"), F.lit(None).cast("int").alias("farthest"))
+        met = state.select("node", "word", "seen", none.alias("_near"), "reached", "total", "farthest").union(near)
+        met = met.groupBy("node", "word").agg(F.bit_or("seen").alias("seen"), F.bit_or("_near").alias("_near"), F.sum("reached").alias("reached"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+        met = met.withColumn("_new", F.col("_near").bitwiseAND(F.bitwise_not("seen")))
+        n = F.bit_count("_new").cast("long")
+        met = met.select("node", "word", F.col("seen").bitwiseOR(F.col("_new")).alias("seen"), F.col("_new").alias("new"), (F.col("reached") + n).alias("reached"), (F.col("total") + level * n).alias("total"), F.when(n > 0, level).otherwise(F.col("farthest")).alias("farthest"))
+        state, path = stored(met)
+        if last:
+            drop(spark, last)
+        last = path
+        release(spark)
         if state.where("new <> 0").isEmpty():
             break
-    return state.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+    per = state.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+    nodes = step.select("node").union(step.select(F.col("_from").alias("node"))).union(ids.select("node")).distinct()
+    return nodes.join(per, "node", "left").select("node", F.coalesce("reached", none).alias("reached"), F.coalesce("total", none).alias("total"), "farthest")
