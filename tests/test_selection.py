@@ -127,6 +127,20 @@ def test_flow_limits(spark):
     assert got == {"x": 7, "y": 8}
 
 
+def test_flow_over_classes_of_families(spark, monkeypatch):
+    """Of 300 families the solver sees only how many are alike; their caps bind, and nobody else could give more."""
+    monkeypatch.setattr(S, "MAX_CANDIDATES", 20)
+    rows = [(f"f{f}-{i}", f"f{f}", ["x", "y"] if i else ["x"]) for f in range(200) for i in range(1 + f % 2)] + [(f"g{f}-{i}", f"g{f}", ["y", "z"]) for f in range(100) for i in range(9)]
+    df = spark.createDataFrame(rows, "request string, family string, roles array<string>")
+    got = S.assign_roles(df, {"x": 250, "y": 170, "z": 180}, 4, "s").collect()
+    roles = {r[0]: r[2] for r in rows}
+    assert Counter(r.role for r in got) == {"x": 250, "y": 170, "z": 180} and len({r.request for r in got}) == len(got)
+    assert all(r.role in roles[r.request] and r.request.startswith(f"{r.family}-") for r in got)
+    assert max(Counter(r.family for r in got).values()) == 3
+    with pytest.raises(S.Shortage):
+        S.assign_roles(df, {"x": 250, "y": 170, "z": 181}, 4, "s")
+
+
 def test_window_picks():
     rows = [("w1", "r1", "f1", False), ("w2", "r1", "f1", True), ("w3", "r1", "f1", False), ("w4", "r2", "f2", False)]
     assert S.pick_windows(rows, 3, 1, 2, 3) == ["w2", "w1", "w4"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.ranking import first_rows, seeded
+from wayfold.operators.ranking import first_rows, placed, seeded
 from wayfold.sources.shared import cut
 
 MAX_CANDIDATES = 200_000
@@ -410,11 +410,13 @@ class Flow:
                 total += push
 
 
-def role_flow(groups: Iterable[tuple[str, frozenset[str], int]], quota: Mapping[str, int], family_cap: int, share: float = 0.75) -> list[tuple[str, frozenset[str], str, int]]:
+def role_flow(groups: Iterable[tuple[str, frozenset[str], int]], quota: Mapping[str, int], family_cap: int, share: float = 0.75, alike: Mapping[str, int] | None = None) -> list[tuple[str, frozenset[str], str, int]]:
     """(family, role set, role, number): how many requests of a family with one set of possible roles take each role.
 
-    Role quotas are met exactly, a request takes one role, a family at most floor(share * cap). A shortage raises.
+    Role quotas are met exactly, a request takes one role, a family at most floor(share * cap), or so many times that
+    as there are families that it stands for (alike). A shortage raises.
     """
+    alike = alike or {}
     groups = sorted(((f, roles & frozenset(quota), n) for f, roles, n in groups if roles & frozenset(quota)), key=lambda g: (g[0], sorted(g[1])))
     flow, edges = Flow(), {}
     for role, n in sorted(quota.items()):
@@ -424,7 +426,7 @@ def role_flow(groups: Iterable[tuple[str, frozenset[str], int]], quota: Mapping[
         for role in sorted(roles):
             edges[family, roles, role] = flow.add(("role", role), ("group", family, roles), n)
     for family in sorted({g[0] for g in groups}):
-        flow.add(("family", family), "sink", int(share * family_cap))
+        flow.add(("family", family), "sink", int(share * family_cap) * alike.get(family, 1))
     flow.node("source"), flow.node("sink")
     got = flow.solve("source", "sink")
     out = [(*key, flow.used(e)) for key, e in edges.items() if flow.used(e)]
@@ -437,33 +439,34 @@ def role_flow(groups: Iterable[tuple[str, frozenset[str], int]], quota: Mapping[
 def assign_roles(df: DataFrame, quota: Mapping[str, int], family_cap: int, seed: str, share: float = 0.75) -> DataFrame:
     """request, family, role of df (request, family, roles: array of possible ones; a request has one family).
 
-    The flow is solved over counts per family and role set; which requests of a group take a role is a seeded draw.
+    Families with equal counts per role set (up to what a family may give) are alike, and the flow is solved over classes of
+    them. Its requests, in the order of their sets, go to the families of a class in turn: so a family gives of each set, and
+    in all, its share rounded up at most, which it has. Which requests of a family and set take a role is a seeded draw.
     """
     rows = df.select("request", "family", F.array_sort("roles").alias("roles"))
     if not (clash := rows.groupBy("request").agg(F.count_distinct("family").alias("n")).where("n > 1").limit(3)).isEmpty():
         raise ValueError(f"requests of several families: {[r['request'] for r in clash.collect()]}")
-    rows = rows.dropDuplicates(["request"]).withColumn("_set", F.concat_ws("\x00", "roles"))
-    groups = candidates(rows.groupBy("family", "_set").agg(F.count(F.lit(1)).alias("n")), ["family", "_set", "n"])
-    named = {(g["family"], frozenset(g["_set"].split("\x00")) & frozenset(quota)): [] for g in groups}
-    counts: Counter = Counter()
-    for g in groups:
-        key = (g["family"], frozenset(g["_set"].split("\x00")) & frozenset(quota))
-        named[key].append(g)
-        counts[key] += g["n"]
-    parts = []
-    left = {(g["family"], g["_set"]): [0, g["n"]] for g in groups}
-    for family, roles, role, n in role_flow(((f, r, c) for (f, r), c in counts.items()), quota, family_cap, share):
-        for g in sorted(named[family, roles], key=lambda g: g["_set"]):
-            at = left[family, g["_set"]]
-            k = min(n, at[1] - at[0])
-            if k:
-                parts.append((family, g["_set"], role, at[0], at[0] + k))
-                at[0], n = at[0] + k, n - k
-    kind = dict(df.dtypes)["family"]
-    given = df.sparkSession.createDataFrame([(str(f), *rest) for f, *rest in parts], "family string, _set string, role string, _lo int, _hi int").withColumn("family", F.col("family").cast(kind))
+    possible = F.filter("roles", lambda r: r.isin(*quota) if quota else F.lit(False))
+    rows = rows.dropDuplicates(["request"]).select("request", "family", F.concat_ws("\x00", possible).alias("_set")).where("_set <> ''")
+    room = int(share * family_cap)
+    per = rows.groupBy("family", "_set").agg(F.least(F.count(F.lit(1)), F.lit(room)).alias("n"))
+    per = per.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("_set", "n"))).alias("_sets"))
+    ranked = cut(placed(per.withColumn("_class", F.to_json("_sets")), "_rank", "_class", "family"))
+    classes = ranked.groupBy("_class").agg(F.first("_sets").alias("_sets"), F.count(F.lit(1)).alias("m"), F.min("_rank").alias("_from"))
+    found = candidates(classes, ["_class", "_sets", "m", "_from"])
+    groups = [(c["_class"], _names(g["_set"]), g["n"] * c["m"]) for c in found for g in c["_sets"]]
+    of = {c["_class"]: (c["m"], c["_from"]) for c in found}
+    ends, parts, starts = Counter(), [], {}
+    for cls, roles, role, n in sorted(role_flow(groups, quota, family_cap, share, {c: m for c, (m, _) in of.items()}), key=lambda x: (x[0], sorted(x[1]), x[2])):
+        start = starts.setdefault((cls, roles), ends[cls])
+        parts.append((cls, "\x00".join(sorted(roles)), role, *of[cls], start, ends[cls], ends[cls] + n))
+        ends[cls] += n
+    given = df.sparkSession.createDataFrame(parts, "_class string, _set string, role string, _m long, _from long, _start long, _lo long, _hi long")
     place = F.row_number().over(Window.partitionBy("family", "_set").orderBy(seeded(seed, "request"), "request")) - 1
-    met = rows.withColumn("_place", place).join(given, ["family", "_set"])
-    return met.where((F.col("_place") >= F.col("_lo")) & (F.col("_place") < F.col("_hi"))).select("request", "family", "role")
+    met = rows.withColumn("_place", place).where(F.col("_place") < room)
+    met = met.join(ranked.select(F.col("family").alias("_family"), "_class", "_rank"), F.col("family").eqNullSafe(F.col("_family"))).join(given, ["_class", "_set"])
+    at = F.col("_start") + F.expr("pmod(_rank - _from - _start, _m)") + F.col("_place") * F.col("_m")
+    return met.where((at >= F.col("_lo")) & (at < F.col("_hi"))).select("request", "family", "role")
 
 
 def strongest_family(df: DataFrame, request: str, strength: str, family: str) -> DataFrame:
