@@ -140,6 +140,14 @@ def test_targets_equal_the_rule(spark, seed):
     assert S.select_targeted(table(spark, rows), near, *ask) == plain_targets(rows, windows, *ask)
 
 
+def test_targets_of_many_families(spark, monkeypatch):
+    """Families that cannot fill up, and rows beyond the budget, do not come to the solver."""
+    rows = crowd(20, 900) + [record(i, "hard", "old", f"g{i // 5}", 1, a=i % 7 == 0, c=True) for i in range(900, 1500)]
+    ask = ((24, 8), {"a": 5, "b": 8}, 8, 2, "many")
+    monkeypatch.setattr(S, "MAX_CANDIDATES", 100)
+    assert S.select_targeted(table(spark, rows), table(spark, []).selectExpr("id", "digest", "family", "id AS root", "1 AS place"), ((24, 0)), *ask[1:]) == plain_targets(rows, [], (24, 0), *ask[1:])
+
+
 def test_nothing_to_choose_from(spark):
     none = table(spark, [])
     with pytest.raises(S.Shortage):

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wayfold.operators.ranking import first_rows, placed, seeded
 from wayfold.sources.shared import cut
@@ -152,7 +153,7 @@ class _Taken:
 class Supply:
     """Numbers of all rows that may still be taken, by kind and flag set.
 
-    all_: (kind, flag set) -> rows of the whole table; by_family: the same for each family that may fill up.
+    all_: (kind, flag set) -> rows of the whole table; by_family: the same for each family that may fill up, others need none.
     """
 
     def __init__(self, all_: Mapping[tuple, int], by_family: Mapping[object, Mapping[tuple, int]]) -> None:
@@ -169,7 +170,8 @@ class Supply:
     def take(self, row, full: bool) -> None:
         key = (row["_kind"], _names(row["_set"]))
         self.all[key] -= 1
-        self.by_family[row["family"]][key] -= 1
+        if row["family"] in self.by_family:
+            self.by_family[row["family"]][key] -= 1
         if full:
             self.all.subtract(self.by_family.pop(row["family"]))
 
@@ -178,11 +180,12 @@ def _names(joined: str) -> frozenset[str]:
     return frozenset(joined.split("\x00")) - {""}
 
 
-def supply_of(df: DataFrame, few: DataFrame) -> Supply:
-    """Counts of df (_kind, _set, family); by family for the families of few, which are as many as few has rows at most."""
+def supply_of(df: DataFrame, few: DataFrame, cap: int) -> Supply:
+    """Counts of df (_kind, _set, family); by family for those with cap rows in few, which alone can fill up."""
     alike = ["_kind", "_set"]
     all_ = candidates(df.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")), [*alike, "n"])
-    near = df.join(few.select("family").distinct(), df["family"].eqNullSafe(few["family"]), "left_semi").groupBy("family", *alike).agg(F.count(F.lit(1)).alias("n"))
+    full = few.groupBy(F.col("family").alias("_f")).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= cap)
+    near = df.join(full, F.col("family").eqNullSafe(F.col("_f")), "left_semi").groupBy("family", *alike).agg(F.count(F.lit(1)).alias("n"))
     families: dict = {}
     for r in candidates(near, ["family", *alike, "n"]):
         families.setdefault(r["family"], {})[r["_kind"], _names(r["_set"])] = r["n"]
@@ -208,7 +211,7 @@ def select_mix(df: DataFrame, budgets: Mapping[str, int], mix: tuple[str, str, f
     named = df.where(F.col("class").isin(*budgets)).withColumns({"_kind": F.col("origin"), "_set": flag_set("flags", floors)})
     few = cut(prefix(named.drop("_set"), ["class", "origin"], order, n_hard + n_easy, "family", cap, floors).withColumns({"k": seeded(seed, "id"), "_set": flag_set("flags", floors)}))
     rows = candidates(few, _RECORD)
-    supply = supply_of(named.where(F.col("class") == hard), few.where(F.col("class") == hard)) if floors else None
+    supply = supply_of(named.where(F.col("class") == hard), few.where(F.col("class") == hard), cap) if floors else None
     rows.sort(key=lambda r: (-(r["margin"] or 0), r["k"], r["id"]))
     state, missing = _Taken(floors), {}
     for kind, target in budgets.items():
@@ -243,25 +246,26 @@ def select_targeted(df: DataFrame, windows: DataFrame, budgets: tuple[int, int],
     root_cap = cap * target // (target + n_windows) if n_windows else cap
     order = [seeded(seed, "id"), F.col("id")]
     named = df.withColumns({"_kind": F.lit(0), "_set": flag_set("flags", floors)})
-    covering = prefix(df, [], order, target, "family", root_cap, floors)
-    # of the turns over families: those that come first in the order, as many as the budget and full families can need
-    turns = first_rows(df, ["family"], order, root_cap)
-    first = turns.groupBy("family").agg(F.min(F.struct(seeded(seed, "id").alias("k"), F.col("id").alias("i"))).alias("_f")).orderBy("_f").limit(2 * target)
-    few = covering.unionByName(turns.join(first.select("family"), "family", "left_semi")).dropDuplicates(["id"])
-    few = cut(few.withColumns({"k": seeded(seed, "id"), "_kind": F.lit(0), "_set": flag_set("flags", floors)}))
-    rows = candidates(few, ["id", "digest", "family", "flags", "k", "_kind", "_set"])
-    rows.sort(key=lambda r: (r["k"], r["id"]))
     state = _Taken(floors)
     if floors:
-        state.cover(rows, supply_of(named, few), root_cap, lambda kind: True, target)
-    queues: dict[str, deque] = {}
-    for r in rows:
-        queues.setdefault(r["family"], deque()).append(r)
-    _in_turns(queues.values(), state, target, lambda r: state.free(r, root_cap), lambda q: True)
+        # a row that covers has a flag that is short, so no more rows cover than the floors ask for
+        some = named.where(F.col("_set") != "").drop("_kind", "_set")
+        few = prefix(some, [], order, min(target, sum(floors.values())), "family", root_cap, floors)
+        few = cut(few.withColumns({"k": seeded(seed, "id"), "_kind": F.lit(0), "_set": flag_set("flags", floors)}))
+        rows = candidates(few, ["id", "digest", "family", "flags", "k", "_kind", "_set"])
+        rows.sort(key=lambda r: (r["k"], r["id"]))
+        state.cover(rows, supply_of(named, few, root_cap), root_cap, lambda kind: True, target)
+    for r in _turns(df, state, target - len(state.chosen), root_cap, seed):
+        state.take(r)
+    if len(state.chosen) < target:
+        raise Shortage(f"{len(state.chosen)} rows for {target}")
     roots = state.chosen[:]
     wanted = df.sparkSession.createDataFrame([(i,) for i in roots], "root string")
     found = candidates(windows.join(F.broadcast(wanted), "root").withColumn("flags", F.lit(None).cast("map<string,boolean>")), ["id", "digest", "family", "root", "place", "flags"])  # wanted: as many as the budget
-    lists = {i: deque(sorted((w for w in found if w["root"] == i), key=lambda w: (w["place"], w["id"]))) for i in sorted(roots, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())}
+    of: dict[str, list] = {}
+    for w in found:
+        of.setdefault(w["root"], []).append(w)
+    lists = {i: deque(sorted(of.get(i, ()), key=lambda w: (w["place"], w["id"]))) for i in sorted(roots, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())}
     taken = Counter()
 
     def may(q) -> bool:
@@ -273,6 +277,21 @@ def select_targeted(df: DataFrame, windows: DataFrame, budgets: tuple[int, int],
     return roots, state.chosen[target:]
 
 
+def _turns(df: DataFrame, state: _Taken, count: int, cap: int, seed: str) -> list:
+    """The next count rows, one of each family in turn, families in the order of their first rows; at most cap of a family with those taken before."""
+    if count <= 0:
+        return []
+    spark, kind = df.sparkSession, df.schema["family"].dataType
+    taken = spark.createDataFrame([(i,) for i in state.chosen], "_id string")
+    had = spark.createDataFrame(list(state.families.items()), StructType([StructField("_f", kind), StructField("_n", LongType())]))
+    rows = df.select("id", "digest", "family", "flags", seeded(seed, "id").alias("k"))
+    first = F.min(F.struct("k", "id")).over(Window.partitionBy("family"))
+    left = rows.withColumn("_first", first).join(F.broadcast(taken), F.col("id") == F.col("_id"), "left_anti")  # taken, had: as many as the budget
+    left = left.withColumn("_turn", F.row_number().over(Window.partitionBy("family").orderBy("k", "id"))).join(F.broadcast(had), F.col("family").eqNullSafe(F.col("_f")), "left")
+    open_ = left.where(F.col("_turn") + F.coalesce("_n", F.lit(0)) <= cap)
+    return open_.orderBy("_turn", "_first").limit(count).select("id", "digest", "family", "flags").collect()
+
+
 def _in_turns(queues: Iterable[deque], state: _Taken, until: int, allowed, may) -> None:
     """One row of each queue in turn until so many are chosen; rows that are not allowed are dropped, queues that may not are skipped."""
     queues = [q for q in queues if q]
