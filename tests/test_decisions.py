@@ -1,12 +1,14 @@
 """Flag sets, roles, branch evidence and measures on decisions written out by hand."""
 
 import pytest
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from wayfold.functions import flags as G
 from wayfold.operators import decisions as D
 from wayfold.operators import metrics as M
 from wayfold.operators import trajectory as T
+from wayfold.plans import base
 from wayfold.schema import struct
 
 BASE = {
@@ -178,3 +180,14 @@ def test_search_evaluation(spark):
 )
 def test_resume_position(spark, args, want):
     assert tuple(spark.range(1).select(D.resume_position(*map(F.lit, args)).alias("x")).first().x) == want
+
+
+def test_events_are_dealt_out_by_their_number(spark, data):
+    """So many tasks as the rows ask for, whatever the session joins up, and the windows by the key keep them."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    rows = base.dealt(events, "user_id", 60)
+    parts = rows.rdd.getNumPartitions()
+    assert parts >= events.count() / 60 and base.dealt(events, "user_id").rdd.getNumPartitions() == events.rdd.getNumPartitions()
+    numbered = T.numbered(rows, "user_id", "ts", "event_id")
+    assert numbered.rdd.getNumPartitions() == parts and numbered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows_of(numbered) == rows_of(T.numbered(events, "user_id", "ts", "event_id"))

@@ -34,9 +34,22 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Rows of the event log that a task takes: its windows hold them once each, widened by the columns derived from them.
+TASK_ROWS = 100_000
+
+
+def dealt(events: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """events dealt out by key to as many tasks as their number asks for, which windows by key keep.
+
+    Left to itself Spark joins up partitions by their size before the derived columns, so tasks grow with the table.
+    """
+    parts = -(-events.count() // rows)
+    return events.repartition(max(parts, events.sparkSession.sparkContext.defaultParallelism), key) if parts > 1 else events
+
+
 def facts(t: Tables) -> DataFrame:
     """episode, turn, pos, lost, progress, frames, props: users are episodes, errors lost lives, purchases progress."""
-    rows = numbered(t("events"), "user_id", "ts", "event_id")
+    rows = numbered(dealt(t("events"), "user_id"), "user_id", "ts", "event_id")
     kind = F.col("event_type")
     return rows.select("episode", "turn", "event_id", kind.alias("pos"), (kind == "error").alias("lost"), (kind == "purchase").alias("progress"), F.round(F.col("value") * 100).cast("long").alias("frames"), F.get_json_object("props", "$.k").cast("long").alias("k"), "props")
 
