@@ -153,3 +153,10 @@ def test_nothing_to_choose_from(spark):
     with pytest.raises(S.Shortage):
         S.select_mix(none, {"hard": 3, "easy": 1}, ("old", "new", 0.5), {"a": 1}, 1, "s")
     assert S.select_mix(none, {"hard": 0, "easy": 0}, ("old", "new", 0.5), {}, 1, "s") == []
+
+
+def test_quota_does_not_read_the_events_again(spark, data):
+    """What is chosen is verified against the stored rows, not against the log once more for every measure."""
+    from wayfold.plans.base import QUERIES
+
+    assert not any("events.parquet" in f for f in QUERIES["quota_verified"](spark, data).inputFiles())

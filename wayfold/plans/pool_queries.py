@@ -16,7 +16,7 @@ from wayfold.plans.base import FACTS, WALK, Tables, facts, query, walked
 from wayfold.plans.rollups import split_of
 from wayfold.plans.trajectories import SUMMARY
 from wayfold.sources import files as S
-from wayfold.sources.shared import cut
+from wayfold.sources.shared import cut, stored
 from wayfold.streaming import folds as ST
 
 SPLIT = "CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') THEN 'development' ELSE 'train' END"
@@ -263,7 +263,8 @@ _BUDGET = "least(count(*) FILTER (label = 'click' AND split = 'train'), count(*)
 def quota_verified(t: Tables) -> DataFrame:
     """Clicks three to one with views, 60 to 40 over splits, a tenth of the scarcest; verified: rows, the floor, family caps, and that no larger margin was passed over."""
     cap = 6
-    rows = selection.one_per_digest(_cover_input(t), "cover").withColumn("flags", F.map_filter("flags", lambda k, v: k == "near"))
+    # read a dozen times below; it stays in the shared folder, since the result reads it
+    rows, _ = stored(selection.one_per_digest(_cover_input(t), "cover").withColumn("flags", F.map_filter("flags", lambda k, v: k == "near")))
     of = lambda c, *o: M.n((F.col("class") == c) & F.col("origin").isin(*o))
     n = rows.agg(F.least(of("click", "train"), of("click", "development"), of("view", "train", "development")).alias("least"), M.n((F.col("class") == "click") & G.flag(F.col("flags"), "near")).alias("near")).first()
     easy, floor = n["least"] // 10, n["near"] // 40
