@@ -251,6 +251,45 @@ def test_ngram_join_null_id_centre(spark):
     assert [r.component_id for r in got if r.doc_id is None] == [None] * 4
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_ngram_join_of_many_unlinked_variants(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+
+    def varied(words, share):  # runs of two words replaced by words of its own
+        out = list(words)
+        for at in rng.sample(range(0, len(out), 10), int(share * len(out) / 10)):
+            out[at : at + 2] = [f"v{rng.random()}", f"v{rng.random()}"]
+        return out
+
+    texts = [varied(base, 0.15) for _ in range(160)]
+    texts += [varied(t, 0.1) for t in texts[:40:4]]
+    texts += [texts[160][:200] + t[200:] for t in texts[1:40:4]]
+    docs = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    made = []
+    cut = ngram_join.cut
+
+    def counted(d):
+        out = cut(d)
+        if out.columns == ["x", "y"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(df, 5, 80, 100).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if (both := len(sets[i] & sets[j])) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert got == dict(enumerate(root)) and 100 < len(set(root)) < len(sets)
+    assert max(made) <= 20 * len(docs)  # 10,041 when pairs that the wide sketches tell apart were rows
+
+
 def test_near_dups_keep_one_of_each_group(spark):
     base = " ".join(words(random.Random(9), 200))
     rows = [(5, base), (7, base + " x"), (9, None), (10, ""), (11, "short text"), (11, "short text"), (None, base)]

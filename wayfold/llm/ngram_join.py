@@ -25,7 +25,9 @@ A document is its set of distinct k-word shingles (64-bit hashes). Two documents
    comparison or a few for each member, not for each pair, and no link between components is lost.
 6. A comparison first asks sizes and 256-bit parity sketches of the whole sets, whose
    Hamming distance is at most the symmetric difference, between components also 4096-bit
-   ones, then the sets themselves.
+   ones, then the sets themselves. Between components the sketches meet in blocks of BLOCK
+   classes, so a pair that they tell apart is never a row; looking at them stays quadratic in
+   the open classes of a key.
 
 Edge cases: a null or empty text has no shingles, links with nothing and is its own
 component; with fewer than k words the whole sequence is the one shingle; repeated rows
@@ -333,6 +335,8 @@ def _compared(bands: Bands):
 
 #: Bits of the wide sketch; a few thousand differing shingles still tell in it.
 WIDE = 4096
+#: So many classes of a key, about, are held against as many others in one place.
+BLOCK = 512
 
 
 def _wide_rows(k: int):
@@ -355,15 +359,83 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
 
 
-def _sifted(pairs: DataFrame, classes: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (x, y) whose wide parity sketches allow a link; a sketch is 512 bytes, a text is some thousands."""
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes.select("cls", "n", F.col("rep").alias("doc_id")), "cls")
-    wide = _texts_of(asked.select("doc_id", "cls"), docs).select("cls", "text").mapInArrow(_wide_rows(bands.k), "cls long, wide array<long>")
-    wide = cut(wide.dropDuplicates(["cls"]).join(asked.select("cls", "n"), "cls"))
-    x, y = (wide.select(F.col("cls").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
-    bits = F.aggregate(F.zip_with("wx", "wy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
-    both = pairs.join(x, "x").join(y, "y")
-    return cut(both.where(bits * (bands.den + bands.num) <= (F.col("nx") + F.col("ny")) * (bands.den - bands.num)).select("x", "y"))
+MET = "key long, i int, j int, part int, cls long, comp long, n long, s0 long, s1 long, s2 long, s3 long"
+
+
+def _near(bands: Bands, wide: bool):
+    """Classes of different components whose sizes and sketches allow a link, from rows MET sorted by (key, i, j).
+
+    Rows of part i meet those of part j, or one another where i is j; some 2 BLOCK rows are held. By the narrow sketches alone
+    the rows that have a partner are told; with a column wide, the pairs x, y.
+    """
+    gap, both = bands.den - bands.num, bands.den + bands.num
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def met(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j, part, _, comp, n = rows[:7]
+        a, b = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
+        most, least = np.maximum(n[a][:, None], n[b]), np.minimum(n[a][:, None], n[b])
+        x, y = np.nonzero((comp[a][:, None] != comp[b]) & (least * bands.den >= most * bands.num))
+        x, y = a[x], b[y]
+        for sketch in (np.stack(rows[7:11], 1), *rows[11:]):
+            passed = [np.zeros(0, bool)]
+            for at in range(0, len(x), 1 << 14):
+                p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                bits = np.bitwise_count((sketch[p] ^ sketch[q]).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers it counts the absolute value
+                passed.append(bits * both <= (n[p] + n[q]) * gap)
+            ok = np.concatenate(passed)
+            x, y = x[ok], y[ok]
+        return x, y
+
+    def out(groups: list[list[np.ndarray]]) -> pa.RecordBatch:
+        if wide:
+            pairs = [np.sort(np.stack([rows[4][k] for k in met(rows)], 1), 1) for rows in groups]
+            every = np.unique(np.concatenate(pairs), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
+        some = [[r[at] for r in rows] for rows in groups for at in [np.unique(np.concatenate(met(rows)))]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*some, strict=True)], names=names)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last (key, i, j), which may go on
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(column(batch, c)) for c in names]
+            if wide:
+                rows.append(np.asarray(column(batch, "wide").flatten()).reshape(-1, WIDE // 64))
+            if held is not None:
+                rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
+            new = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+            at = np.concatenate(([0], np.flatnonzero(new) + 1))
+            if len(at) > 1:
+                yield out([[r[p:q] for r in rows] for p, q in zip(at[:-1], at[1:], strict=True)])
+            held = [r[at[-1] :] for r in rows]
+        if held is not None:
+            yield out([held])
+
+    return run
+
+
+def _across(open_: DataFrame, classes: DataFrame, docs: DataFrame, bands: Bands) -> DataFrame:
+    """x, y of classes of different components in one key (rows key, cls, comp) whose sizes and sketches allow a link, cut.
+
+    A key's classes are dealt into parts of some BLOCK, each two of which meet in one place: a row goes there
+    once for every BLOCK classes of its key. Rows without a partner by the narrow sketches go before the wide ones are asked.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = open_.groupBy("key").agg(F.expr(f"cast(1 + (count(1) - 1) div {BLOCK} as int)").alias("many"))
+    dealt = open_.join(many, "key").withColumn("part", F.expr("cast(pmod(xxhash64(cls), many) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "comp")
+    rows = dealt.join(classes, "cls").select(*[c.split()[0] for c in MET.split(", ")])
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    some = cut(placed(rows).mapInArrow(_near(bands, False), MET))
+    asked = some.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls")
+    wide = _texts_of(asked, docs).select("cls", "text").mapInArrow(_wide_rows(bands.k), "cls long, wide array<long>").dropDuplicates(["cls"])
+    return cut(placed(some.join(cut(wide), "cls")).mapInArrow(_near(bands, True), "x long, y long").distinct())
 
 
 def _plausible(bands: Bands) -> Column:
@@ -462,11 +534,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, vertex: str) -> tuple[D
         found = components(by_vertex(links))
         open_ = open_.drop("comp")
     if "comp" in open_.columns:
-        ends_ = open_.join(classes, "cls")
-        a, b = ends_.alias("a"), ends_.alias("b")
-        across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _plausible(bands))
-        across = cut(across.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
-        across = across if across.isEmpty() else _sifted(across, classes, docs, bands)
+        across = cut(_across(open_.select("key", "cls", "comp"), classes, docs, bands).join(tried, ["x", "y"], "left_anti"))
         if not across.isEmpty():
             links = links.union(_verified(across, classes, docs, bands))
             found = components(by_vertex(links))
