@@ -251,7 +251,7 @@ def test_ngram_join_null_id_centre(spark):
     assert [r.component_id for r in got if r.doc_id is None] == [None] * 4
 
 
-@pytest.mark.parametrize("block", [512, 7])
+@pytest.mark.parametrize("block", [2048, 7])
 def test_ngram_join_of_many_unlinked_variants(spark, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block, raising=False)
     rng = random.Random(5)

@@ -336,7 +336,7 @@ def _compared(bands: Bands):
 #: Bits of the wide sketch; a few thousand differing shingles still tell in it.
 WIDE = 4096
 #: So many classes of a key, about, are held against as many others in one place.
-BLOCK = 512
+BLOCK = 2048
 
 
 def _wide_rows(k: int):
@@ -374,18 +374,23 @@ def _near(bands: Bands, wide: bool):
     def met(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         _, i, j, part, _, comp, n = rows[:7]
         a, b = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
-        most, least = np.maximum(n[a][:, None], n[b]), np.minimum(n[a][:, None], n[b])
-        x, y = np.nonzero((comp[a][:, None] != comp[b]) & (least * bands.den >= most * bands.num))
-        x, y = a[x], b[y]
-        for sketch in (np.stack(rows[7:11], 1), *rows[11:]):
-            passed = [np.zeros(0, bool)]
-            for at in range(0, len(x), 1 << 14):
-                p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                bits = np.bitwise_count((sketch[p] ^ sketch[q]).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers it counts the absolute value
-                passed.append(bits * both <= (n[p] + n[q]) * gap)
-            ok = np.concatenate(passed)
-            x, y = x[ok], y[ok]
-        return x, y
+        sketches = (np.stack(rows[7:11], 1), *rows[11:])
+        found = [(a[:0], b[:0])]
+        for start in range(0, len(a), 128):
+            c = a[start : start + 128]
+            most, least = np.maximum(n[c][:, None], n[b]), np.minimum(n[c][:, None], n[b])
+            x, y = np.nonzero((comp[c][:, None] != comp[b]) & (least * bands.den >= most * bands.num))
+            x, y = c[x], b[y]
+            for sketch in sketches:
+                passed = [np.zeros(0, bool)]
+                for at in range(0, len(x), 1 << 14):
+                    p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                    bits = np.bitwise_count((sketch[p] ^ sketch[q]).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers it counts the absolute value
+                    passed.append(bits * both <= (n[p] + n[q]) * gap)
+                ok = np.concatenate(passed)
+                x, y = x[ok], y[ok]
+            found.append((x, y))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def out(groups: list[list[np.ndarray]]) -> pa.RecordBatch:
         if wide:
