@@ -86,3 +86,33 @@ def test_first_of_a_key_within_its_time(spark, tmp_path, ttl, again):
         assert sorted(found[2:]) == again
     finally:
         q.stop()
+
+
+def test_an_episode_takes_few_calls_for_state():
+    """Each is a turn over a socket: however many lives and cycles a batch has, its state is read once and written once."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def __getattr__(self, call):
+            def f(*args):
+                calls.append(f"{self.name}.{call}")
+                if call == "update":
+                    self.held = args[0]
+                return self.held if call == "get" else iter(())
+
+            return f
+
+    class Handle:
+        def __getattr__(self, call):
+            return lambda name, *schemas: State(name)
+
+    fold = E.EpisodeFold()
+    fold.init(Handle())
+    row = lambda turn: E.Row(episode=1, turn=turn, step=",".join(map(str, [int(turn % 3 == 2), 0, 4, turn % 2, 1, 1, turn, "", *[1] * len(E.ADDS)])))
+    for part in (range(0, 300), range(300, 600)):
+        (out,) = fold.handleInputRows((1,), iter([row(t) for t in part]), None)
+    assert out.next_turn == 600 and out.score == 599 and out.pellets_left is None and len(out.per_life) == 200 and {v["decisions"] for _, v in out.per_life} == {3}
+    assert calls == ["fold.get", "fold.update"] * 2

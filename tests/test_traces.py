@@ -4,8 +4,11 @@ import json
 import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfold.sources import traces
 
@@ -126,3 +129,27 @@ def test_stream_refuses_replacement(spark, tmp_path):
         r.partitions({"receipt": -1}, r.latestOffset())
     with pytest.raises(ValueError, match="needs a name"):
         traces.TraceSource({"path": str(tmp_path)}).streamWriter(rows(spark, 1).schema, False)
+
+
+def test_columns_are_what_single_values_are(spark):
+    """Nested values, nulls on every level, slices and misfits: columns as _to_json and _fit have them, one value at a time."""
+    kind = T.StructType.fromDDL("a array<map<string,struct<x:int,y:array<double>>>>, m map<int,string>, d decimal(5,2), s struct<t:date,e:map<string,bigint>>, f float")
+    plain = [
+        {"a": [{"k": {"x": 1, "y": [0.5, None]}, "l": None}, None, {}], "m": {"3": "c"}, "d": "1.25", "s": {"t": "2024-01-02", "e": {}}, "f": 2.0},
+        {"a": None, "m": None, "d": None, "s": None, "f": None},
+        {"a": [], "m": {}, "d": "7.00", "s": {"t": None, "e": {"q": None}}, "f": 3},
+        {},
+    ]
+    fields = [f for f in kind if f.name != "m"]  # JSON has no numbers as keys
+    for f in fields:
+        to = to_arrow_type(f.dataType)
+        values = [v.get(f.name) for v in plain]
+        column = traces._column(values, f.dataType, to)
+        assert column.equals(pa.array([traces._fit(v, f.dataType) for v in values], to)) and column.validate(full=True) is None
+        back = traces._values(column, f.dataType)
+        assert back == values and traces._values(column[1:3], f.dataType) == values[1:3]
+    assert traces._values(pa.array([[(3, "c")], None, []], to_arrow_type(kind["m"].dataType)), kind["m"].dataType) == [{"3": "c"}, None, {}]
+    for ddl, bad in (("v bigint", True), ("v array<int>", ["1"]), ("v map<string,int>", [1]), ("v struct<a:string>", {"a": 1}), ("v double", "1"), ("v boolean", 1)):
+        f = T.StructType.fromDDL(ddl)[0]
+        with pytest.raises(ValueError, match="is no"):
+            traces._column([None, bad], f.dataType, to_arrow_type(f.dataType))

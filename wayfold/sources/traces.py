@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import itertools
 import json
 import math
 import os
@@ -27,14 +28,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, MapType, StringType, StructType, TimestampNTZType, TimestampType
 
 #: Bytes of a part that one task reads.
 SPLIT_BYTES = 32 << 20
 #: Rows that the reader passes on at once.
 ROWS = 4096
+_encode = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -138,6 +141,60 @@ def _fit(v, kind: DataType):
     raise ValueError(f"{v!r} is no {kind.simpleString()}")
 
 
+#: Types whose values JSON has as they are, with the only Python types that they are read from.
+_PLAIN = ((StringType, {str}), (BooleanType, {bool}), (IntegralType, {int}), ((DoubleType, FloatType), {float}))
+
+
+def _plain(kind: DataType) -> set | None:
+    return next((found for t, found in _PLAIN if isinstance(kind, t)), None)
+
+
+def _column(values: list, kind: DataType, to: pa.DataType) -> pa.Array:
+    """_fit of all values of a column, as one array: nested values level by level, so that what is plain is looked at once a column."""
+    if plain := _plain(kind):
+        if {*map(type, values)} <= plain | {type(None)}:
+            return pa.array(values, to)
+    elif isinstance(kind, (StructType, MapType, ArrayType)):
+        holder = list if isinstance(kind, ArrayType) else dict
+        if {*map(type, values)} <= {holder, type(None)}:
+            gone = pa.array([v is None for v in values], pa.bool_())
+            if isinstance(kind, StructType):
+                held = [v or {} for v in values]
+                parts = [_column([v.get(f.name) for v in held], f.dataType, to[i].type) for i, f in enumerate(kind)]
+                return pa.StructArray.from_arrays(parts, fields=list(to), mask=gone) if parts else pa.array(values, to)
+            ends = [0, *itertools.accumulate(len(v) if v else 0 for v in values)]
+            if isinstance(kind, ArrayType):
+                inner = _column([x for v in values if v for x in v], kind.elementType, to.value_type)
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=to, mask=gone)
+            keys = _column([k for v in values if v for k in v], kind.keyType, to.key_type)
+            inner = _column([x for v in values if v for x in v.values()], kind.valueType, to.item_type)
+            return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), keys, inner, type=to, mask=gone)
+    return pa.array([_fit(v, kind) for v in values], to)
+
+
+def _values(column: pa.Array, kind: DataType) -> list:
+    """_to_json of all values of a column, nested values level by level."""
+    if isinstance(kind, (DoubleType, FloatType)) and not pc.all(pc.is_finite(column)).as_py() and len(column) > column.null_count:
+        raise ValueError("a trace holds finite numbers only")
+    if _plain(kind):
+        return column.to_pylist()
+    if isinstance(kind, (StructType, MapType, ArrayType)):
+        there = column.is_valid().to_pylist()
+        if isinstance(kind, StructType):
+            parts = [_values(c, f.dataType) for c, f in zip(column.flatten(), kind, strict=True)]
+            held = [dict(zip(kind.names, v, strict=True)) for v in zip(*parts, strict=True)] if parts else [{} for _ in there]
+        else:
+            ends = column.offsets.to_pylist()
+            if isinstance(kind, ArrayType):
+                inner = _values(column.values, kind.elementType)
+                held = [inner[a:b] for a, b in itertools.pairwise(ends)]
+            else:
+                pairs = [*zip(map(str, column.keys.to_pylist()), _values(column.items, kind.valueType), strict=True)]
+                held = [dict(pairs[a:b]) for a, b in itertools.pairwise(ends)]
+        return [v if ok else None for v, ok in zip(held, there, strict=True)]
+    return [_to_json(v) for v in column.to_pylist()]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     parts: list[dict] = field(default_factory=list)
@@ -150,12 +207,15 @@ class _Parts:
         self.path, self.names, self.overwrite = path, schema.names, overwrite
 
     def write(self, rows: Iterator) -> Written:
+        return self.put(({k: _to_json(v) for k, v in zip(self.names, row, strict=True)} for row in rows))
+
+    def put(self, rows: Iterator[dict]) -> Written:
         store, base = _open(self.path)
         store.create_dir(f"{base}/parts")
         name, digest, n, size = f"{uuid.uuid4().hex}.jsonl", hashlib.sha256(), 0, 0
         with store.open_output_stream(f"{base}/parts/{name}") as out:
             for row in rows:
-                line = (json.dumps({k: _to_json(v) for k, v in zip(self.names, row, strict=True)}, ensure_ascii=False) + "\n").encode()
+                line = (_encode(row) + "\n").encode()
                 digest.update(line)
                 out.write(line)
                 n, size = n + 1, size + len(line)
@@ -182,6 +242,17 @@ class TraceWriter(_Parts, DataSourceWriter):
         self.remove(messages)
 
 
+class TraceArrowWriter(TraceWriter, DataSourceArrowWriter):
+    """The same from Arrow batches, which are turned column by column."""
+
+    def __init__(self, path: str, schema: StructType, overwrite: bool = False) -> None:
+        super().__init__(path, schema, overwrite)
+        self.schema = schema
+
+    def write(self, rows: Iterator[pa.RecordBatch]) -> Written:
+        return self.put(row for batch in rows for row in _values(batch.to_struct_array(), self.schema))
+
+
 class TraceStreamWriter(_Parts, DataSourceStreamWriter):
     def __init__(self, path: str, schema: StructType, stream: str) -> None:
         super().__init__(path, schema)
@@ -226,11 +297,11 @@ class _Reading:
 
         wanted = to_arrow_schema(self.schema)
         store, base = _open(self.path)
-        rows: list[list] = []
+        rows: list[dict] = []
         n, digest = 0, hashlib.sha256()
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(wanted)], schema=wanted)
+            return pa.RecordBatch.from_arrays([_column([r.get(f.name) for r in rows], f.dataType, to.type) for f, to in zip(self.schema, wanted, strict=True)], schema=wanted)
 
         with store.open_input_file(f"{base}/parts/{piece.part}") as raw:
             at = max(0, piece.start - 1)
@@ -243,8 +314,7 @@ class _Reading:
                     break
                 at += len(line)
                 digest.update(line)
-                value = json.loads(line)
-                rows.append([_fit(value.get(f.name), f.dataType) for f in self.schema])
+                rows.append(json.loads(line))
                 n += 1
                 if len(rows) == ROWS:
                     yield batch()
@@ -315,8 +385,8 @@ class TraceSource(DataSource):
     def streamReader(self, schema: StructType) -> TraceStreamReader:  # noqa: N802
         return TraceStreamReader(*self._reading(schema))
 
-    def writer(self, schema: StructType, overwrite: bool) -> TraceWriter:
-        return TraceWriter(self.options["path"], schema, overwrite)
+    def writer(self, schema: StructType, overwrite: bool) -> TraceArrowWriter:
+        return TraceArrowWriter(self.options["path"], schema, overwrite)
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> TraceStreamWriter:  # noqa: N802
         if not self.options.get("stream"):

@@ -1,4 +1,4 @@
-"""The episode fold as rows arrive: value, list and map state on the RocksDB store, timers and time to live.
+"""The episode fold as rows arrive: value and map state on the RocksDB store, timers and time to live.
 
 What a row tells alone is made by column expressions before the fold, as one array of numbers to add up
 (ADDS, of decisions.LOG); what depends on the rows before is the processor's: lives, dry spells, cycles and streaks, as
@@ -89,51 +89,52 @@ ADDS = (
 ).split()
 _PELLETS = ADDS.index("pellets_collected")
 
-#: A row as the processor takes it, and what it keeps and gives.
-STEP = "turn long, lost boolean, progress boolean, frames long, place long, level long, seed long, score long, pellets_left long, adds array<bigint>"
+#: The numbers of a row before its ADDS. The processor takes all of them as one text, since every cell of a row is turned by itself on its way to Python.
+STEP = "lost progress frames place level seed score pellets_left".split()
+#: What the processor keeps and gives.
 _SCALARS = "next_turn long, life long, dry long, dry_frames long, longest_dry long, longest_dry_frames long, streak long, longest_streak long, loop_decisions long, level long, seed long, score long, pellets_left long, last_lost boolean"
+_STATE = f"{_SCALARS}, adds array<bigint>, recent array<bigint>, lives array<struct<life:bigint,decisions:bigint,pellets:bigint,lost:boolean>>, periods array<struct<period:bigint,times:bigint>>, waiting long"
 FOLD = f"episode long, {_SCALARS}, adds array<bigint>, per_life map<string,struct<decisions:bigint,pellets_collected:bigint,life_lost:boolean>>, loop_periods map<bigint,bigint>, waiting long"
 
 
 def steps(decisions: DataFrame) -> DataFrame:
-    """episode and STEP of rows with the observed columns of decisions.LOG (no sequence columns are needed)."""
+    """episode, turn and step (STEP and ADDS, empty where null) of rows with the observed columns of decisions.LOG (no sequence columns are needed)."""
     numbers = adds()
-    each = F.array(*[F.coalesce(numbers[k].cast("long"), F.lit(0).cast("long")) for k in ADDS])
-    lost = F.coalesce(F.col("outcome") == "life_lost", F.lit(False))
-    place = (F.col("row") * 1000 + F.col("column")).cast("long")
-    return decisions.select(
-        F.col("episode").cast("long").alias("episode"), F.col("turn").cast("long").alias("turn"), lost.alias("lost"), (D.collected() > 0).alias("progress"), F.col("action_frames").cast("long").alias("frames"), place.alias("place"),
-        F.col("level").cast("long").alias("level"), F.col("seed").cast("long").alias("seed"), F.col("score_after").cast("long").alias("score"), F.col("pellets_after").cast("long").alias("pellets_left"), each.alias("adds"),
-    )
+    own = {
+        "lost": F.coalesce(F.col("outcome") == "life_lost", F.lit(False)), "progress": D.collected() > 0, "frames": F.col("action_frames"), "place": F.col("row") * 1000 + F.col("column"),
+        "level": F.col("level"), "seed": F.col("seed"), "score": F.col("score_after"), "pellets_left": F.col("pellets_after"),
+    }
+    texts = [*[F.coalesce(own[k].cast("long").cast("string"), F.lit("")) for k in STEP], *[F.coalesce(numbers[k].cast("long"), F.lit(0)).cast("string") for k in ADDS]]
+    return decisions.select(F.col("episode").cast("long").alias("episode"), F.col("turn").cast("long").alias("turn"), F.concat_ws(",", *texts).alias("step"))
 
 
 class EpisodeFold(StatefulProcessor):
-    """One key is an episode. State is read once a batch, folded row by row in memory, and written once."""
+    """One key is an episode. State is read once a batch, folded row by row in memory, and written once.
+
+    Every call for state is a turn over a socket, so what a batch gives out again as a whole is one value; only rows that wait are a map.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fold = handle.getValueState("fold", f"{_SCALARS}, adds array<bigint>")
-        self.recent = handle.getListState("recent", "place long")
-        self.lives = handle.getMapState("lives", "life long", "decisions long, pellets long, lost boolean")
-        self.periods = handle.getMapState("periods", "period long", "times long")
-        self.early = handle.getMapState("early", "turn long", STEP.replace("turn long, ", "", 1))
+        self.fold = handle.getValueState("fold", _STATE)
+        self.early = handle.getMapState("early", "turn long", "step string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        held = self.fold.get() if self.fold.exists() else None
+        held = self.fold.get()
         s = dict(zip((c.split()[0] for c in _SCALARS.split(", ")), held)) if held else dict(next_turn=0, life=0, dry=0, dry_frames=0, longest_dry=0, longest_dry_frames=0, streak=0, longest_streak=0, loop_decisions=0, level=None, seed=None, score=None, pellets_left=None, last_lost=None)
-        sums = list(held[-1]) if held else [0] * len(ADDS)
-        recent = [p[0] for p in self.recent.get()] if self.recent.exists() else []
-        lives: dict[int, tuple] = {}
-        periods: dict[int, int] = {}
-        new = {r.turn: tuple(r)[2:] for r in rows if r.turn >= s["next_turn"]}  # without episode and turn
-        known = {k[0]: tuple(v) for k, v in self.early.iterator()} if self.early.exists() else {}
+        sums, recent, lives, periods, waiting = ([*map(list, held[-5:-1]), held[-1]]) if held else ([0] * len(ADDS), [], [], [], 0)
+        lives = {life: rest for life, *rest in lives}
+        periods = dict(map(tuple, periods))
+        new = {turn: step for _, turn, step in rows if turn >= s["next_turn"]}
+        known = {k[0]: v[0] for k, v in self.early.iterator()} if waiting else {}
         ready = known | new
         while s["next_turn"] in ready:
             turn = s["next_turn"]
-            lost, progress, frames, place, level, seed, score, left, numbers = ready.pop(turn)
+            lost, progress, frames, place, level, seed, score, left, *numbers = [int(x) if x else None for x in ready.pop(turn).split(",")]
+            lost = lost == 1
             if turn in known:
                 self.early.removeKey((turn,))
             now = s["life"]
-            life = lives.get(now) or (tuple(self.lives.getValue((now,))) if self.lives.containsKey((now,)) else (0, 0, False))
+            life = lives.get(now) or (0, 0, False)
             lives[now] = (life[0] + 1, life[1] + numbers[_PELLETS], life[2] or lost)
             sums = [a + b for a, b in zip(sums, numbers, strict=True)]
             period = None
@@ -154,20 +155,13 @@ class EpisodeFold(StatefulProcessor):
             if lost:  # the next row begins a new life, with a spell of its own
                 s |= {"life": now + 1, "dry": 0, "dry_frames": 0}
                 recent = []
-        for turn, row in ready.items():
+        for turn, step in ready.items():
             if turn not in known:
-                self.early.updateValue((turn,), row)
-        for k, v in lives.items():
-            self.lives.updateValue((k,), v)
-        for k, v in periods.items():
-            before = self.periods.getValue((k,))[0] if self.periods.containsKey((k,)) else 0
-            self.periods.updateValue((k,), (before + v,))
-        self.recent.put([(p,) for p in recent]) if recent else self.recent.clear()
-        self.fold.update((*s.values(), sums))
+                self.early.updateValue((turn,), (step,))
+        self.fold.update((*s.values(), sums, recent, [(k, *v) for k, v in lives.items()], list(periods.items()), len(ready)))
         # maps go out as lists of pairs
-        per_life = [(str(k[0]), dict(zip(("decisions", "pellets_collected", "life_lost"), v, strict=True))) for k, v in self.lives.iterator()] if self.lives.exists() else []
-        loops = [(k[0], v[0]) for k, v in self.periods.iterator()] if self.periods.exists() else []
-        yield Row(episode=key[0], **s, adds=sums, per_life=per_life, loop_periods=loops, waiting=len(ready))
+        per_life = [(str(k), dict(zip(("decisions", "pellets_collected", "life_lost"), v, strict=True))) for k, v in lives.items()]
+        yield Row(episode=key[0], **s, adds=sums, per_life=per_life, loop_periods=list(periods.items()), waiting=len(ready))
 
     def close(self) -> None:
         """Nothing is held outside the state."""
