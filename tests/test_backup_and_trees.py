@@ -121,6 +121,18 @@ def test_tree_equals_the_plain_one(spark):
     assert merkle.root(merkle.tree(df, "key", 16)) == merkle.root(merkle.tree(df.orderBy("text"), "key", 16))
 
 
+def test_rows_reach_their_leaves_by_one_exchange(spark, monkeypatch):
+    """Leaves beyond WIDE are placed by ranges, the others by one exchange of keys and 32 bytes; both give the plain tree."""
+    df = table(spark, [(i % 40 if i % 3 else 5, f"t{i}") for i in range(900)])
+    plan = merkle.leaves(df, "key", 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Scan ExistingRDD[leaf" not in plan
+    hashed = [(r["key"], hashlib.sha256(r["t"].encode()).hexdigest()) for r in df.select("key", row_text(df).alias("t")).collect()]
+    for wide in (10_000, 300, 1):
+        monkeypatch.setattr(merkle, "WIDE", wide)
+        got = {(r["level"], r["node"]): (r["rows"], r["digest"]) for r in merkle.tree(df, "key", 16).collect()}
+        assert got == plain_tree(hashed, 16, merkle.FAN)
+
+
 def test_changed_ranges_and_revalidation(spark):
     rows = [(i, f"t{i}") for i in range(2000)] + [(None, "n")]
     a = table(spark, rows)

@@ -2,8 +2,9 @@
 
 Rows are ordered by an integer key (ties by their own digest) and cut into leaves of `width` keys each, so a
 leaf is the same range in every version of a table. Inside a leaf the rows' digests are folded FAN by FAN, level by level, to
-one; then leaves are folded FAN by FAN by their number. A task only ever holds FAN digests of a node, also where
-one leaf holds a third of all rows: rows get their places by ranges of the whole order (ranking.placed), not by a window over a leaf.
+one; then leaves are folded FAN by FAN by their number. A task only ever holds FAN digests of a node. Rows get
+their places by a window over a leaf, where it has at most WIDE rows; those of larger leaves (one may hold a third of all rows) by ranges of
+their whole order (ranking.placed).
 
     tree(df, key, width)      level, node, rows, digest: level 0 are leaves, level HEIGHT has the root alone
     changed(a, b)             lo, hi, side of the leaves that differ, found from the root down
@@ -17,7 +18,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.ranking import placed
@@ -28,6 +29,8 @@ from wayfold.sources.shared import cut
 FAN = 64
 #: Levels above the leaves, the same for all tables so that trees of growing tables compare: 64 ** 5 leaves.
 HEIGHT = 5
+#: Rows of a leaf beyond which it is dealt out over tasks, and rows that a task orders.
+WIDE, TASK_ROWS = 1 << 18, 1_000_000
 NODE = "level int, node long, rows long, digest string"
 
 
@@ -44,14 +47,33 @@ def _fold(nodes: DataFrame, by: Sequence[str], place: str) -> DataFrame:
     return nodes.groupBy(*by, parent.alias("_up")).agg(F.sum("rows").alias("rows"), F.sha2(text, 256).alias("digest")).withColumnRenamed("_up", place)
 
 
+def _numbered(rows: DataFrame, count: int) -> DataFrame:
+    """at: a row's place in its leaf, from 0, by one exchange of keys and digests."""
+    parts = max(-(-count // TASK_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = Window.partitionBy("leaf").orderBy("key", "digest")
+    return rows.repartition(parts, "leaf").withColumn("at", F.row_number().over(order).cast("long") - 1)
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """The same where a leaf can be more than a task holds: its rows are placed by ranges."""
+    rows = cut(placed(rows, "place", "leaf", "key", "digest"))
+    first = rows.groupBy("leaf").agg(F.min("place").alias("_first"))
+    return rows.join(first, "leaf").select("leaf", "key", "digest", (F.col("place") - F.col("_first")).alias("at"))
+
+
 def leaves(df: DataFrame, key: str, width: int) -> DataFrame:
     """leaf, rows, digest for every leaf with rows; leaf = key div width (rounded down; a null key is before all)."""
     number = F.coalesce(F.floor(F.col(key) / width).cast("long"), F.lit(-(1 << 62)))
-    rows = df.select(number.alias("leaf"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("key"), F.sha2(row_text(df), 256).alias("digest"))
-    rows = cut(placed(rows, "place", "leaf", "key", "digest"))
-    first = rows.groupBy("leaf").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    largest = first.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
-    nodes = rows.join(first, "leaf").select("leaf", (F.col("place") - F.col("_first")).alias("at"), F.lit(1).cast("long").alias("rows"), "digest")
+    # 32 bytes until they are folded: their order is that of the hexadecimal text
+    rows = df.select(number.alias("leaf"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("key"), F.unhex(F.sha2(row_text(df), 256)).alias("digest"))
+    per = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"))
+    count, largest = per.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if largest <= WIDE:
+        nodes = _numbered(rows, count)
+    else:
+        wide = cut(per.where(F.col("_n") > WIDE).select("leaf"))
+        nodes = _numbered(rows.join(wide, "leaf", "left_anti"), count).unionByName(_ranged(rows.join(wide, "leaf", "left_semi")))
+    nodes = nodes.select("leaf", "at", F.lit(1).cast("long").alias("rows"), F.lower(F.hex("digest")).alias("digest"))
     for _ in range(max(1, math.ceil(math.log(max(largest, 2), FAN) - 1e-9))):
         nodes = _fold(nodes, ["leaf"], "at")
     return nodes.select("leaf", "rows", "digest")
